@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fathom.llm.codec import codec_digests
 from fathom.llm.packing import pack_documents
+from fathom.llm.simhash import near_duplicates
 from fathom.llm.token_counts import count_tokens
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +28,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, with_ids=False)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, edit_pattern=LONG_NUMBER, edit_with="#")
 
@@ -37,6 +42,7 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
     "op7_bpe_codec": op7_bpe_codec,
 }
