@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fathom.llm.codec import codec_digests
+from fathom.llm.line_rules import clean_documents
 from fathom.llm.packing import pack_documents
+from fathom.llm.secrets import scan_secrets
 from fathom.llm.simhash import near_duplicates
 from fathom.llm.token_counts import count_tokens
 
@@ -24,6 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, with_ids=False)
 
@@ -36,14 +42,20 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, edit_pattern=LONG_NUMBER, edit_with="#")
 
 
+def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
+    "op6_line_rules": op6_line_rules,
     "op7_bpe_codec": op7_bpe_codec,
 }
 
