@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import byte_cnn
+from fathom.llm import byte_cnn, language
 from fathom.llm.codec import codec_digests
 from fathom.llm.line_rules import clean_documents
 from fathom.llm.packing import pack_documents
@@ -56,6 +56,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.score_quality(docs, byte_cnn.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify_languages(docs, language.fit(docs, PIECE_BPE), PIECE_BPE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_rules": op6_line_rules,
     "op7_bpe_codec": op7_bpe_codec,
     "op9_quality": op9_quality,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
