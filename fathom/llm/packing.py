@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 from fathom.llm.batches import map_batches
 
 #: Entries of the word cache of a Python worker, and the longest word kept in it.
-CACHE_ENTRIES, CACHE_KEY_CHARS = 500_000, 64
+CACHE_ENTRIES, CACHE_KEY_CHARS = 1_000_000, 64
 
 
 class WordTokenizer:
@@ -36,6 +36,8 @@ class WordTokenizer:
     #: Latin letters, digits and punctuation, space, tab and line ends: no combining marks, no other spaces.
     _plain = re.compile("[\t\n\r\\x20-\\x7e\\xa1-\\xac\\xae-ſ]*")
 
+    _closed = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
+
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -47,17 +49,23 @@ class WordTokenizer:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian uint32 ids of each text."""
-        plain = [self._plain.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        words = [t.split() if ok else None for t, ok in zip(texts, plain)]
+        plain = [self._plain.fullmatch(t) is not None and not ("<|" in t and any(s in t for s in self.special)) for t in texts]
+        # the library lowers case letter by letter too, and in this range Python does the same
+        words = [t.lower().split() if ok else [] for t, ok in zip(texts, plain)]
         cache = self.cache
-        missing = list({w for ws in words if ws for w in ws if w not in cache})
-        fresh = dict(zip(missing, self._encode_words(missing)))
-        if len(cache) + len(fresh) > CACHE_ENTRIES:
-            fresh = {w: cache[w] if w in cache else fresh[w] for ws in words if ws for w in ws}
+        missing = list(set().union(*words).difference(cache))
+        if len(cache) + len(missing) > CACHE_ENTRIES:
             cache.clear()
-        known = cache | fresh if not cache else _Layered(fresh, cache)
-        out = [b"".join(map(known.__getitem__, ws)) if ws is not None else self._whole(t) for ws, t in zip(words, texts)]
-        cache.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHE_KEY_CHARS)
+            missing = list(set().union(*words))
+        # no pre-token goes on from letters into the punctuation at a word's end
+        halves = {w: m.groups() for w in missing if (m := self._closed.fullmatch(w))}
+        fresh = list({p for w in missing for p in halves.get(w, (w,))}.difference(cache))
+        cache.update(zip(fresh, self._encode_words(fresh)))
+        cache.update((w, cache[a] + cache[b]) for w, (a, b) in halves.items())
+        out = [b"".join(map(cache.__getitem__, ws)) if ok else self._whole(t) for ws, ok, t in zip(words, plain, texts)]
+        for w in {*missing, *fresh}:
+            if len(w) > CACHE_KEY_CHARS:
+                del cache[w]
         return out
 
     def _whole(self, text: str) -> bytes:
@@ -77,17 +85,6 @@ class WordTokenizer:
         return out
 
 
-class _Layered(dict):
-    """New entries first, then the cache."""
-
-    def __init__(self, fresh, cache):
-        super().__init__(fresh)
-        self.cache = cache
-
-    def __missing__(self, key):
-        return self.cache[key]
-
-
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
