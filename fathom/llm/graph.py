@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def _state(links: DataFrame) -> tuple:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """``(node, root)`` of every node of ``links(u long, v long)``: root is the smallest node reachable.
+    """``(node, root)`` of every node of ``links(u, v)``: root is the smallest node reachable.
 
     Alternates two steps until nothing changes: every node tells its larger neighbours of the smallest node it
     knows, then its smaller ones.  Each step is a minimum by node, combined before the shuffle, and a join that
@@ -46,6 +48,38 @@ def connected_components(links: DataFrame) -> DataFrame:
     return roots.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def deal_groups(placed: DataFrame, keys: list[str], member: str, group_rows: int) -> DataFrame:
+    """``placed`` with its groups made ready for a self-join by tasks that see a bounded number of rows each.
+
+    Adds ``a, b, side``.  A group of up to ``group_rows`` rows stays whole, as (0, 0).  A larger one is divided into
+    parts by a hash of ``member``, and every pair of parts is a cell (a, b) of its own: with a = b, for links within a
+    part, and with a < b for those between side 0 and side 1.  So each pair of rows of a group meets in one cell.
+    """
+    sizes = placed.groupBy(*keys).count().where(F.col("count") > group_rows)
+    sizes = sizes.select(*keys, F.ceil(F.col("count") / group_rows).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64(member), F.col("parts")).cast("int")
+    alone = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side")))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, part).alias("a"), F.greatest(o, part).alias("b"), (part > o).cast("int").alias("side")))
+    dealt = placed.join(sizes, keys, "left").withColumn("dealt_to", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(cells)))
+    return dealt.select(*placed.columns, "dealt_to.*")
+
+
+def spanning_forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each of 0..n-1, the smallest index that the links reach.  Links that repeat cost a look-up only."""
+    sets, label = DisjointSets(n), np.arange(n)
+    for i, j in links:
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        fresh = np.unique(low[low != high] * n + high[low != high])
+        if not len(fresh):
+            continue
+        for a, b in zip((fresh // n).tolist(), (fresh % n).tolist()):
+            sets.join(a, b)
+        label = np.array(sets.up)
+        while ((up := label[label]) != label).any():
+            label = up
+    return label
+
+
 class DisjointSets:
     """Union-find over 0..n-1; the smallest member is the root."""
 

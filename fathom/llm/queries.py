@@ -14,6 +14,7 @@ from fathom.llm.packing import pack_documents
 from fathom.llm.secrets import scan_secrets
 from fathom.llm.simhash import near_duplicates
 from fathom.llm.token_counts import count_tokens
+from fathom.llm.vectors import near_vectors
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -51,6 +52,10 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_cnn.score_quality(docs, byte_cnn.train(docs, table(spark, sf_dir, "labels")))
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op6_line_rules": op6_line_rules,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_vectors": op8_vectors,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
 }

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from fathom.llm.batches import map_batches
-from fathom.llm.graph import DisjointSets, connected_components, cut_lineage
+from fathom.llm.graph import connected_components, cut_lineage, deal_groups, spanning_forest
 
 DIFFER = 4
 SHINGLE_WORDS = 4
@@ -143,24 +143,6 @@ def _compare(values: np.ndarray, p: np.ndarray, differ: int):
         yield i[near], j[near]
 
 
-def _forest(fps: np.ndarray, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest: each fingerprint with the first of its component."""
-    sets, label = DisjointSets(len(fps)), np.arange(len(fps))
-    for i, j in links:
-        new = label[i] != label[j]
-        if not new.any():
-            continue
-        i, j = i[new], j[new]
-        _, first = np.unique(np.minimum(label[i], label[j]) * len(fps) + np.maximum(label[i], label[j]), return_index=True)
-        for a, b in zip(i[first].tolist(), j[first].tolist()):
-            sets.join(a, b)
-        label = np.array(sets.up)
-        while (up := label[label]) is not None and (up != label).any():
-            label = up
-    linked = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[linked], fps[label[linked]]
-
-
 def near_links(nodes: DataFrame, differ: int = DIFFER, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``(u, v)`` links between the different fingerprints ``nodes(fp)`` that connect all within ``differ`` bits."""
     tries = plan_tries(nodes.count(), differ)
@@ -173,13 +155,7 @@ def near_links(nodes: DataFrame, differ: int = DIFFER, group_rows: int = GROUP_R
         return out
 
     placed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("trie"), key(front).alias("path")) for t, (front, _) in enumerate(tries)])).alias("at")).select("fp", "at.*")
-    sizes = placed.groupBy("trie", "path").count().where(F.col("count") > group_rows)
-    sizes = sizes.select("trie", "path", F.ceil(F.col("count") / group_rows).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    cells = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, part).alias("a"), F.greatest(o, part).alias("b"), (part > o).cast("int").alias("side")))
-    )
-    dealt = placed.join(sizes, ["trie", "path"], "left").select("trie", "path", "fp", F.explode(cells).alias("cell")).select("trie", "path", "cell.*", "fp")
+    dealt = deal_groups(placed, ["trie", "path"], "fp", group_rows).select("trie", "path", "a", "b", "side", "fp")
     dealt = dealt.repartition("trie", "path", "a", "b").sortWithinPartitions("trie", "path", "a", "b")
 
     def task(parts):
@@ -203,8 +179,9 @@ def near_links(nodes: DataFrame, differ: int = DIFFER, group_rows: int = GROUP_R
             middle = starts + np.add.reduceat((side == 0).astype(np.int64), starts)
             pairs = np.stack([starts, np.where(crossed, middle, stops), np.where(crossed, middle, starts), stops], 1)
             pairs = pairs[(pairs[:, 0] < pairs[:, 1]) & (pairs[:, 2] < pairs[:, 3])]
-            u, v = _forest(fps, join_tries(turned, depth, pairs, differ))
-            return [u.view(np.int64), v.view(np.int64)]
+            label = spanning_forest(len(fps), join_tries(turned, depth, pairs, differ))
+            linked = np.flatnonzero(label != np.arange(len(fps)))
+            return [fps[linked].view(np.int64), fps[label[linked]].view(np.int64)]
 
         for columns in parts:
             data = np.array(columns, dtype=np.int64).T
