@@ -11,6 +11,7 @@ from fathom.llm import byte_cnn, language
 from fathom.llm.codec import codec_digests
 from fathom.llm.line_rules import clean_documents
 from fathom.llm.packing import pack_documents
+from fathom.llm.pseudonyms import pseudonymise
 from fathom.llm.secrets import scan_secrets
 from fathom.llm.simhash import near_duplicates
 from fathom.llm.token_counts import count_tokens
@@ -22,6 +23,8 @@ PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 #: Long digit groups, as a later masking pass would edit them.
 LONG_NUMBER = r"\d[\d ().-]{6,}\d"
+#: A deployment passes a secret of its own.
+PSEUDONYM_KEY = "not-a-secret"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +47,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, edit_pattern=LONG_NUMBER, edit_with="#")
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_documents(table(spark, sf_dir, "documents"))
 
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
+    "op5_pseudonyms": op5_pseudonyms,
     "op6_line_rules": op6_line_rules,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_vectors": op8_vectors,
