@@ -18,6 +18,16 @@ def schema_of(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def ddl_of(df: DataFrame) -> str:
+    """The columns of a table as a schema string."""
+    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[list[list]]:
     """Each slice as one list per column, in column order."""
     for batch in batches:

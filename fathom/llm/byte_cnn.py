@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.batches import map_batches
+from fathom.llm.batches import ddl_of, map_batches, quoted
 
 WIDTH, EMBED, FILTERS = 5, 8, 12
 #: Positions of half a chunk.
@@ -152,9 +152,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: dict[int, int] |
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (in_fold(id_col) != 0)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("label") == k, F.lit(sample[k] / n)) for k, n in sizes.items()]) if sizes else F.lit(0.0)
-    chosen = known.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < share * 1_000_000)
+    # at most this many rows, so they can be sent to every task and no text is shuffled
+    most = int(1.2 * sum(sample.values()))
+    chosen = F.broadcast(known.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < share * 1_000_000).limit(most))
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(chosen, "id")
-    rows = picked.select("id", "text", "label").limit(int(1.2 * sum(sample.values()))).collect()
+    rows = picked.select("id", "text", "label").limit(most).collect()
     return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["id"], r["text"]))]
 
 
@@ -196,7 +198,6 @@ def score_quality(docs: DataFrame, parameters: bytes, id_col: str = "doc_id", te
 def keep_quality(docs: DataFrame, parameters: bytes, text_col: str = "text") -> DataFrame:
     """The rows whose text passes, in their own columns."""
     at = docs.columns.index(text_col)
-    quote = lambda c: "`" + c.replace("`", "``") + "`"
 
     def task(parts):
         net = network(parameters)
@@ -205,4 +206,4 @@ def keep_quality(docs: DataFrame, parameters: bytes, text_col: str = "text") ->
             if any(keep):
                 yield [[v for v, k in zip(column, keep) if k] for column in columns]
 
-    return map_batches(docs, [quote(c) for c in docs.columns], ", ".join(f"{quote(f.name)} {f.dataType.simpleString()}" for f in docs.schema), task)
+    return map_batches(docs, [quoted(c) for c in docs.columns], ddl_of(docs), task)

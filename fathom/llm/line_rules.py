@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from fathom.llm.batches import map_batches
+from fathom.llm.batches import ddl_of, map_batches, quoted
 
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
@@ -103,16 +103,23 @@ def clean_documents(docs: DataFrame, with_text: bool = False, id_col: str = "doc
     return map_batches(docs, [id_col, text_col], ddl + ", cleaned string" * with_text, task)
 
 
-def keep_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows whose document is kept, in their own columns and with their own text."""
+def keep_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """The rows whose document is kept, in their own columns, with the text of the lines that pass.
+
+    ``length_col`` is set to the new length where lines went.
+    """
     names = docs.columns
-    at = names.index(text_col)
+    at, length_at = names.index(text_col), names.index(length_col) if length_col in names else -1
 
     def task(parts):
         for columns in parts:
-            keep = [judge(t or "")[6] for t in columns[at]]
-            if any(keep):
-                yield [[v for v, k in zip(column, keep) if k] for column in columns]
-
-    quote = lambda c: "`" + c.replace("`", "``") + "`"
-    return map_batches(docs, [quote(c) for c in names], ", ".join(f"{quote(f.name)} {f.dataType.simpleString()}" for f in docs.schema), task)
+            found = [judge(t or "") for t in columns[at]]
+            keep = [f[6] for f in found]
+            if not any(keep):
+                continue
+            if length_at >= 0:
+                columns[length_at] = [n if f[7] == t else len(f[7]) for n, f, t in zip(columns[length_at], found, columns[at])]
+            columns[at] = [f[7] for f in found]
+            yield [[v for v, k in zip(column, keep) if k] for column in columns]
+
+    return map_batches(docs, [quoted(c) for c in names], ddl_of(docs), task)

@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: str = "doc
             values = np.array([fingerprint(t or "", words) for t in texts], dtype=np.uint64)
             yield [keys, values.view(np.int64)]
 
-    return map_batches(docs, [id_col, text_col], f"{id_col} long, fp long", task)
+    return map_batches(docs, [id_col, text_col], "id long, fp long", task)
 
 
 def blocks_of(k: int) -> list[tuple[int, int]]:
@@ -201,6 +201,12 @@ def near_links(nodes: DataFrame, differ: int = DIFFER, group_rows: int = GROUP_R
     return map_batches(dealt, ["trie", "path", "a", "b", "side", "fp"], "u long, v long", task, rows=8192)
 
 
+def _classes(nodes: DataFrame, differ: int) -> DataFrame:
+    """``(fp, least, root)`` of the different fingerprints ``nodes(fp, least)``; fingerprints that links join share a root."""
+    roots = connected_components(near_links(nodes.select("fp"), differ))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, differ: int = DIFFER, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fingerprint, component_id)`` of every document.
 
@@ -209,9 +215,21 @@ def near_duplicates(docs: DataFrame, differ: int = DIFFER, words: int = SHINGLE_
     Repeated rows each give a row; rows with a null id count, and a component of these alone has a null id.  An empty
     table gives no rows.
     """
-    prints = cut_lineage(fingerprints(docs, words, id_col, text_col).withColumnRenamed(id_col, "id"))
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(near_links(nodes.select("fp"), differ))
-    classes = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    prints = cut_lineage(fingerprints(docs, words, id_col, text_col))
+    classes = _classes(cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least"))), differ)
     classes = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame, differ: int = DIFFER, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, in its own columns: that with the smallest id, and of several the first.
+
+    ``docs`` is a table read from files, so that a row has the same place each time it is read.  A row with a null id
+    stays only where its group has no other.
+    """
+    placed = docs.withColumn("__row", F.monotonically_increasing_id())
+    prints = cut_lineage(fingerprints(placed.select("__row", text_col), words, "__row", text_col))
+    order = placed.select(F.col("__row").alias("id"), F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("key"), F.col("__row").alias("row")).alias("order"))
+    nodes = cut_lineage(prints.join(order, "id").groupBy("fp").agg(F.min("order").alias("least")))
+    kept = _classes(nodes, differ).groupBy("root").agg(F.min("least").alias("least"))
+    return placed.join(kept.select(F.col("least.row").alias("__row")), "__row", "left_semi").drop("__row")
