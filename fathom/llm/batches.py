@@ -36,7 +36,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield [column.to_pylist() for column in part.columns]
 
 
-def map_batches(df: DataFrame, columns: list, ddl: str, task: Callable[[Iterator[list[list]]], Iterator[list]], rows: int = SLICE_ROWS) -> DataFrame:
+def map_batches(df: DataFrame, columns: list[str], ddl: str, task: Callable[[Iterator[list[list]]], Iterator[list]], rows: int = SLICE_ROWS) -> DataFrame:
     """Run ``task`` in each partition over slices of the named columns; it yields lists of output columns.
 
     Only ``columns`` are read, by name, so other columns of the input can have any name.
@@ -48,5 +48,5 @@ def map_batches(df: DataFrame, columns: list, ddl: str, task: Callable[[Iterator
         for out in task(slices(batches, rows)):
             yield pa.RecordBatch.from_arrays([pa.array(values, type=field.type) for values, field in zip(out, arrow)], schema=arrow)
 
-    picked = [F.col(c) if isinstance(c, str) else c for c in columns]
+    picked = [F.col(c).alias(f"c{n}") for n, c in enumerate(columns)]
     return df.select(*picked).mapInArrow(run, schema)
