@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.operators.file_pass import custom_hits, source_hits, with_fix
 from fathom.operators.line_engine import file_hits, file_predicates, line_hits, line_rules
+from fathom.operators.source_rules import Limits
+from fathom.operators.suppression import unsuppressed
 from fathom.sources.catalog import SEVERITIES, Rule, catalog, load
+from fathom.sources.custom_rules import CustomRule, custom_catalog
 
 #: Columns of an issue, in order.
 ISSUE = ("rule_key", "rule_id", "title", "severity", "severity_rank", "category", "file", "line", "column", "end_line", "end_column", "message", "code_snippet", "owasp", "cwe", "debt_minutes", "module", "fix", "rule_ord")
@@ -29,7 +33,7 @@ class Config:
     fail_on_severity: str | None = None
     output_format: str | None = None
     custom_rules_file: str | None = None
-    custom_rules: tuple = field(default=())
+    custom_rules: tuple[CustomRule, ...] = ()
 
 
 def active_rules(config: Config = Config(), rules: tuple[Rule, ...] | None = None) -> list[Rule]:
@@ -39,10 +43,15 @@ def active_rules(config: Config = Config(), rules: tuple[Rule, ...] | None = Non
     return [r for r in (load() if rules is None else rules) if r.rank >= least and r.rule_id not in config.disabled_rules and (wanted is None or r.rule_id in wanted)]
 
 
-def described(hits: DataFrame) -> DataFrame:
-    """Hits ``(path, line, trimmed, rule_ord)`` as issues."""
-    rules = F.broadcast(catalog(hits.sparkSession).drop("kind"))  # one row a rule
+def described(hits: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Hits ``(path, line, trimmed, rule_ord)`` as issues; further columns of an issue in the hits are kept."""
+    rules = F.broadcast((catalog(hits.sparkSession) if rules is None else rules).drop("kind"))  # one row a rule
+    own = "severity" in hits.columns
+    hits = hits.withColumnRenamed("severity", "own_severity") if own else hits
     joined = hits.join(rules, "rule_ord").withColumnsRenamed({"path": "file", "trimmed": "code_snippet"})
+    if own:
+        rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("own_severity")) - 1
+        joined = joined.withColumns({"severity": F.coalesce("own_severity", "severity"), "severity_rank": F.when(F.col("own_severity").isNull(), F.col("severity_rank")).otherwise(rank).cast("int")})
     found = set(joined.columns)
     defaults = {"column": F.lit(1), "end_line": F.lit(None).cast("int"), "end_column": F.lit(None).cast("int"), "message": F.col("title"), "module": F.lit(None).cast("string"), "fix": F.lit(None).cast(FIX)}
     return joined.withColumns({k: v for k, v in defaults.items() if k not in found}).select(*ISSUE)
@@ -53,3 +62,23 @@ def predicate_issues(files: DataFrame, rules: list[Rule]) -> DataFrame:
     on_lines, on_files = line_rules(rules), file_predicates(rules)
     hits = line_hits(files, on_lines)
     return described(hits.unionByName(file_hits(files, on_files)) if on_files else hits)
+
+
+def custom_issues(files: DataFrame, custom: tuple[CustomRule, ...]) -> DataFrame:
+    """Issues of custom rules; their places in the catalogue come after those of the built-in ones."""
+    first = len(load())
+    hits = custom_hits(files, [(first + n, c.pattern, c.message, c.negative_pattern) for n, c in enumerate(custom)])
+    return described(with_fix(hits), custom_catalog(files.sparkSession, custom, first))
+
+
+def all_issues(files: DataFrame, config: Config = Config()) -> DataFrame:
+    """Issues of all active rules in ``files(path, src)``, without the suppressed ones.
+
+    Files are read by two passes, of predicates and of the other rules; neither shuffles.
+    """
+    rules = active_rules(config)
+    limits = Limits(config.max_complexity, config.max_params, config.max_nesting)
+    issues = predicate_issues(files, rules).unionByName(described(with_fix(source_hits(files, rules, limits))))
+    if config.custom_rules:
+        issues = issues.unionByName(custom_issues(files, config.custom_rules))
+    return unsuppressed(issues, files)
