@@ -84,8 +84,11 @@ public class Widget extends Base implements Comparable {
     Widget v = make();
     String s1 = "x";
     s1 == "y"
+class Own extends MessageDigest {
+class Hears extends BroadcastReceiver {
+class Works extends Thread {
 
-  """.replace("\\u0020", " ").split("\n")
+  """.split("\n")
 
 
 def _literals(node: Node) -> list[Node]:
