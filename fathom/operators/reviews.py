@@ -148,6 +148,9 @@ def gate_conditions(issues: DataFrame, conditions: Iterable[tuple]) -> DataFrame
 
 def gate_passed(issues: DataFrame, conditions: Iterable[tuple]) -> DataFrame:
     """One row: whether every condition holds; a gate without conditions passes."""
+    conditions = list(conditions)
+    if not conditions:
+        return issues.limit(0).agg(F.lit(True).alias("passed"))
     return gate_conditions(issues, conditions).agg(F.coalesce(F.bool_and("passed"), F.lit(True)).alias("passed"))
 
 
@@ -156,4 +159,4 @@ def exit_status(issues: DataFrame, gate: Iterable[tuple] = (), fail_on_issues: b
     conditions = list(gate)
     conditions += [("max_total_issues", None, 0)] * fail_on_issues
     conditions += [("no_issues_above", fail_on_severity, None)] if fail_on_severity else []
-    return gate_passed(issues, conditions) if conditions else issues.limit(0).agg(F.lit(True).alias("passed"))
+    return gate_passed(issues, conditions)
