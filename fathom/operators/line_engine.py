@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.predicates import SparkDialect
 from fathom.functions.text import lines, trim
+from fathom.operators.suppression import mark_ids
 from fathom.sources.catalog import Rule, load
 
 #: Predicates in one generated expression; more would pass the size that the JVM compiles.
@@ -51,8 +52,8 @@ def _found(df: DataFrame, predicates: list[tuple[int, str]], keep: list[str]) ->
     return hits.select(*keep, F.explode_outer(F.split("hits", ",+")).alias("hit")).where("hit <> ''").select(*keep, F.col("hit").cast("int").alias("rule_ord"))
 
 
-def line_hits(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``(path, line, trimmed, rule_ord)`` of every line and rule that holds on it."""
+def line_hits(files: DataFrame, rules: list[Rule], marks: bool = False) -> DataFrame:
+    """``(path, line, trimmed, rule_ord)`` of every line and rule that holds on it; with ``marks``, ``ids`` of the line's mark."""
     dialect = SparkDialect(facts=[])
     predicates = [(r.ordinal, dialect.render(r.predicate())) for r in rules]
     plain = SparkDialect()
@@ -61,16 +62,15 @@ def line_hits(files: DataFrame, rules: list[Rule]) -> DataFrame:
     facts = [F.expr(plain.render(node)).alias(f"fact_{n}") for n, node in enumerate(dialect.facts)]
     keep = [f"fact_{n}" for n in range(len(facts))]
     cut = file_lines(files.select("path", "src", *facts), keep)
-    if not predicates:
-        return cut.select("path", "line", "trimmed", F.lit(0).alias("rule_ord")).limit(0)
-    return _found(cut, predicates, ["path", "line", "trimmed"])
+    if marks:
+        cut = cut.withColumn("ids", mark_ids(F.col("text")))
+    return _found(cut, predicates or [(0, "false")], ["path", "line", "trimmed"] + ["ids"] * marks)
 
 
-def file_hits(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``(path, line, trimmed, rule_ord)``: line 1 of every file on which a rule holds."""
+def file_hits(files: DataFrame, rules: list[Rule], marks: bool = False) -> DataFrame:
+    """``(path, line, trimmed, rule_ord)``: line 1 of every file on which a rule holds; ``marks`` as for lines."""
     plain = SparkDialect()
     predicates = [(r.ordinal, plain.render(r.predicate())) for r in rules]
-    if not predicates:
-        return files.select("path", F.lit(1).alias("line"), F.lit("").alias("trimmed"), F.lit(0).alias("rule_ord")).limit(0)
     wide = files.select("path", "src", F.col("src").rlike(r"[^\x00-\x7f]").alias("src_wide"))
-    return _found(wide.withColumns({"line": F.lit(1), "trimmed": F.lit(None).cast("string")}), predicates, ["path", "line", "trimmed"])
+    wide = wide.withColumns({"line": F.lit(1), "trimmed": F.lit(None).cast("string")} | ({"ids": mark_ids(F.try_element_at(lines(F.col("src")), F.lit(1)))} if marks else {}))
+    return _found(wide, predicates, ["path", "line", "trimmed"] + ["ids"] * marks)

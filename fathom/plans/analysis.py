@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fathom.operators.file_pass import custom_hits, source_hits, with_fix
 from fathom.operators.line_engine import file_hits, file_predicates, line_hits, line_rules
 from fathom.operators.source_rules import Limits
-from fathom.operators.suppression import unsuppressed
+from fathom.operators.suppression import held
 from fathom.sources.catalog import SEVERITIES, Rule, catalog, load
 from fathom.sources.custom_rules import CustomRule, custom_catalog
 
@@ -57,17 +57,25 @@ def described(hits: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     return joined.withColumns({k: v for k, v in defaults.items() if k not in found}).select(*ISSUE)
 
 
-def predicate_issues(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Issues of the rules that are predicates on lines or files."""
+def predicate_issues(files: DataFrame, rules: list[Rule], suppress: bool = False) -> DataFrame:
+    """Issues of the rules that are predicates on lines or files; with ``suppress``, without those that a mark holds back.
+
+    A mark stands on the issue's own line, so it is read with the line and there is nothing to join.
+    """
     on_lines, on_files = line_rules(rules), file_predicates(rules)
-    hits = line_hits(files, on_lines)
-    return described(hits.unionByName(file_hits(files, on_files)) if on_files else hits)
+    hits = line_hits(files, on_lines, marks=suppress)
+    hits = hits.unionByName(file_hits(files, on_files, marks=suppress)) if on_files else hits
+    if suppress:
+        names = F.broadcast(catalog(files.sparkSession).select("rule_ord", "rule_id"))  # one row a rule
+        hits = hits.join(names, "rule_ord").where(~held(F.col("ids"), F.col("rule_id"))).drop("ids", "rule_id")
+    return described(hits)
 
 
-def custom_issues(files: DataFrame, custom: tuple[CustomRule, ...]) -> DataFrame:
+def custom_issues(files: DataFrame, custom: tuple[CustomRule, ...], suppress: bool = False) -> DataFrame:
     """Issues of custom rules; their places in the catalogue come after those of the built-in ones."""
     first = len(load())
-    hits = custom_hits(files, [(first + n, c.pattern, c.message, c.negative_pattern) for n, c in enumerate(custom)])
+    ids = {first + n: c.rule_id for n, c in enumerate(custom)} if suppress else None
+    hits = custom_hits(files, [(first + n, c.pattern, c.message, c.negative_pattern) for n, c in enumerate(custom)], ids)
     return described(with_fix(hits), custom_catalog(files.sparkSession, custom, first))
 
 
@@ -78,7 +86,5 @@ def all_issues(files: DataFrame, config: Config = Config()) -> DataFrame:
     """
     rules = active_rules(config)
     limits = Limits(config.max_complexity, config.max_params, config.max_nesting)
-    issues = predicate_issues(files, rules).unionByName(described(with_fix(source_hits(files, rules, limits))))
-    if config.custom_rules:
-        issues = issues.unionByName(custom_issues(files, config.custom_rules))
-    return unsuppressed(issues, files)
+    issues = predicate_issues(files, rules, suppress=True).unionByName(described(with_fix(source_hits(files, rules, limits, suppress=True))))
+    return issues.unionByName(custom_issues(files, config.custom_rules, suppress=True)) if config.custom_rules else issues

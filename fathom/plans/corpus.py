@@ -133,6 +133,10 @@ def corpus_sql(dialect: str, table: str = "part", key: str = "p_partkey") -> str
 
 
 def corpus(spark: SparkSession, sf_dir: str, table: str = "part", key: str = "p_partkey") -> DataFrame:
-    """``files(path, src)``."""
-    spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView("corpus_keys")
+    """``files(path, src)``.
+
+    The keys are dealt out before texts are made of them: a small table of keys is one partition, the texts aren't.
+    """
+    keys = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key)
+    keys.repartition(2 * spark.sparkContext.defaultParallelism, key).createOrReplaceTempView("corpus_keys")
     return spark.sql(corpus_sql("spark", "corpus_keys", key))
