@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fathom.llm import byte_cnn, language
 from fathom.llm.codec import codec_digests
 from fathom.llm.line_rules import clean_documents
+from fathom.llm.oracles import ORACLE_SQL  # noqa: F401
 from fathom.llm.packing import pack_documents
 from fathom.llm.pseudonyms import pseudonymise
 from fathom.llm.secrets import scan_secrets
@@ -85,5 +86,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_language": op10_language,
 }
-
-ORACLE_SQL: dict[str, str] = {}
