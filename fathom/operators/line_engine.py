@@ -73,4 +73,4 @@ def file_hits(files: DataFrame, rules: list[Rule], marks: bool = False) -> DataF
     predicates = [(r.ordinal, plain.render(r.predicate())) for r in rules]
     wide = files.select("path", "src", F.col("src").rlike(r"[^\x00-\x7f]").alias("src_wide"))
     wide = wide.withColumns({"line": F.lit(1), "trimmed": F.lit(None).cast("string")} | ({"ids": mark_ids(F.try_element_at(lines(F.col("src")), F.lit(1)))} if marks else {}))
-    return _found(wide, predicates, ["path", "line", "trimmed"] + ["ids"] * marks)
+    return _found(wide, predicates or [(0, "false")], ["path", "line", "trimmed"] + ["ids"] * marks)
