@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from fathom.functions.predicates import DuckDialect
 from fathom.plans.corpus import corpus_sql
 from fathom.sources.catalog import Rule, load
@@ -76,9 +78,12 @@ def sql_rules() -> dict[str, str]:
         place = "strpos(text, m[1])" if column else "1"
         return f"SELECT path, line, col FROM (SELECT path, line, {place} AS col, unnest(m) AS m, unnest(a) AS a, unnest(b) AS b FROM ({groups})) WHERE {condition}"
 
-    def one_group(pattern: str, condition: str, column: bool = False) -> str:
+    def one_group(pattern: str, condition: str, column: bool = False, opens: int = 0) -> str:
         p = DUCK.text(pattern)
-        place = f"length(regexp_extract(text, {DUCK.text('^(.*?)' + pattern)}, 1)) + 1" if column else "1"
+        at = [m.start() for m in re.finditer(r"[(]", pattern)][opens]
+        before, behind = pattern[:at], pattern[at + 1 :]
+        # the group's place: behind what comes before it, up to the group's own text
+        place = f"length(regexp_extract(text, {DUCK.text('^(.*?' + before + ')(' + behind)}, 1)) + 1" if column else "1"
         return f"SELECT path, line, {place} AS col FROM (SELECT path, line, text, regexp_extract(text, {p}, 1) AS a FROM lines WHERE regexp_matches(text, {p})) WHERE {condition}"
 
     pure = "replace|replaceAll|replaceFirst|trim|strip|toUpperCase|toLowerCase|substring|concat|split|format|valueOf|toString|abs|min|max|ceil|floor|round|sqrt|pow|intern"
@@ -102,7 +107,7 @@ def sql_rules() -> dict[str, str]:
         "CodeSmell:S3077": one_group(r"volatile\s+(\w+)\s+\w+", "a NOT IN ('int', 'long', 'double', 'float', 'boolean', 'byte', 'short', 'char')"),
         "Bug:S2121": one_group(r"public\s+boolean\s+equals\s*\(\s*(\w+)\s+\w+\s*\)", "a <> 'Object'"),
         "CodeSmell:S112": one_group(r"throw\s+new\s+(Exception|RuntimeException|Throwable|Error)\s*\(", "true", column=True),
-        "CodeSmell:S1181": one_group(r"catch\s*\(\s*(Throwable|Error|java\.lang\.Throwable|java\.lang\.Error)\s+", "true", column=True),
+        "CodeSmell:S1181": one_group(r"catch\s*[(]\s*(Throwable|Error|java\.lang\.Throwable|java\.lang\.Error)\s+", "true", column=True, opens=1),
         "CodeSmell:S2178": on_lines(r"regexp_matches(text, '\s+([&|])\s+') AND NOT contains(text, '&&') AND NOT contains(text, '||')"),
         "CodeSmell:S1488": f"SELECT path, line, 1 AS col FROM (SELECT *, lead(text) OVER (PARTITION BY path ORDER BY line) AS next FROM lines) WHERE regexp_matches(text, {var}) AND regexp_matches(next, {ret}) AND regexp_extract(text, {var}, 2) = regexp_extract(next, {ret}, 1)",
         "Security:S2089": r"SELECT path, line, 1 AS col FROM (SELECT *, max(contains(text, 'setHttpOnly(true)')::INT) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 5 PRECEDING AND 9 FOLLOWING) AS safe FROM lines) WHERE regexp_matches(text, 'new\s+Cookie\s*\(') AND safe = 0",

@@ -103,10 +103,10 @@ def test_unicode_lines(spark):
         ("Bug:S2185", "a * 0\n0 * a\na - a\na - b", [(1, 1), (2, 1), (3, 1)]),
         ("Bug:S2251", "for (int i = 0; i < n; i--) {\nfor (int i = 0; i < n; i++) {\nfor (int i = 9; i > n; i++) {", [(1, 1), (3, 1)]),
         ("Bug:S2275", 'String.format("%s %d", a)\nString.format("%s", a)\nString.format("%s")', [(1, 1), (3, 1)]),
-        ("CodeSmell:S109", "int x = 42 ;\nint y = 10 ;\nfinal int z = 42 ;", [(1, 9)]),
+        ("CodeSmell:S109", "int x = 42 ;\nint y = 10 ;\nstatic final int z = 42 ;", [(1, 9)]),
         ("CodeSmell:S1104", "public int open;\npublic static final int OK = 1;", [(1, 12)]),
-        ("CodeSmell:S112", "  throw new Exception()", [(1, 3)]),
-        ("CodeSmell:S1181", "} catch (Throwable t) {", [(1, 3)]),
+        ("CodeSmell:S112", "  throw new Exception()", [(1, 13)]),
+        ("CodeSmell:S1181", "} catch (Throwable t) {", [(1, 10)]),
         ("CodeSmell:S2178", "if (a & b)\nif (a && b | c)", [(1, 1)]),
         ("CodeSmell:S4165", "a = a;", [(1, 1)]),
         ("Bug:S1206", "\nclass A {\npublic boolean equals(Object o) {}\n}", [(2, 1)]),
