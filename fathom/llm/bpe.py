@@ -36,6 +36,9 @@ COMPATIBLE_ENTRIES = 500_000
 #: Longer chunks are encoded each time they occur, so that the cache stays small.
 CACHE_KEY_CHARS = 64
 
+#: Marks that a word ends with, and the end of the letters of which every Unicode version says the same.
+CLOSING, PLAIN_LETTERS = frozenset(".,;:!?"), "\u0250"
+
 
 def byte_alphabet() -> dict[str, int]:
     """Printable stand-in of each byte, as byte-level vocabularies spell their entries."""
@@ -185,6 +188,10 @@ class BytePairVocabulary:
         return [data[a:b] for a, b in zip(stops, stops[1:])]
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    return pack(f"<{len(ids)}i", *ids)
+
+
 class ChunkCache(dict):
     """Chunk of text -> its ids as packed little-endian int32, filled on first use, bounded in entries and key length."""
 
@@ -193,8 +200,7 @@ class ChunkCache(dict):
         self.encode = encode
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
-        value = pack(f"<{len(ids)}i", *ids)
+        value = self.encode(chunk)
         if len(chunk) <= CACHE_KEY_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -211,8 +217,21 @@ class TextEncoder:
 
     def __init__(self, vocabulary: BytePairVocabulary):
         self.vocabulary = vocabulary
-        self.cache = ChunkCache(vocabulary.encode_plain)
-        self.spaced = ChunkCache(lambda chunk: vocabulary.encode_plain(" " + chunk))
+        self.cache = ChunkCache(lambda chunk: packed_ids(vocabulary.encode_plain(chunk)))
+        self.spaced = ChunkCache(self._spaced)
+
+    def _spaced(self, chunk: str) -> bytes:
+        """Ids of a chunk behind a space.
+
+        Plain letters are one pre-token with the space, and a mark at their end is one of its own, so words that differ
+        by that mark only are encoded once.
+        """
+        word = chunk[:-1] if chunk[-1:] in CLOSING else chunk
+        if word.isalpha() and (word.isascii() or max(word) < PLAIN_LETTERS):
+            if word is not chunk:
+                return self.spaced[word] + self.cache[chunk[-1]]
+            return packed_ids(self.vocabulary.encode_bytes(b" " + word.encode()))
+        return packed_ids(self.vocabulary.encode_plain(" " + chunk))
 
     def packed(self, text: str) -> bytes:
         """Ids of a text as little-endian int32."""
