@@ -37,18 +37,24 @@ FRONTIER = 1 << 18
 TRIE_ROWS = 1 << 16
 
 
-def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
-    """SimHash of a text's word shingles; 0 if it has no word."""
+def shingle_hashes(text: str, words: int = SHINGLE_WORDS) -> list[int]:
+    """Hashes of a text's word shingles, in order of place; of all its words if they are fewer."""
     tokens = text.encode().lower().split()  # bytes: only A-Z change, and only \x20 and \x09-\x0D divide
     if not tokens:
-        return 0
+        return []
     joined = b" ".join(tokens)
     if len(tokens) <= words:
-        hashes = [xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1)
-        starts = np.concatenate([[0], ends[:-1]])
-        hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), (ends[words - 1 :] - 1).tolist())]
+        return [xxh64_intdigest(joined, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1)
+    starts = np.concatenate([[0], ends[:-1]])
+    return [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), (ends[words - 1 :] - 1).tolist())]
+
+
+def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
+    """SimHash of a text's word shingles; 0 if it has no word."""
+    hashes = shingle_hashes(text, words)
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     over = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
     return int.from_bytes(np.packbits(over, bitorder="little").tobytes(), "little")
