@@ -230,10 +230,10 @@ def near_duplicates(docs: DataFrame, differ: int = DIFFER, words: int = SHINGLE_
 def keep_representatives(docs: DataFrame, differ: int = DIFFER, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, in its own columns: that with the smallest id, and of several the first.
 
-    ``docs`` is a table read from files, so that a row has the same place each time it is read.  A row with a null id
+    The rows are written once with their number, since a second reading may number them otherwise.  A row with a null id
     stays only where its group has no other.
     """
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
+    placed = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
     prints = cut_lineage(fingerprints(placed.select("__row", text_col), words, "__row", text_col))
     order = placed.select(F.col("__row").alias("id"), F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("key"), F.col("__row").alias("row")).alias("order"))
     nodes = cut_lineage(prints.join(order, "id").groupBy("fp").agg(F.min("order").alias("least")))

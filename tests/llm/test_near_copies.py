@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from fathom.llm import near_copies, queries, secrets
+from fathom.llm import near_copies, queries, secrets, simhash
 from tests.llm.edge import edge_docs, edge_rows, no_docs
 from tests.llm.test_groups import least_reachable
 
@@ -79,3 +79,24 @@ def test_stage_and_those_behind_it_on_the_small_table(spark, tmp_path):
     assert Counter(kept.keys()) == brute_kept(list(before.items())) and all(before[i] == t for i, t in kept.items())
     clean = {r.doc_id: r.text for r in corpus_pipeline.secret_scan(spark, docs, small).collect()}
     assert clean == {i: secrets.redact(t, secrets.all_spans(t)[1]) for i, t in kept.items()}
+
+
+@pytest.mark.parametrize("module", [simhash, near_copies])
+def test_rows_are_numbered_once(spark, tmp_path, monkeypatch, module):
+    """Splits of the files change between the jobs, as when executors come or go."""
+    rows = [(n, f"text {n % 50} of a few words") for n in range(400)]
+    spark.createDataFrame(rows, SCHEMA).repartition(40).write.parquet(str(tmp_path / "docs"))
+    before, cut, calls = spark.conf.get("spark.sql.files.openCostInBytes"), module.cut_lineage, []
+
+    def moved(df):
+        out = cut(df)
+        calls.append(1)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1g" if len(calls) % 2 else "1")
+        return out
+
+    monkeypatch.setattr(module, "cut_lineage", moved)
+    try:
+        got = Counter(r.doc_id for r in module.keep_representatives(spark.read.parquet(str(tmp_path / "docs"))).collect())
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert got == Counter(range(50))
