@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 from hashlib import sha256
 
 from pyspark.sql import DataFrame
@@ -38,6 +40,8 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|your.*|.
 #: Name and value points from which a literal is reported.
 THRESHOLD = 5.0
 MIN_CHARS = 6
+#: Characters of each end of a long value that are kept as text.
+ENDS = 128
 
 
 def name_points(name: str) -> float:
@@ -50,10 +54,61 @@ def value_points(value: str) -> float:
     """Length, entropy and mixture of characters of a value; negative for stand-ins and plain words."""
     if len(value) < MIN_CHARS or " " in value or PLACEHOLDER.match(value):
         return -10.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    mixed = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(entropy, 4.0) / 2 + mixed / 2 + (n >= 16) / 2 - (mixed == 1 and "0" > value[0])
+    return _points(len(value), Counter(value), value[0])
+
+
+def _points(n: int, counts: Counter, first: str) -> float:
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values() if c / n)
+    mixed = sum(bool(re.search(p, "".join(counts))) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return min(entropy, 4.0) / 2 + mixed / 2 + (n >= 16) / 2 - (mixed == 1 and "0" > first)
+
+
+class Value:
+    """What a name stands for: literals (value, start, end) and the values of other names, which are shared, not copied."""
+
+    __slots__ = ("items", "n", "counts", "head", "tail", "example")
+
+    def __init__(self, items: list):
+        self.items, self.n = items, -1
+        if any(isinstance(x, Value) for x in items):
+            self.sum_up()  # so that no chain is gone down again
+
+    def sum_up(self) -> None:
+        if self.n >= 0:
+            return
+        self.n, self.counts, self.head, self.tail, self.example = 0, Counter(), "", "", False
+        for x in self.items:
+            if isinstance(x, Value):
+                x.sum_up()
+                n, counts, head, tail, example = x.n, x.counts, x.head, x.tail, x.example
+            else:
+                n, counts, head, tail, example = len(x[0]), Counter(x[0]), x[0][:ENDS], x[0][-ENDS:], "example" in x[0].lower()
+            self.example = self.example or example or "example" in (self.tail[-6:] + head[:6]).lower()
+            self.n += n
+            self.counts.update(counts)
+            self.head, self.tail = (self.head + head)[:ENDS], (self.tail + tail)[-ENDS:]
+
+    def points(self) -> float:
+        """``value_points`` of the literals joined, which may be too long to be written out."""
+        self.sum_up()
+        if self.n <= ENDS:
+            return value_points(self.head)
+        # the placeholders look at both ends, at which characters there are, and for one word
+        if " " in self.counts or PLACEHOLDER.match(self.head + "example" * self.example + "".join(sorted(self.counts)) + self.tail):
+            return -10.0
+        return _points(self.n, self.counts, self.head[0])
+
+    def spans(self, told: dict) -> list[tuple[int, int]]:
+        """Places of all literals, without those of values in ``told``, to which this one's are added."""
+        out, rest = [], [self]
+        while rest:
+            x = rest.pop()
+            if not isinstance(x, Value):
+                out.append(x[1:])
+            elif id(x) not in told:
+                told[id(x)] = x
+                rest += x.items
+        return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -68,7 +123,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _right_side(text: str, tokens: list, at: int, stop: int, bound: dict, bare: bool):
-    """Literals (value, start, end) from token ``at`` on, and the token behind them."""
+    """Literals (value, start, end) and values of names from token ``at`` on, and the token behind them."""
     found = []
     while at < len(tokens):
         kind, start, end = tokens[at]
@@ -76,7 +131,7 @@ def _right_side(text: str, tokens: list, at: int, stop: int, bound: dict, bare:
             found.append((text[start + 1 : end - 1], start + 1, end - 1))
             at += 1
         elif kind == "name" and text[start:end] in bound and not BARE.match(text, start).end() > end:
-            found += bound[text[start:end]]
+            found.append(bound[text[start:end]])
             at += 1
         elif bare and not found and (m := BARE.match(text, start, stop)):
             found.append((m.group(), m.start(), m.end()))
@@ -95,8 +150,8 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of literals that reach a sensitive name."""
     if "=" not in text and ":" not in text and "(" not in text:
         return []
-    bound: dict[str, list] = {}
-    out, at = set(), 0
+    bound: dict[str, Value] = {}
+    out, at, told = set(), 0, {}
     for line in text.split("\n"):
         stop = at + len(line)
         if "=" in line or ":" in line or ("(" in line and ("'" in line or '"' in line)):
@@ -109,12 +164,11 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
                 if op in BINDS and before[0] in ("name", "str"):
                     name = text[before[1] : before[2]].strip("\"'")
                     literals, n = _right_side(text, tokens, n + 1, stop, bound, bare=op != "(")
-                    if literals and len(name) <= 100:
-                        # a long chain of joins is kept as its first parts; all of them are reported below
-                        bound[name] = literals[:16]
+                    if literals:
+                        bound[name] = value = literals[0] if len(literals) == 1 and isinstance(literals[0], Value) else Value(literals)
                         points = name_points(name)
-                        if points >= 2 and points + value_points("".join(v for v, _, _ in literals)) >= THRESHOLD:
-                            out.update((a, 3, b) for v, a, b in literals if b > a)
+                        if points >= 2 and points + value.points() >= THRESHOLD:
+                            out.update((a, 3, b) for a, b in value.spans(told) if b > a)
                 else:
                     n += 1
         at = stop + 1
@@ -124,7 +178,8 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and these with the lexed ones that no base span holds already."""
     base = base_spans(text)
-    lexed = [s for s in lexed_spans(text) if not any(b[0] <= s[0] and s[2] <= b[2] for b in base)]
+    starts, ends = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
+    lexed = [s for s in lexed_spans(text) if not (n := bisect_right(starts, s[0])) or ends[n - 1] < s[2]]
     return base, sorted(base + lexed)
 
 
