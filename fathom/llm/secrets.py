@@ -1,8 +1,8 @@
 """Operator 1: secret scan by assignment-aware lexing.
 
-Lines that can hold an assignment are cut into names, string literals, bare values and operators, in the syntax
-that source code and configuration share (``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``, ``name => x``,
-``setName("x")``).  Every target is bound to the literals of its right side; a name on a right side stands for what it
+A text that can hold an assignment is cut into names, string literals, bare values and operators, in the syntax that source code and configuration share (``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``, ``name => x``,
+``setName("x")``).  A right side goes on over line ends after an operator, within brackets, before or after a ``+``, after
+a backslash, in triple quotes and in the lines of a block that ``>`` or ``|`` announces.  Every target is bound to the literals of its right side; a name on a right side stands for what it
 was bound to before, and ``+`` joins, so constants are followed to the place where they are spelled.  A literal is a
 secret if the name it ends up in is a sensitive one and the value looks like a credential.  Plain patterns for
 assignments, access key ids and long hex strings are always reported as well.
@@ -26,8 +26,15 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-LEX = re.compile(r"""(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[:=+(])|(?P<other>[^\s"'A-Za-z_$:=+(]+|\S)""", re.ASCII)
+LEX = re.compile(r"""(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[:=+(])|(?P<line>\n)|(?P<mark>[\[\]{}),])|(?P<other>[^\s"'A-Za-z_$:=+(\[\]{}),]+|\S)""", re.ASCII)
 BARE = re.compile(r"[^\s,;\"'(){}\[\]]+")
+#: A bare value that has the next line to itself and isn't an assignment of its own.
+ALONE = re.compile(r"(?![\w.$-]+(?::|=[^=\s]))[^\s,;\"'(){}\[\]]+(?=[,;]?[^\S\n]*(?:\n|\Z))", re.ASCII)
+#: The mark of a block of lines, and a line.
+BLOCK = re.compile(r"[|>][0-9+-]*[^\S\n]*(?:#[^\n]*)?\n")
+LINE = re.compile(r"([^\S\n]*)([^\n]*)(?:\n|\Z)")
+#: What frames a key in base64 isn't part of its value.
+FRAME = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----(?:\\[nr])*")
 BINDS = {"=", ":", ":=", "=>", "("}
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
@@ -122,28 +129,93 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _right_side(text: str, tokens: list, at: int, stop: int, bound: dict, bare: bool):
-    """Literals (value, start, end) and values of names from token ``at`` on, and the token behind them."""
-    found = []
+def _lines(text: str, start: int, stop: int) -> list[tuple[str, int, int]]:
+    """The lines from start to stop as literals, without the blanks around them."""
+    out, at = [], start
+    for line in text[start:stop].split("\n"):
+        if bare := line.strip():
+            a = at + line.index(bare)
+            out.append((FRAME.sub("", bare), a, a + len(bare)))
+        at += len(line) + 1
+    return out
+
+
+def _block(text: str, key: int, start: int) -> int:
+    """The end of the lines from ``start`` on that stand further in than the line with the key."""
+    indent = len(LINE.match(text, text.rfind("\n", 0, key) + 1)[1])
+    while start < len(text):
+        line = LINE.match(text, start)
+        if line[2] and len(line[1]) <= indent:
+            break
+        start = line.end()
+    return start
+
+
+def _right_side(text: str, tokens: list, op: int, bound: dict):
+    """Literals (value, start, end) and values of names behind the operator at token ``op``, and the token to go on from.
+
+    Block marks and triple quotes hold text that is read for assignments of its own as well.
+    """
+
+    def is_op(n: int, *ops: str) -> bool:
+        return n < len(tokens) and tokens[n][0] == "op" and text[tokens[n][1] : tokens[n][2]] in ops
+
+    def skipped(n: int) -> int:
+        while n < len(tokens) and tokens[n][0] == "line":
+            n += 1
+        return n
+
+    call = is_op(op, "(")
+    found: list = []
+    go_on = -1
+    depth, at, bare, wrapped, after = int(call), op + 1, not call, False, True
     while at < len(tokens):
         kind, start, end = tokens[at]
-        if kind == "str":
-            found.append((text[start + 1 : end - 1], start + 1, end - 1))
-            at += 1
-        elif kind == "name" and text[start:end] in bound and not BARE.match(text, start).end() > end:
+        if kind == "line":
+            n = skipped(at)
+            if not after and not depth and not (bare is not None and is_op(n, "+") and n + 1 < len(tokens) and tokens[n + 1][0] in ("str", "name")):
+                break
+            at, wrapped = n, True
+        elif kind == "other" and text[start:end] == "\\" and at + 1 < len(tokens) and tokens[at + 1][0] == "line":
+            at, after, wrapped = at + 2, True, True
+        elif not after and is_op(at, "+"):
+            at, after = at + 1, True
+        elif kind == "mark" and text[start] == "," and depth > call and not after:
+            at, after = at + 1, True
+        elif kind == "mark" and text[start] in ")]}" and depth > call:
+            at, depth, after = at + 1, depth - 1, False
+        elif after and (kind == "mark" and text[start] in "[{" or is_op(at, "(")):
+            at, depth = at + 1, depth + 1
+        elif text.startswith(('"""', "'''"), start) and kind in ("str", "other") and (after or depth):
+            if (stop := text.find(text[start : start + 3], start + 3)) < 0:
+                break
+            found += _lines(text, start + 3, stop)
+            go_on = at + 1 if go_on < 0 else go_on
+            while at < len(tokens) and tokens[at][1] < stop + 3:
+                at += 1
+            after = False
+        elif kind == "str" and (after or depth):
+            if (depth or wrapped) and is_op(skipped(at + 1), ":", "=>", "=", ":="):
+                break  # a key
+            value = text[start + 1 : end - 1]
+            found.append((FRAME.sub("", value), start + 1, end - 1))
+            at, after = at + 1, False
+        elif kind == "name" and after and text[start:end] in bound and not BARE.match(text, start).end() > end and not (wrapped and is_op(at + 1, *BINDS)):
             found.append(bound[text[start:end]])
-            at += 1
-        elif bare and not found and (m := BARE.match(text, start, stop)):
+            at, after = at + 1, False
+        elif after and not found and is_op(op, ":") and not wrapped and (m := BLOCK.match(text, start)):
+            stop = _block(text, tokens[op][1], m.end())
+            found += _lines(text, m.end(), stop)
+            go_on = at + 1
+            break
+        elif after and bare and not found and (m := (ALONE if wrapped else BARE).match(text, start)) and (not depth or wrapped):
             found.append((m.group(), m.start(), m.end()))
             while at < len(tokens) and tokens[at][1] < m.end():
                 at += 1
+            after, bare = False, None  # a bare value doesn't go on in a line that begins with +
         else:
             break
-        if at < len(tokens) and tokens[at][0] == "op" and text[tokens[at][1] : tokens[at][2]] == "+":
-            at += 1
-        else:
-            break
-    return found, at
+    return found, max(op + 1, at if go_on < 0 else go_on)
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
@@ -151,27 +223,25 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     if "=" not in text and ":" not in text and "(" not in text:
         return []
     bound: dict[str, Value] = {}
-    out, at, told = set(), 0, {}
-    for line in text.split("\n"):
-        stop = at + len(line)
-        if "=" in line or ":" in line or ("(" in line and ("'" in line or '"' in line)):
-            tokens = [(m.lastgroup, m.start(), m.end()) for m in LEX.finditer(text, at, stop)]
-            n = 1
-            while n < len(tokens):
-                kind, start, end = tokens[n]
-                before = tokens[n - 1]
-                op = text[start:end] if kind == "op" else ""
-                if op in BINDS and before[0] in ("name", "str"):
-                    name = text[before[1] : before[2]].strip("\"'")
-                    literals, n = _right_side(text, tokens, n + 1, stop, bound, bare=op != "(")
-                    if literals:
-                        bound[name] = value = literals[0] if len(literals) == 1 and isinstance(literals[0], Value) else Value(literals)
-                        points = name_points(name)
-                        if points >= 2 and points + value.points() >= THRESHOLD:
-                            out.update((a, 3, b) for a, b in value.spans(told) if b > a)
-                else:
-                    n += 1
-        at = stop + 1
+    out, told = set(), {}
+    tokens = [(m.lastgroup, m.start(), m.end()) for m in LEX.finditer(text)]
+    go_on = 1
+    for n in [n for n, t in enumerate(tokens) if t[0] == "op"]:
+        op = text[tokens[n][1] : tokens[n][2]]
+        if n < go_on or op not in BINDS:
+            continue
+        target = n - 1
+        while target > 0 and tokens[target][0] == "line" and op not in (":", "("):
+            target -= 1
+        if tokens[target][0] not in ("name", "str"):
+            continue
+        name = text[tokens[target][1] : tokens[target][2]].strip("\"'")
+        literals, go_on = _right_side(text, tokens, n, bound)
+        if literals:
+            bound[name] = value = literals[0] if len(literals) == 1 and isinstance(literals[0], Value) else Value(literals)
+            points = name_points(name)
+            if points >= 2 and points + value.points() >= THRESHOLD:
+                out.update((a, 3, b) for a, b in value.spans(told) if b > a)
     return sorted(out)
 
 

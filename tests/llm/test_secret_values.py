@@ -41,3 +41,29 @@ def test_points_of_joined_literals():
         for p in parts[1:]:
             value = secrets.Value([value, (p, 0, 1)])
         assert value.points() == pytest.approx(secrets.value_points("".join(parts)))
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('password =\n    "hunter2-Ab9zz"', ["hunter2-Ab9zz"]),
+        ('String password\n    = "hunter2-Ab9zz";', ["hunter2-Ab9zz"]),
+        ("password:\n  hunter2-Ab9zz\nnext: 1", ["hunter2-Ab9zz"]),
+        ("a:\n  secret: >\n    Ab12Cd34\n    Ef56Gh78\n  next: Zz99Yy88xx", ["Ab12Cd34", "Ef56Gh78"]),
+        ('private_key = "-----BEGIN PRIVATE KEY-----\\n" +\n  "MIIEvQIBAD4N" +\n  "BgkqhkiG9w0B"', ["-----BEGIN PRIVATE KEY-----\\n", "MIIEvQIBAD4N", "BgkqhkiG9w0B"]),
+        ('private_key = "MIIEvQIBAD4N"\n  + "BgkqhkiG9w0B"', ["MIIEvQIBAD4N", "BgkqhkiG9w0B"]),
+        ("private_key: |\n  -----BEGIN RSA PRIVATE KEY-----\n  MIIEvQIBAD4N\n  -----END RSA PRIVATE KEY-----\n", ["-----BEGIN RSA PRIVATE KEY-----", "MIIEvQIBAD4N", "-----END RSA PRIVATE KEY-----"]),
+        ('token = (\n  "MIIEvQIBAD4N"\n  "BgkqhkiG9w0B"\n)', ["MIIEvQIBAD4N", "BgkqhkiG9w0B"]),
+        ('token = [\n  "MIIEvQIBAD4N",\n  "BgkqhkiG9w0B",\n]', ["MIIEvQIBAD4N", "BgkqhkiG9w0B"]),
+        ('token = """\nMIIEvQIBAD4N\n  BgkqhkiG9w0B\n"""', ["MIIEvQIBAD4N", "BgkqhkiG9w0B"]),
+        ('x = """\npassword = "hunter2-Ab9zz"\n"""', ["hunter2-Ab9zz"]),
+        ('setPassword(\n  "hunter2-Ab9zz"\n)', ["hunter2-Ab9zz"]),
+        ('part = "MIIEvQ" +\n "IBAD4N"\nprivate_key =\n part', ["MIIEvQ", "IBAD4N"]),
+        ('secrets:\n  title: "Xy9$kLmn0pQ2rS8t"', []),
+        ('secrets = {\n  "Title99x": "Xy9$kLmn0pQ2rS8t"}', []),
+        ("The password:\nPlease see the next page for it", []),
+        ('password = x\ny = "Xy9$kLmn0pQ2rS8t"', []),
+    ],
+)
+def test_assignments_over_line_ends(text, want):
+    assert found(text) == want
