@@ -14,10 +14,10 @@ def lcov_lines(text: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("source").orderBy("at")
     value = F.trim("value")
-    marked = text.select("source", "at", value.alias("value"), F.when(value.startswith("SF:"), F.substring(value, 4, 10_000)).when(value == "end_of_record", F.lit("")).alias("opened"), F.when(value.startswith("SF:"), F.col("at")).alias("opened_at"))
+    marked = text.select("source", "at", value.alias("value"), F.when(value.startswith("SF:"), value.substr(F.lit(4), F.length(value))).when(value == "end_of_record", F.lit("")).alias("opened"), F.when(value.startswith("SF:"), F.col("at")).alias("opened_at"))
     within = marked.withColumns({"file": F.last("opened", True).over(order), "record": F.last("opened_at", True).over(order)})
     hits = within.where(F.col("value").startswith("DA:") & (F.col("file") != ""))
-    parts = F.split(F.substring("value", 4, 10_000), ",")
+    parts = F.split(F.col("value").substr(F.lit(4), F.length("value")), ",")
     rows = hits.select("source", "file", "record", F.try_element_at(parts, F.lit(1)).try_cast("int").alias("line"), F.try_element_at(parts, F.lit(2)).try_cast("long").alias("hits")).where("line is not null and hits is not null")
     last = within.where(F.col("value").startswith("SF:")).groupBy("source", "file").agg(F.max("record").alias("record"))
     return rows.join(last, ["source", "file", "record"], "left_semi").select("file", "line", "hits")

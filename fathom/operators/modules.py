@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Deepest module path that a file is looked up by.
-MOST_DEPTH = 64
-
 
 def assign(issues: DataFrame, modules: DataFrame) -> DataFrame:
     """Issues with the module whose path is the longest prefix of theirs, by whole path components.
@@ -16,7 +13,7 @@ def assign(issues: DataFrame, modules: DataFrame) -> DataFrame:
     """
     files = issues.select("file").distinct()
     parts = F.split("file", "/")
-    prefixes = files.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(MOST_DEPTH))), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("path")))).alias("p")).select("file", "p.*")
+    prefixes = files.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("path")))).alias("p")).select("file", "p.*")
     known = modules.select(F.col("name").alias("found"), F.regexp_replace("path", "/+$", "").alias("path"))
     best = prefixes.join(known, "path").groupBy("file").agg(F.max_by("found", "depth").alias("found"))
     return issues.join(best, "file", "left").withColumn("module", F.coalesce("found", F.lit(None).cast("string"))).drop("found").select(*issues.columns)
