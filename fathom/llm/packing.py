@@ -1,17 +1,17 @@
 """Operator 2: harmonic packing of tokenised documents into fixed-length training sequences.
 
-A document's ids are cut into pieces whose lengths are reciprocals of the capacity: C, C/2, C/4, ...  Each
-length is a class, and a bin of class ``C/k`` holds exactly ``k`` pieces, so a class fills its bins without
-knowing of any other class or worker and no bin has a gap.  Every task packs its own partition as it streams
-through it: it holds fewer than ``k`` open pieces of each class, and there is no shuffle.  What is open at the
-end of a partition is laid out from the longest to the shortest piece, which fills whole sequences again; the
-one rest is divided into sequences whose lengths are powers of two.
+Lengths are divided into classes by the reciprocals of the capacity: 1, 1/2, 1/3, 1/4, ...  A bin of class ``k`` holds
+exactly ``k`` pieces, so a class fills its bins without knowing of any other class or worker.  Since documents may be
+cut, a piece is cut to the place that it goes to, a k-th of the capacity, and the rest of the document goes to a later
+class; so bins have no gaps, and there are few pieces since what is left shrinks with the square.  Every task packs its
+own partition as it streams through it: it holds fewer than ``k`` open pieces of each class, and there is no shuffle.
+What is open at the end of a partition is laid out in whole sequences again; the one rest is divided into sequences
+whose lengths are powers of two.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -94,59 +94,54 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def class_lengths(capacity: int) -> list[int]:
-    """Piece lengths of the classes: the capacity divided by 1, 2, 4, ... down to one id."""
-    out = []
-    while capacity >> len(out):
-        out.append(capacity >> len(out))
-    return out
-
-
-def cut(n: int, lengths: list[int]) -> Iterator[tuple[int, int]]:
-    """(class, start) of the pieces of a document of ``n`` ids: the longest pieces first, so as few as can be."""
-    at = 0
-    for k, length in enumerate(lengths):
-        while n - at >= length:
-            yield k, at
-            at += length
-
-
 class HarmonicPacker:
-    """Open bins of one worker.  ``add`` and ``finish`` yield ``(sequence number, [(piece, offset), ...])``."""
+    """Open bins of one worker, for documents of packed 4-byte ids.
+
+    Class ``k`` is for what is at least a k-th of the capacity long and shorter than the class before.  Its bins have
+    ``k`` places, which divide the capacity as evenly as whole numbers do, and a document is cut to the next free one; what
+    is left of it belongs to a later class, and so on.  ``add`` and ``finish`` yield
+    ``(sequence number, [((key, start, ids, document's length), offset), ...])``.
+    """
 
     def __init__(self, capacity: int):
         self.capacity = capacity
-        self.lengths = class_lengths(capacity)
-        self.open: list[list] = [[] for _ in self.lengths]
+        self.open: dict[int, list] = {}
         self.sequences = 0
 
-    def _close(self, pieces: list, lengths: list[int]):
-        offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]]).tolist()
+    def _close(self, filled: list):
         self.sequences += 1
-        return self.sequences - 1, list(zip(pieces, offsets))
-
-    def add(self, k: int, piece):
-        bin_ = self.open[k]
-        bin_.append(piece)
-        if len(bin_) == 1 << k:
-            self.open[k] = []
-            yield self._close(bin_, [self.lengths[k]] * len(bin_))
+        return self.sequences - 1, filled
+
+    def add(self, key, data: bytes):
+        n, at, capacity = len(data) // 4, 0, self.capacity
+        while at < n:
+            k = -(-capacity // (n - at))
+            bin_ = self.open.setdefault(k, [])
+            offset = capacity * len(bin_) // k
+            length = capacity * (len(bin_) + 1) // k - offset
+            bin_.append(((key, at, data[4 * at : 4 * (at + length)], n), offset))
+            at += length
+            if len(bin_) == k:
+                yield self._close(self.open.pop(k))
 
     def finish(self):
-        rest = [(piece, self.lengths[k]) for k, bin_ in enumerate(self.open) for piece in bin_]
-        self.open = [[] for _ in self.lengths]
-        left = sum(n for _, n in rest)
-        at = 0
-        while at < len(rest):
-            # whole sequences while they last, then the powers of two that the rest adds up to
-            room = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
-            taken, size = [], 0
-            while at < len(rest) and size + rest[at][1] <= room:
-                taken.append(rest[at])
-                size += rest[at][1]
-                at += 1
-            left -= size
-            yield self._close([p for p, _ in taken], [n for _, n in taken])
+        """The open bins' pieces one after the other: whole sequences, then the powers of two that the rest adds up to."""
+        left = sum(len(piece[2]) for bin_ in self.open.values() for piece, _ in bin_) // 4
+        filled, size, room = [], 0, self._room(left)
+        for _, bin_ in sorted(self.open.items()):
+            for (key, start, data, n), _ in bin_:
+                while data:
+                    now, data = data[: 4 * (room - size)], data[4 * (room - size) :]
+                    filled.append(((key, start, now, n), size))
+                    start, size = start + len(now) // 4, size + len(now) // 4
+                    if size == room:
+                        yield self._close(filled)
+                        left -= room
+                        filled, size, room = [], 0, self._room(left)
+        self.open = {}
+
+    def _room(self, left: int) -> int:
+        return self.capacity if left >= self.capacity else 1 << max(0, left.bit_length() - 1)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -155,8 +150,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
     Every document's ids end with ``end_id``; a null or empty text is that id alone.  Rows with the same id are
     packed as documents of their own; a null id stays null.  An empty table gives no rows.  Sequence ids are
     unique over the whole result: the partition's number in the upper bits, the worker's count in the lower 40.
-    A lost task is packed again from its own partition and gives the same rows.
+    A lost task is packed again from its own partition and gives the same rows.  ``capacity`` is any number from 1 on.
     """
+    if capacity < 1:
+        raise ValueError(f"a sequence of {capacity} ids can't be filled")
 
     def task(parts):
         tokenizer, packer = word_tokenizer(vocabulary), HarmonicPacker(capacity)
@@ -175,10 +172,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
         for keys, texts in parts:
             out = []
             for key, data in zip(keys, tokenizer.batch([t or "" for t in texts])):
-                data += end
-                total = len(data) // 4
-                for k, at in cut(total, packer.lengths):
-                    out += rows(packer.add(k, (key, at, data[4 * at : 4 * (at + packer.lengths[k])], total)))
+                out += rows(packer.add(key, data + end))
             if out:
                 yield sent(out)
         out = list(rows(packer.finish()))

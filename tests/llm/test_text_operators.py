@@ -103,19 +103,40 @@ def test_packing_on_edge_rows(spark):
     docs = edge_docs(spark).repartition(3)
     assert check_packing(pack_documents(docs, WORD_BPE).collect(), [r[:2] for r in edge_rows()], 2048) == 0
     assert check_packing(pack_documents(docs, WORD_BPE, capacity=64).collect(), [r[:2] for r in edge_rows()], 64) == 0
+    assert check_packing(pack_documents(docs, WORD_BPE, capacity=100).collect(), [r[:2] for r in edge_rows()], 100) == 0
     assert pack_documents(no_docs(spark), WORD_BPE).count() == 0
 
 
-def test_every_bin_holds_a_fixed_number_of_pieces():
-    packer, filled = packing.HarmonicPacker(2048), []
+@pytest.mark.parametrize("capacity", [2048, 2000, 97])
+def test_every_bin_holds_a_fixed_number_of_pieces(capacity):
+    packer, filled, pieces = packing.HarmonicPacker(capacity), [], 0
     rng = random.Random(5)
-    for doc in range(300):
-        for k, at in packing.cut(rng.randint(1, 5000), packer.lengths):
-            filled += list(packer.add(k, (doc, at, k)))
-    for _, pieces in filled:
-        assert len({p[2] for p, _ in pieces}) == 1 and len(pieces) == 1 << pieces[0][0][2]
+    for doc in range(3000):
+        n = rng.randint(1, 2 * capacity)
+        filled += list(packer.add(doc, bytes(4 * n)))
+    for _, bin_ in filled:
+        lengths = [len(data) // 4 for (_, _, data, _), _ in bin_]
+        assert sum(lengths) == capacity and max(lengths) - min(lengths) <= 1
+        assert {capacity // len(bin_), -(-capacity // len(bin_))} >= set(lengths)
+        pieces += len(bin_)
+    assert pieces < 4 * 3000
     rest = list(packer.finish())
-    assert sum(sum(packer.lengths[p[2]] for p, _ in pieces) < 2048 for _, pieces in rest) <= 11
+    assert sum(sum(len(data) // 4 for (_, _, data, _), _ in bin_) < capacity for _, bin_ in rest) <= capacity.bit_length()
+    assert [number for number, _ in filled + rest] == list(range(len(filled) + len(rest)))
+
+
+def test_packing_ends_for_every_capacity():
+    for capacity in range(1, 201):
+        packer, rng, got = packing.HarmonicPacker(capacity), random.Random(capacity), defaultdict(list)
+        sizes = [rng.randint(1, 3 * capacity) for _ in range(rng.randint(0, 12))]
+        filled = [s for doc, n in enumerate(sizes) for s in packer.add(doc, np.arange(n, dtype="<u4").tobytes())]
+        for _, bin_ in filled + list(packer.finish()):
+            size = sum(len(data) // 4 for (_, _, data, _), _ in bin_)
+            assert size == capacity or size < capacity and size & (size - 1) == 0
+            for (doc, start, data, n), _ in bin_:
+                assert n == sizes[doc] and np.frombuffer(data, "<u4").tolist() == list(range(start, start + len(data) // 4))
+                got[doc] += range(start, start + len(data) // 4)
+        assert {doc: sorted(ids) for doc, ids in got.items()} == {doc: list(range(n)) for doc, n in enumerate(sizes)}
 
 
 # Operator 4
