@@ -12,6 +12,7 @@ from __future__ import annotations
 import io
 import re
 from collections import Counter
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -31,8 +32,10 @@ ROUNDS, SMOOTHING, SEED = 4, 0.05, 11
 UNKNOWN = -18.0
 #: Words that a worker keeps, and the longest of these.
 CACHE_WORDS, CACHE_WORD_CHARS = 500_000, 48
-#: Words that go through the forward algorithm together, and characters of a longer word's parts.
-BATCH_WORDS, PART_CHARS = 20_000, 32
+#: Words that go through the forward algorithm together, and nodes of a batch with longer words.
+BATCH_WORDS, BATCH_NODES = 20_000, 1 << 18
+#: Steps after which probabilities are scaled anew, so that words of any length stay within doubles.
+STRETCH = 32
 
 
 class Pieces:
@@ -48,6 +51,7 @@ class Pieces:
             if piece.lstrip(START).isalpha() or piece == START:
                 spelled.setdefault(piece, len(spelled))
         self.size = len(spelled)
+        self.longest = max(map(len, spelled), default=1)
         self.automaton = ahocorasick.Automaton()
         for piece, n in spelled.items():
             self.automaton.add_word(piece, n * 256 + len(piece))
@@ -57,31 +61,30 @@ class Pieces:
         """Arcs (from node, to node, piece) over all words, by end, and each word's first and last node."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
         stops = np.cumsum(lengths)
-        found = list(self.automaton.iter("".join([f"{START}{w}\n" for w in words])))
-        to = np.array([end for end, _ in found], dtype=np.int64) + 1
-        coded = np.array([c for _, c in found], dtype=np.int64)
+        found = np.fromiter(chain.from_iterable(self.automaton.iter("".join([f"{START}{w}\n" for w in words]))), dtype=np.int64)
+        to, coded = found[::2] + 1, found[1::2]
         return to - coded % 256, to, coded // 256, stops - lengths, stops - 1
 
     def forward(self, words: list[str], probability: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language."""
         out = np.zeros((len(words), probability.shape[1]))
-        for at in range(0, len(words), BATCH_WORDS):
-            out[at : at + BATCH_WORDS] = self.run(words[at : at + BATCH_WORDS], probability)
+        for rows in batches_of(words):
+            out[rows] = self.run([words[i] for i in rows], probability)
         return out
 
     def run(self, words: list[str], probability: np.ndarray, expect: np.ndarray | None = None, weights: np.ndarray | None = None) -> np.ndarray:
-        """Forward pass over a batch of words of at most ``PART_CHARS`` characters; log probabilities.
+        """Forward pass over a batch of words of any length; log probabilities.
 
         With ``weights (words, languages)``, a backward pass adds to ``expect (pieces, languages)``.  A character can
-        always be taken as unknown, so every word has a segmentation; with these lengths nothing underflows.
+        always be taken as unknown, so every word has a segmentation.  The nodes of every ``STRETCH`` characters of a word
+        have a scale of their own, by which what comes from the stretch before is changed.
         """
         source, to, piece, first, last = self.lattice(words)
         size = int(last[-1]) + 1
         word = np.repeat(np.arange(len(words)), last - first + 1)
-        depth = (np.arange(size) - first[word]).astype(np.int16)
+        depth = np.arange(size) - first[word]
         order = np.argsort(depth[to], kind="stable")
         source, to, piece = source[order], to[order], piece[order]
-        weight = probability[piece]
         by_depth = np.argsort(depth, kind="stable")
         longest = int(depth.max())
         nodes_at = np.searchsorted(depth[by_depth], np.arange(longest + 2))
@@ -89,24 +92,70 @@ class Pieces:
         unknown = np.exp(UNKNOWN)
         alpha = np.zeros((size, probability.shape[1]))
         alpha[first] = 1.0
+        scales = [np.zeros((len(words), probability.shape[1]))]  # logarithms, by stretch
         for d in range(1, longest + 1):
             nodes = by_depth[nodes_at[d] : nodes_at[d + 1]]
-            alpha[nodes] = alpha[nodes - 1] * unknown
-            _add_groups(alpha, to[arcs_at[d] : arcs_at[d + 1]], alpha[source[arcs_at[d] : arcs_at[d + 1]]] * weight[arcs_at[d] : arcs_at[d + 1]])
+            arcs = slice(arcs_at[d], arcs_at[d + 1])
+            before, into = alpha[nodes - 1], alpha[source[arcs]] * probability[piece[arcs]]
+            if d % STRETCH == 0:
+                # the node before is reached by every segmentation into unknowns, so it is never zero
+                scales.append(scales[-1].copy())
+                scales[-1][word[nodes]] += np.log(before)
+            if d >= STRETCH and d % STRETCH <= self.longest:
+                into *= self._factor(scales, word[to[arcs]], depth[source[arcs]], d)
+                if d % STRETCH == 0:
+                    before = np.ones_like(before)
+            alpha[nodes] = before * unknown
+            _add_groups(alpha, to[arcs], into)
+        logs = np.log(alpha[last])
+        ends = depth[last] // STRETCH
+        total = logs + np.stack([scales[e][i] for i, e in enumerate(ends.tolist())]) if longest >= STRETCH else logs
         if expect is not None:
             order = np.lexsort((source, depth[source]))
-            source, to, piece, weight = source[order], to[order], piece[order], weight[order]
+            source, to, piece = source[order], to[order], piece[order]
             arcs_at = np.searchsorted(depth[source], np.arange(longest + 2))
+            # sums over the ends of words divided by the words' probabilities, and scaled like alpha
             beta = np.zeros_like(alpha)
-            beta[last] = 1.0
+            beta[last] = 1 / alpha[last]
             for d in range(longest - 1, -1, -1):
                 nodes = by_depth[nodes_at[d] : nodes_at[d + 1]]
                 nodes = nodes[nodes < last[word[nodes]]]
-                beta[nodes] = beta[nodes + 1] * unknown
-                _add_groups(beta, source[arcs_at[d] : arcs_at[d + 1]], beta[to[arcs_at[d] : arcs_at[d + 1]]] * weight[arcs_at[d] : arcs_at[d + 1]])
-            share = weights / alpha[last]
-            np.add.at(expect, piece, alpha[source] * weight * beta[to] * share[word[source]])
-        return np.log(alpha[last])
+                arcs = slice(arcs_at[d], arcs_at[d + 1])
+                after, into = beta[nodes + 1] * unknown, beta[to[arcs]] * probability[piece[arcs]]
+                if longest >= STRETCH:
+                    far = depth[to[arcs]] // STRETCH > d // STRETCH
+                    if far.any():
+                        into[far] *= self._factor(scales, word[to[arcs]][far], d, depth[to[arcs]][far])
+                    if (d + 1) % STRETCH == 0:
+                        after *= self._factor(scales, word[nodes], d, d + 1)
+                beta[nodes] = after
+                _add_groups(beta, source[arcs], into)
+                np.add.at(expect, piece[arcs], alpha[source[arcs]] * into * weights[word[source[arcs]]])
+        return total
+
+    @staticmethod
+    def _factor(scales: list[np.ndarray], word: np.ndarray, source, to) -> np.ndarray:
+        """What takes values from the scale at one depth of a word to that of another, not lesser one."""
+        a, b = np.broadcast_to(source, word.shape) // STRETCH, np.broadcast_to(to, word.shape) // STRETCH
+        if not len(word):
+            return np.ones((0, scales[0].shape[1]))
+        low, high = int(a.min()), int(b.max())
+        tables = np.stack(scales[low : high + 1])
+        return np.exp(tables[a - low, word] - tables[b - low, word])
+
+
+def batches_of(words: list[str]) -> list[list[int]]:
+    """Numbers of the words that go through together: those shorter than a stretch, then longer ones by length."""
+    short = [i for i, w in enumerate(words) if len(w) + 1 < STRETCH]
+    out = [short[at : at + BATCH_WORDS] for at in range(0, len(short), BATCH_WORDS)]
+    nodes = BATCH_NODES
+    for i in sorted((i for i, w in enumerate(words) if len(w) + 1 >= STRETCH), key=lambda i: len(words[i])):
+        nodes += len(words[i]) + 2
+        if nodes > BATCH_NODES:
+            out.append([])
+            nodes = len(words[i]) + 2
+        out[-1].append(i)
+    return out
 
 
 def _add_groups(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
@@ -131,11 +180,6 @@ def words_of(text: str) -> list[str]:
     return words if all(map(str.isalpha, words)) else [w for w in words if w.isalpha()] + [c for w in words if not w.isalpha() for c in w if c.isalpha()]
 
 
-def parts_of(word: str) -> list[str]:
-    """A very long run of letters in parts; each is scored as a word, and none is left out."""
-    return [word[at : at + PART_CHARS] for at in range(0, len(word), PART_CHARS)]
-
-
 def fit(docs: DataFrame, vocabulary: str, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> bytes:
     """Languages and probabilities of pieces, from about ``per_language`` documents of each outside fold 0.
 
@@ -152,7 +196,7 @@ def fit(docs: DataFrame, vocabulary: str, per_language: int = SAMPLE_PER_LANGUAG
 
     def task(parts):
         for texts, langs in parts:
-            counts = Counter((lang, p) for t, lang in zip(texts, langs) for w in words_of(t) for p in parts_of(w))
+            counts = Counter((lang, w) for t, lang in zip(texts, langs) for w in words_of(t))
             yield [[k for k, _ in counts], [w for _, w in counts], list(counts.values())]
 
     counts = map_batches(chosen, ["text", "lang"], "lang string, word string, n long", task).groupBy("word").pivot("lang", languages).agg(F.sum("n")).na.fill(0).toArrow()
@@ -167,11 +211,11 @@ def fit(docs: DataFrame, vocabulary: str, per_language: int = SAMPLE_PER_LANGUAG
 def expectation_maximisation(pieces: Pieces, words: list[str], weights: np.ndarray) -> np.ndarray:
     """Probabilities (pieces, languages) from counts (words, languages)."""
     n = weights.shape[1]
-    probability = np.full((pieces.size, n), 1 / pieces.size)
+    probability, batches = np.full((pieces.size, n), 1 / pieces.size), batches_of(words)
     for _ in range(ROUNDS):
         expect = np.zeros_like(probability)
-        for at in range(0, len(words), BATCH_WORDS):
-            pieces.run(words[at : at + BATCH_WORDS], probability, expect, weights[at : at + BATCH_WORDS])
+        for rows in batches:
+            pieces.run([words[i] for i in rows], probability, expect, weights[rows])
         expect += SMOOTHING
         probability = expect / expect.sum(axis=0)
     return probability
@@ -203,10 +247,7 @@ class Identifier:
         long = [w for w in new if len(w) > CACHE_WORD_CHARS]
         base = len(self.scores)
         rows.update(zip(new, range(base, base + len(new))))
-        split = [parts_of(w) for w in new]
-        scored = self.pieces.forward([p for ps in split for p in ps], self.probability)
-        starts = np.cumsum([0, *map(len, split)])[:-1]
-        self.scores = np.concatenate([self.scores, np.add.reduceat(scored, starts, axis=0)]) if new else self.scores
+        self.scores = np.concatenate([self.scores, self.pieces.forward(new, self.probability)]) if new else self.scores
         out = []
         for ws in words:
             if not ws:

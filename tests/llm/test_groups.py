@@ -278,16 +278,18 @@ def test_forward_sums_all_segmentations():
 
     def brute(word):
         text = "▁" + word
-        total = [np.ones(2)]
+        total = [np.zeros(2)]  # logarithms
         for j in range(1, len(text) + 1):
-            total.append(total[-1] * np.exp(language.UNKNOWN))
-            for i in range(j):
+            total.append(total[-1] + language.UNKNOWN)
+            for i in range(max(0, j - pieces.longest), j):
                 if text[i:j] in number:
-                    total[j] = total[j] + total[i] * probability[number[text[i:j]]]
-        return np.log(total[-1])
+                    total[j] = np.logaddexp(total[j], total[i] + np.log(probability[number[text[i:j]]]))
+        return total[-1]
 
-    words = ["the", "éçàque", "x", "字", "hello", "thanonontioniner", "ß字q", "a" * language.PART_CHARS]
+    words = ["the", "éçàque", "x", "字", "hello", "thanonontioniner", "ß字q"]
+    words += [letters[:n] for letters in ("a" * 200, "the" * 70, "字" * 200, "字the" * 50) for n in (29, 30, 31, 32, 33, 47, 63, 64, 65, 96, 127, 200)]
     assert np.allclose(pieces.forward(words, probability), [brute(w) for w in words])
+    assert np.allclose(pieces.forward(["the" * 4000, "字" * 5000], probability), [brute("the" * 4000), brute("字" * 5000)])
 
 
 def test_expectations_add_up():
@@ -295,11 +297,40 @@ def test_expectations_add_up():
     pieces = language.pieces_of(PIECES)
     expect = np.zeros((pieces.size, 1))
     words = ["hello", "world", "segmentation"]
-    pieces.run(words, np.full((pieces.size, 1), 1 / pieces.size), expect, np.array([[2.0], [1.0], [3.0]]))
+    words += ["the" * 40, "字the" * 30]
+    pieces.run(words, np.full((pieces.size, 1), 1 / pieces.size), expect, np.array([[2.0], [1.0], [3.0], [5.0], [7.0]]))
     lengths = np.zeros(pieces.size)
     for k in pieces.automaton.keys():
         lengths[pieces.automaton.get(k) // 256] = len(k)
-    assert (expect[:, 0] * lengths).sum() == pytest.approx(2 * 6 + 6 + 3 * 13, rel=1e-3)
+    assert (expect[:, 0] * lengths).sum() == pytest.approx(2 * 6 + 6 + 3 * 13 + 5 * 121 + 7 * 121, rel=1e-3)
+
+
+def test_expectations_by_differences():
+    """Expected counts are the slopes of the words' log probabilities; on both sides of a change of scale."""
+    pieces = language.pieces_of(PIECES)
+    rng = np.random.default_rng(3)
+    probability = rng.random((pieces.size, 1)) / 1000
+    words = ["the" * n for n in (5, 10, 11, 22, 40)]
+    expect = np.zeros_like(probability)
+    pieces.run(words, probability, expect, np.ones((len(words), 1)))
+    for piece in ("the", "he", "t", "ethe", "th"):
+        if not pieces.automaton.exists(piece):
+            continue
+        n = pieces.automaton.get(piece) // 256
+        more, less = probability.copy(), probability.copy()
+        more[n] *= 1.001
+        less[n] *= 0.999
+        slope = (pieces.forward(words, more) - pieces.forward(words, less)).sum() / 0.002
+        assert expect[n, 0] == pytest.approx(slope, rel=1e-4, abs=1e-8)
+
+
+def test_language_of_long_texts():
+    """A run of a hundred thousand letters is one lattice, and its languages compare like those of its parts."""
+    pieces = language.pieces_of(PIECES)
+    probability = np.full((pieces.size, 2), 1e-4)
+    probability[pieces.automaton.get("the") // 256] = 0.1, 0.01
+    out = pieces.forward(["the" * 33_000], probability)
+    assert np.isfinite(out).all() and out[0, 0] > out[0, 1] + 30_000
 
 
 def test_language(spark):
