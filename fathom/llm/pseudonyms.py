@@ -11,10 +11,10 @@ pseudonyms, and whoever holds the key can invert them.
 * Social security numbers: the number among those with allowed parts (area not 000, 666 or 9xx, group not 00, serial not
   0000), as a pair below 88902 x 9999, goes through a network; others are left.
 * IPv4 addresses: the two 16-bit halves are added to each other's hashes.
-* Dates from 1900 to 2100: the day's number, as a pair below 150 x 487, goes through such a network; the result is a
-  real date in the same notation.  Two numbers and a year between slashes are day and month, or month and day where only
+* Dates from 1900 to 2100: the day's number, as a pair below 142 x 517, goes through such a network; the result is a
+  real date of these years in the same notation.  Two numbers and a year between slashes are day and month, or month and day where only
   that can be; of the latter, which have days from 13 on, each becomes another such date.  Digits that form no real date
-  are left.
+  (30 February) are left and not counted.
 
 A text is cut at the matches with one pattern, to which the valid card numbers in the text are added; no text is taken
 apart row by row, and there is no shuffle.
@@ -26,14 +26,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 6
-#: Days from 1900-01-01 that dates are permuted in: 150 x 487, to 2100-01-01.
-DAYS_A, DAYS_B, FIRST_DAY = 150, 487, "1900-01-01"
+#: What a key begins with in the plan, and the pattern that hides it there.
+KEY_MARK, KEY_REDACTION = "pseudonym-key:", "pseudonym-key:[^|']*"
+#: Days that dates are permuted in: all 142 x 517 from 1900-01-01 to 2100-12-31.
+DAYS_A, DAYS_B, FIRST_DAY = 142, 517, "1900-01-01"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _MONTH, _DAY, _YEAR = r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12][0-9]|3[01])", r"(?:19[0-9]{2}|20[0-9]{2}|2100)"
-#: Kinds in the order in which they are tried.  The patterns have no group that captures and bounded repeats only.
+#: Kinds in the order in which they are tried.  The patterns have no group that captures, and what can be long is taken
+#: without going back, so their time is linear; a domain has at most 127 parts by its standard.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}(?:xn--[A-Za-z0-9-]++|[A-Za-z]{2,}+)",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "date": rf"(?<![0-9./-])(?:{_YEAR}-{_MONTH}-{_DAY}|{_YEAR}/{_MONTH}/{_DAY}|{_DAY}\.{_MONTH}\.{_YEAR}|{_DAY}/{_MONTH}/{_YEAR}|{_MONTH}/{_DAY}/{_YEAR})(?![0-9]|[./-][0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[2-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z]|-[0-9])",
@@ -113,7 +116,7 @@ def _luhn_digit(digits: str) -> str:
 
 def email(m: str, key: str) -> str:
     """The part before the last dot; the top-level domain stays."""
-    end = f"regexp_extract({m}, '[.][A-Za-z]+$', 0)"
+    end = f"regexp_extract({m}, '[.][A-Za-z0-9-]+$', 0)"
     front = f"substring({m}, 1, length({m}) - length({end}))"
     return f"concat({_bind(front, 'f', _in_place('f', '0-9A-Za-z', key, literal('email')))}, {end})"
 
@@ -175,9 +178,15 @@ def valid_card(m: str) -> str:
     return _bind(digits, "d", f"cast(substring(d, -1) as int) = {_luhn_digit('substring(d, 1, length(d) - 1)')}")
 
 
+def valid_date(m: str) -> str:
+    """SQL: whether there is such a day."""
+    read = " ".join(f"when {m} like '{like}' then try_to_date({m}, '{form}')" for form, like in (("yyyy-MM-dd", "____-__-__"), ("yyyy/MM/dd", "____/__/__"), ("dd.MM.yyyy", "__.__.____")))
+    return f"case {read} else coalesce(try_to_date({m}, 'dd/MM/yyyy'), try_to_date({m}, 'MM/dd/yyyy')) end is not null"
+
+
 def kind_of(m: str) -> str:
-    """SQL: number of the kind of a match."""
-    tests = " ".join(f"when {m} rlike {literal('^(?:' + p + ')$')} then {n}" for n, p in enumerate(PATTERNS.values()))
+    """SQL: number of the kind of a match; null for what has the form of a date but is none."""
+    tests = " ".join(f"when {m} rlike {literal('^(?:' + p + ')$')} then {f'if({valid_date(m)}, {n}, null)' if name == 'date' else n}" for n, (name, p) in enumerate(PATTERNS.items()))
     return f"case {tests} end"
 
 
@@ -190,10 +199,12 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """``(id, text, n_email, n_ip, n_date, n_phone, n_ssn, n_card)`` of every document.
 
     ``text`` has the pseudonyms in the places of the values; counts are of values found (long).  Card numbers with a wrong
-    Luhn sum are left and not counted, and so are social security numbers with parts that aren't allowed.  A null text
+    Luhn sum are left and not counted, and so are social security numbers with parts that aren't allowed and days that no
+    month has.  The key stands in the plan behind ``KEY_MARK``; a session that sets ``spark.sql.redaction.string.regex`` to
+    ``KEY_REDACTION`` keeps it out of what ``explain`` and the user interface show.  A null text
     stays null with counts of 0; a text without a match stays as it is.  Repeated rows each give a row.
     """
-    text = F.col("text")
+    key, text = KEY_MARK + key, F.col("text")
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # at every place, since a number with a wrong sum may overlap one with a right sum
     cards = F.expr(f"array_distinct(filter(regexp_extract_all(text, {literal(f'(?=({PATTERNS["card"]}))')}, 1), m -> {valid_card('m')}))")

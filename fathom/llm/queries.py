@@ -12,7 +12,7 @@ from fathom.llm.codec import codec_digests
 from fathom.llm.line_rules import clean_documents
 from fathom.llm.oracles import ORACLE_SQL  # noqa: F401
 from fathom.llm.packing import pack_documents
-from fathom.llm.pseudonyms import pseudonymise
+from fathom.llm.pseudonyms import KEY_REDACTION, pseudonymise
 from fathom.llm.secrets import scan_secrets
 from fathom.llm.simhash import near_duplicates
 from fathom.llm.token_counts import count_tokens
@@ -49,6 +49,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if not spark.conf.get("spark.sql.redaction.string.regex", None):
+        spark.conf.set("spark.sql.redaction.string.regex", KEY_REDACTION)
     return pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
