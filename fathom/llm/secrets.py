@@ -1,8 +1,10 @@
 """Operator 1: secret scan by assignment-aware lexing.
 
-A text that can hold an assignment is cut into names, string literals, bare values and operators, in the syntax that source code and configuration share (``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``, ``name => x``,
-``setName("x")``).  A right side goes on over line ends after an operator, within brackets, before or after a ``+``, after
-a backslash, in triple quotes and in the lines of a block that ``>`` or ``|`` announces.  Every target is bound to the literals of its right side; a name on a right side stands for what it
+A text that can hold an assignment is cut into names, string literals, bare values and operators, in the syntax that
+source code and configuration share (``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``, ``name => x``,
+``setName("x")``, ``<name>x</name>``, ``name="name" value="x"``).  A right side goes on over line ends after an operator,
+within brackets, before or after a ``+``, after a backslash, in triple quotes and in the lines of a block that ``>`` or
+``|`` announces.  Every target is bound to the literals of its right side; a name on a right side stands for what it
 was bound to before, and ``+`` joins, so constants are followed to the place where they are spelled.  A literal is a
 secret if the name it ends up in is a sensitive one and the value looks like a credential.  Plain patterns for
 assignments, access key ids and long hex strings are always reported as well.
@@ -26,7 +28,15 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-LEX = re.compile(r"""(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[:=+(])|(?P<line>\n)|(?P<mark>[\[\]{}),])|(?P<other>[^\s"'A-Za-z_$:=+(\[\]{}),]+|\S)""", re.ASCII)
+#: Comments that hold no assignment of their own are passed over.
+COMMENT = r"(?P<comment>/\*[^*=:(]*\*/|(?<!\S)(?:\#|//)[^\S\n][^\n=:(]*$)"
+STRING = {'"': r'"(?:[^"\\\n]|\\.)*"', "'": r"'(?:[^'\\\n]|\\.)*'"}
+TOKENS = r"""(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[:=+(])|(?P<line>\n)|(?P<mark>[\[\]{}),])|(?P<other>[^\s"'A-Za-z_$:=+(\[\]{}),]+|\S)"""
+#: By the quotes that strings may begin with.
+LEX = {quotes: re.compile("|".join([COMMENT, *(["(?P<str>" + "|".join(STRING[q] for q in quotes) + ")"] if quotes else []), TOKENS]), re.ASCII | re.MULTILINE) for quotes in ("\"'", '"', "'", "")}
+#: Elements with nothing but text in them, and pairs of attributes.
+ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>([^<>]*)</\1\s*>")
+ATTRIBUTES = re.compile(r"""\b(?:name|key)\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)')\s+value\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)')""")
 BARE = re.compile(r"[^\s,;\"'(){}\[\]]+")
 #: A bare value that has the next line to itself and isn't an assignment of its own.
 ALONE = re.compile(r"(?![\w.$-]+(?::|=[^=\s]))[^\s,;\"'(){}\[\]]+(?=[,;]?[^\S\n]*(?:\n|\Z))", re.ASCII)
@@ -218,19 +228,60 @@ def _right_side(text: str, tokens: list, op: int, bound: dict):
     return found, max(op + 1, at if go_on < 0 else go_on)
 
 
+def tokens_of(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of every token but comments.
+
+    Once a quote isn't closed in its line, no later one of its kind in that line is, so strings aren't tried there again and
+    the time is linear.
+    """
+    out: list[tuple[str, int, int]] = []
+    at, stop, quotes = 0, len(text), "\"'"
+    while at < len(text):
+        for m in LEX[quotes].finditer(text, at, stop):
+            kind, start, at = m.lastgroup, m.start(), m.end()
+            if kind != "comment":
+                out.append((kind, start, at))
+            if kind == "other" and text[start] in quotes:
+                quotes = quotes.replace(text[start], "")
+                if (stop := text.find("\n", at)) < 0:
+                    stop = len(text)
+                break
+        else:
+            at, stop, quotes = stop, len(text), "\"'"
+    return out
+
+
+def element_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of secrets between tags, and in attributes beside the one that gives their name."""
+    out = []
+    pairs = [(m[1], m.span(2)) for m in ELEMENT.finditer(text)] if "</" in text else []
+    if "value" in text:
+        pairs += [(m[1] if m[2] is None else m[2], m.span(3) if m[4] is None else m.span(4)) for m in ATTRIBUTES.finditer(text)]
+    for name, (start, end) in pairs:
+        value = text[start:end]
+        start, value = start + len(value) - len(value.lstrip()), value.strip()
+        points = name_points(name)
+        if points >= 2 and points + value_points(value) >= THRESHOLD:
+            out.append((start, 3, start + len(value)))
+    return out
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of literals that reach a sensitive name."""
+    elements = element_spans(text)
     if "=" not in text and ":" not in text and "(" not in text:
-        return []
+        return elements
     bound: dict[str, Value] = {}
-    out, told = set(), {}
-    tokens = [(m.lastgroup, m.start(), m.end()) for m in LEX.finditer(text)]
+    out, told = set(elements), {}
+    tokens = tokens_of(text)
     go_on = 1
     for n in [n for n, t in enumerate(tokens) if t[0] == "op"]:
         op = text[tokens[n][1] : tokens[n][2]]
         if n < go_on or op not in BINDS:
             continue
         target = n - 1
+        if target < 0:
+            continue
         while target > 0 and tokens[target][0] == "line" and op not in (":", "("):
             target -= 1
         if tokens[target][0] not in ("name", "str"):
