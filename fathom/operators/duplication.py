@@ -46,9 +46,11 @@ def duplicate_places(files: DataFrame, min_lines: int = MIN_LINES, **how) -> Dat
 def duplication_summary(files: DataFrame, min_lines: int = MIN_LINES, **how) -> DataFrame:
     """One row: blocks, distinct lines in any of them, all lines, and their share in per cent."""
     places = duplicate_places(files, min_lines, **how)
-    hit = places.select("file", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct().agg(F.count("*").alias("duplicated_lines"))
-    blocks = duplicate_blocks(files, min_lines, **how).agg(F.count("*").alias("blocks"))
+    # each place's lines and its hash as rows of one kind, so the places are found once
+    line = F.transform(F.sequence("start_line", "end_line"), lambda n: F.struct(F.col("file").alias("name"), n.alias("line")))
+    named = places.select(F.explode(F.concat(line, F.array(F.struct(F.col("hash").alias("name"), F.lit(0).alias("line"))))).alias("x")).select("x.*").distinct()
+    found = named.agg(F.count_if(F.col("line") == 0).alias("blocks"), F.count_if(F.col("line") > 0).alias("duplicated_lines"))
     whole = files.agg(F.coalesce(F.sum(F.size(lines(F.col("src"))).cast("long")), F.lit(0)).alias("total_lines"))
     share = F.when(F.col("total_lines") > 0, F.col("duplicated_lines") * 100.0 / F.col("total_lines")).otherwise(0.0)
-    one_row = lambda df: F.broadcast(df.withColumn("k", F.lit(1)))
-    return blocks.withColumn("k", F.lit(1)).join(one_row(hit), "k").join(one_row(whole), "k").select("blocks", "duplicated_lines", "total_lines", share.alias("percentage"))
+    one_row = F.broadcast(whole.withColumn("k", F.lit(1)))
+    return found.withColumn("k", F.lit(1)).join(one_row, "k").select("blocks", "duplicated_lines", "total_lines", share.alias("percentage"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,10 +57,14 @@ def debt_top(issues: DataFrame, by: str, limit: int = 10) -> DataFrame:
 
 
 def debt_breakdown(issues: DataFrame, by: str = "category") -> DataFrame:
-    """``(name, minutes, percentage)`` with shares of the whole, 0 if that is 0."""
-    sums = issues.groupBy(F.col(by).alias("name")).agg(F.sum("debt_minutes").cast("long").alias("minutes"))
-    whole = F.sum("minutes").over(Window.partitionBy())
-    return sums.select("name", "minutes", F.when(whole > 0, F.col("minutes") * 100.0 / whole).otherwise(0.0).alias("percentage"))
+    """``(name, minutes, percentage)`` with shares of the whole, 0 if that is 0.
+
+    The whole is one row that is broadcast; both sides read the same sums.
+    """
+    sums = issues.groupBy(F.col(by).alias("name")).agg(F.sum("debt_minutes").cast("long").alias("minutes")).withColumn("one", F.lit(1))
+    whole = F.broadcast(sums.groupBy("one").agg(F.sum("minutes").alias("whole")))
+    share = F.when(F.col("whole") > 0, F.col("minutes") * 100.0 / F.col("whole")).otherwise(0.0)
+    return sums.join(whole, "one").select("name", "minutes", share.alias("percentage"))
 
 
 def rating(minutes: Column) -> Column:
@@ -97,29 +100,48 @@ def reviewed(spots: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def hotspot_summary(spots: DataFrame) -> DataFrame:
-    """Counts by priority and by category, and of those reviewed."""
-    parts = [spots.groupBy(F.lit(d).alias("dimension"), F.col(c).alias("name")).agg(F.count("*").alias("n")) for d, c in (("priority", "priority"), ("category", "hotspot_category"), ("status", "status"))]
-    return reduce(DataFrame.unionByName, parts)
+    """Counts by priority, by category and by status, in one pass."""
+    keys = {"priority": "priority", "category": "hotspot_category", "status": "status"}
+    out = spots.groupingSets([[F.col(c)] for c in keys.values()], *map(F.col, keys.values())).agg(F.count("*").alias("n"), F.grouping_id().alias("gid"))
+    # of the three bits that of a set's own key is 0
+    sets = {7 - 4: "priority", 7 - 2: "category", 7 - 1: "status"}
+    dimension, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for gid, key in sets.items():
+        dimension, name = F.when(F.col("gid") == gid, F.lit(key)).otherwise(dimension), F.when(F.col("gid") == gid, F.col(keys[key])).otherwise(name)
+    return out.select(dimension.alias("dimension"), name.alias("name"), "n")
+
+
+#: Shares into which a key's issues are divided before the first of each are picked.
+SHARES = 256
+
+
+def _first_issues(issues: DataFrame, key: str, shown: int) -> DataFrame:
+    """``(key, n, examples)``: the number of issues of each key and the first of them in order.
+
+    A key's issues are first divided by file, each share tells its number and its first ones, and only these meet; so a
+    frequent key is no single task's, and the issues are read once.
+    """
+    order = ["file", "rule_ord", "line", "column"]
+    share = issues.where(F.col(key).isNotNull()).select(key, *order, "rule_id", F.pmod(F.xxhash64("file"), F.lit(SHARES)).alias("share"))
+    within = Window.partitionBy(key, "share")
+    first = share.withColumns({"at": F.row_number().over(within.orderBy(*order)), "held": F.count("*").over(within)}).where(F.col("at") <= shown)
+    ranked = first.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    text = F.concat("rule_id", F.lit(" "), "file", F.lit(":"), F.col("line").cast("string"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("place") <= shown, F.struct("place", text.alias("text")))))
+    return ranked.groupBy(key).agg(F.sum(F.when(F.col("at") == 1, F.col("held"))).cast("long").alias("n"), F.array_join(F.transform(listed, lambda x: x["text"]), ", ").alias("examples"))
 
 
 def owasp_report(issues: DataFrame, shown: int = 5) -> DataFrame:
-    """All ten categories with counts, and the first issues of each as an array."""
-    spark = issues.sparkSession
-    codes = F.broadcast(spark.createDataFrame(list(OWASP_NAMES.items()), "owasp string, name string"))  # ten rows
-    order = Window.partitionBy("owasp").orderBy("file", "rule_ord", "line", "column")
-    ranked = issues.where("owasp is not null").select("owasp", "file", "line", "rule_id", F.row_number().over(order).alias("at"))
-    counts = ranked.groupBy("owasp").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("at") <= shown, F.struct("at", "file", "line", "rule_id")))).alias("first"))
-    first = F.transform("first", lambda x: F.concat(x["rule_id"], F.lit(" "), x["file"], F.lit(":"), x["line"].cast("string")))
-    return codes.join(counts, "owasp", "left").select("owasp", "name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.array_join(first, ", "), F.lit("")).alias("examples"))
+    """All ten categories with counts, and the first issues of each."""
+    codes = F.broadcast(issues.sparkSession.createDataFrame(list(OWASP_NAMES.items()), "owasp string, name string"))  # ten rows
+    counts = _first_issues(issues, "owasp", shown)
+    return codes.join(counts, "owasp", "left").select("owasp", "name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 def cwe_report(issues: DataFrame, shown: int = 3) -> DataFrame:
     """Weakness numbers with names and counts, the most frequent first, and the first issues of each."""
-    order = Window.partitionBy("cwe").orderBy("file", "rule_ord", "line", "column")
-    ranked = issues.where("cwe is not null").select("cwe", "file", "line", "rule_id", F.row_number().over(order).alias("at"))
-    counts = ranked.groupBy("cwe").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("at") <= shown, F.struct("at", "file", "line", "rule_id")))).alias("first"))
-    first = F.transform("first", lambda x: F.concat(x["rule_id"], F.lit(" "), x["file"], F.lit(":"), x["line"].cast("string")))
-    return counts.select("cwe", lookup(F.col("cwe"), CWE_NAMES, "Unknown").alias("name"), "n", F.array_join(first, ", ").alias("examples")).orderBy(F.desc("n"), "cwe")
+    counts = _first_issues(issues, "cwe", shown)
+    return counts.select("cwe", lookup(F.col("cwe"), CWE_NAMES, "Unknown").alias("name"), "n", "examples").orderBy(F.desc("n"), "cwe")
 
 
 #: Built-in gates: conditions (type, severity, threshold).
