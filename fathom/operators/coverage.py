@@ -2,58 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Lines of a report that one task goes through in order.
+BLOCK_LINES = 1 << 16
+
+
+def _owned(text: DataFrame, opened: Column) -> DataFrame:
+    """``text(source, at, value)`` with the ``file`` whose record a line is in, and ``record``, where that began.
+
+    ``opened`` is the file that a line opens, empty where it closes one, null for other lines.  Lines are gone through in
+    blocks; what is open at a block's start comes from the last mark of the blocks before, of which there is a row each, so
+    a long report isn't one task's.
+    """
+    block = (F.col("at") / BLOCK_LINES).cast("long")
+    marked = text.select("source", "at", F.trim("value").alias("value"), block.alias("block")).withColumn("mark", F.when(opened.isNotNull(), F.struct(opened.alias("file"), F.col("at").alias("record"))))
+    blocks = marked.groupBy("source", "block").agg(F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("at"))).alias("end"))
+    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select("source", "block", F.last("end", True).over(before).alias("carried"))
+    within = Window.partitionBy("source", "block").orderBy("at")
+    open_ = F.coalesce(F.last("mark", True).over(within), "carried")
+    return marked.join(carried, ["source", "block"]).withColumn("open", open_).select("source", "at", "value", "open.file", "open.record", F.col("mark").isNotNull().alias("opens"))
+
+
+def _last_records(within: DataFrame, hits: DataFrame) -> DataFrame:
+    """``(file, line, hits)`` of each file's last record in its report; a file without lines has a row of nulls."""
+    heads = within.where("opens and file <> ''").groupBy("source", "file").agg(F.max("record").alias("record"))
+    rows = hits.select("source", "file", "record", "line", "hits")
+    return heads.join(rows, ["source", "file", "record"], "left").select("file", "line", "hits")
+
+
 def lcov_lines(text: DataFrame) -> DataFrame:
     """``(file, line, hits)`` of ``text(source, at, value)``: the trace's lines with their order.
 
-    ``SF:`` opens a file, ``end_of_record`` or the next one closes it, branch records are skipped.  Of a file that occurs
-    twice in a trace the last record counts, with its lines only.
+    ``SF:`` opens a file, ``end_of_record`` or the next one closes it, branch records are skipped, and so are lines whose
+    numbers aren't whole and positive.  Of a file that occurs twice in a trace the last record counts, with its lines only;
+    one without lines has a row of nulls.
     """
-    order = Window.partitionBy("source").orderBy("at")
     value = F.trim("value")
-    marked = text.select("source", "at", value.alias("value"), F.when(value.startswith("SF:"), value.substr(F.lit(4), F.length(value))).when(value == "end_of_record", F.lit("")).alias("opened"), F.when(value.startswith("SF:"), F.col("at")).alias("opened_at"))
-    within = marked.withColumns({"file": F.last("opened", True).over(order), "record": F.last("opened_at", True).over(order)})
-    hits = within.where(F.col("value").startswith("DA:") & (F.col("file") != ""))
-    parts = F.split(F.col("value").substr(F.lit(4), F.length("value")), ",")
-    rows = hits.select("source", "file", "record", F.try_element_at(parts, F.lit(1)).try_cast("int").alias("line"), F.try_element_at(parts, F.lit(2)).try_cast("long").alias("hits")).where("line is not null and hits is not null")
-    last = within.where(F.col("value").startswith("SF:")).groupBy("source", "file").agg(F.max("record").alias("record"))
-    return rows.join(last, ["source", "file", "record"], "left_semi").select("file", "line", "hits")
+    within = _owned(text, F.when(value.startswith("SF:"), F.substring(value, F.lit(4), F.length(value))).when(value == "end_of_record", F.lit("")))
+    hits = within.where(F.col("value").rlike(r"^DA:\+?[0-9]+,\+?[0-9]+(,|$)") & (F.col("file") != ""))
+    parts = F.split(F.substring("value", F.lit(4), F.length("value")), ",")
+    return _last_records(within, hits.select("*", parts[0].try_cast("long").alias("line"), parts[1].try_cast("decimal(38,0)").cast("double").alias("n")).select("*", F.least(F.col("n"), F.lit(2.0**62)).cast("long").alias("hits")).where("line is not null"))
 
 
 def jacoco_lines(text: DataFrame) -> DataFrame:
-    """``(file, line, hits)`` of an XML report, one element a line; hits are covered instructions, files have bare names."""
-    order = Window.partitionBy("source").orderBy("at")
-    name = F.regexp_extract("value", r'<sourcefile[^>]*\bname="([^"]*)"', 1)
-    opened = F.when(name != "", name).when(F.col("value").contains("</sourcefile>"), F.lit(""))
-    marked = text.withColumns({"opened": opened, "opened_at": F.when(name != "", F.col("at"))})
-    within = marked.withColumns({"file": F.last("opened", True).over(order), "record": F.last("opened_at", True).over(order)})
-    rows = within.where(F.col("value").contains("<line ") & (F.col("file") != "")).select("source", "file", "record", F.regexp_extract("value", r'\bnr="(\d+)"', 1).try_cast("int").alias("line"), F.regexp_extract("value", r'\bci="(\d+)"', 1).try_cast("long").alias("hits"))
-    last = within.where("opened_at is not null").groupBy("source", "file").agg(F.max("record").alias("record"))
-    return rows.where("line is not null and hits is not null").join(last, ["source", "file", "record"], "left_semi").select("file", "line", "hits")
+    """``(file, line, hits)`` of an XML report, one element a line; hits are covered instructions, files have bare names.
+
+    A file's lines are those up to the next ``sourcefile``; a line without a number above 0 is skipped, and one without
+    instructions counts as not covered.  Files that repeat or have no lines are as in :func:`lcov_lines`.
+    """
+    value = F.col("value")
+    name = F.when(value.contains("<sourcefile"), F.regexp_extract(value, r'name="([^"]*)"', 1))
+    within = _owned(text, F.when(value.rlike(r'name="[^"]*"'), name))
+    number = lambda c: F.coalesce(F.regexp_extract("value", rf'{c}="\+?([0-9]+)"', 1).try_cast("long"), F.lit(0))
+    hits = within.where(F.col("value").contains("<line") & F.col("value").contains("nr=") & (F.col("file") != ""))
+    return _last_records(within, hits.select("*", number("nr").alias("line"), number("ci").alias("hits")).where("line > 0"))
 
 
 def read_coverage(spark, path: str) -> DataFrame:
-    """Coverage of one report; its form is told by the path's ending or else by its start.
+    """Coverage of one report; its form is told by the path's ending, or else by what it holds.
 
-    A report is one ordered text, so it is read as one row and cut in the task that reads it.
+    A report is read as one row and cut into numbered lines in the task that reads it; these are then dealt out in blocks.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.lit(path).alias("source"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+    whole = spark.read.text(path, wholetext=True)
+    text = whole.select(F.lit(path).alias("source"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
     low = path.lower()
     if low.endswith(".xml"):
-        return jacoco_lines(whole)
+        return jacoco_lines(text)
     if low.endswith((".info", ".lcov")):
-        return lcov_lines(whole)
-    head = whole.where("at < 5 and value like '%<%'").limit(1).count()
-    return jacoco_lines(whole) if head else lcov_lines(whole)
+        return lcov_lines(text)
+    xml = F.ltrim("value").startswith("<?xml") | F.col("value").contains("<report")
+    form = whole.select(F.when(xml, "xml").when(F.col("value").contains("SF:"), "trace")).first()
+    if form is None or form[0] is None:
+        raise ValueError(f"{path}: neither a trace nor an XML report")
+    return jacoco_lines(text) if form[0] == "xml" else lcov_lines(text)
 
 
 def file_coverage(covered: DataFrame) -> DataFrame:
     """``(file, covered, uncovered, percentage)``; 0 per cent without lines."""
     counts = covered.groupBy("file").agg(F.count_if(F.col("hits") > 0).alias("covered"), F.count_if(F.col("hits") <= 0).alias("uncovered"))
-    return counts.withColumn("percentage", F.col("covered") * 100.0 / (F.col("covered") + F.col("uncovered")))
+    whole = F.col("covered") + F.col("uncovered")
+    return counts.withColumn("percentage", F.when(whole > 0, F.col("covered") * 100.0 / whole).otherwise(0.0))
 
 
 def below(covered: DataFrame, threshold: float) -> DataFrame:

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.text import lines, trim
 
-#: What counts as a class and as a method.
-CLASS = r"\b(?:class|interface|enum)\s+\w+"
-METHODS = r"(?:public|private|protected)\s+(?:static\s+)?(?:final\s+)?[\w<>\[\],\s]+\s+\w+\s*\([^)]*\)\s*(?:throws\s+[\w,\s]+)?\s*\{"
+#: What counts as a class, and the end of what counts as a method.  A method may have a visibility and ``static``
+#: before its type; as neither is needed, a match is there for every type's last letter before a name and brackets.
+CLASS = r"\bclass\s+\w+"
+METHOD_END = r"\w\s++\w++\s*+\([^)]*+\)\s*+\{"
+
+
+def _count(text: Column, pattern: str) -> Column:
+    """Matches, with Unicode classes in texts that need them."""
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.regexp_count(text, F.lit("(?U)" + pattern))).otherwise(F.regexp_count(text, F.lit(pattern))).cast("long")
 
 
 def source_metrics(files: DataFrame) -> DataFrame:
-    """``(path, total_lines, code_lines, comment_lines, blank_lines, classes, methods)``."""
+    """``(path, total_lines, code_lines, comment_lines, blank_lines, classes, methods)``; null where the file couldn't be read."""
     cut = files.select("path", "src", F.transform(lines(F.col("src")), trim).alias("t"))
     comment = lambda t: t.startswith("//") | t.startswith("/*") | t.startswith("*")
     n = {"total_lines": F.size("t"), "comment_lines": F.size(F.filter("t", comment)), "blank_lines": F.size(F.filter("t", lambda t: t == ""))}
     counted = cut.select("path", "src", *[c.cast("long").alias(k) for k, c in n.items()])
-    return counted.select("path", "total_lines", (F.col("total_lines") - F.col("comment_lines") - F.col("blank_lines")).alias("code_lines"), "comment_lines", "blank_lines", F.regexp_count("src", F.lit(CLASS)).cast("long").alias("classes"), F.regexp_count("src", F.lit(METHODS)).cast("long").alias("methods"))
+    return counted.select("path", "total_lines", (F.col("total_lines") - F.col("comment_lines") - F.col("blank_lines")).alias("code_lines"), "comment_lines", "blank_lines", _count(F.col("src"), CLASS).alias("classes"), _count(F.col("src"), METHOD_END).alias("methods"))
 
 
 def cache_split(listing: DataFrame, cached: DataFrame) -> DataFrame:

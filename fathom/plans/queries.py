@@ -309,45 +309,56 @@ def duplication_summary(spark, sf_dir):
     return duplication.duplication_summary(corpus(spark, sf_dir, *PART))
 
 
-# Coverage: a trace made from line items
+# Coverage: a trace made from line items, a record each; some have no lines, and some lines no count
 
-_TRACE = "SELECT 'trace' AS source, l_orderkey * 1000 + k AS at, CASE WHEN k = 0 THEN 'SF:src/o' || (l_orderkey % 400) || '.java' WHEN k = 900 THEN 'end_of_record' WHEN k % 7 = 6 THEN 'BRDA:' || k || ',0,0,1' ELSE 'DA:' || (l_linenumber * 10 + k) || ',' || (l_suppkey % 3) END AS value FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, {each} AS k FROM {table}) {where}"
+_TRACE = """SELECT 'trace' AS source, (l_orderkey * 10 + l_linenumber) * 1000 + k AS {at}, CASE WHEN k = 0 THEN concat('SF:src/', CASE WHEN l_linenumber = 7 THEN 'empty' ELSE 'o' END, l_orderkey % 400, '.java')
+WHEN k = 900 THEN 'end_of_record' WHEN k % 7 = 6 OR l_linenumber = 7 THEN concat('BRDA:', k, ',0,0,1') ELSE concat('DA:', l_linenumber * 10 + k, ',', CASE WHEN l_suppkey % 11 = 0 THEN -1 ELSE l_suppkey % 3 END) END AS value
+FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, {each} AS k FROM {table})"""
 
 
 def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 1").createOrReplaceTempView("trace_items")
-    text = lambda c: f"cast({c} as string)"
-    sql = _TRACE.format(each="explode(array(0, 1, 2, 3, 6, 8, 900))", table="trace_items", where="")
-    for c in ("(l_orderkey % 400)", "k", "(l_linenumber * 10 + k)", "(l_suppkey % 3)"):
-        sql = sql.replace(f"|| {c} ||", f"|| {text(c)} ||").replace(f"|| {c} END", f"|| {text(c)} END")
-    return spark.sql(sql)
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("trace_items")
+    return spark.sql(_TRACE.format(at="at", each="explode(array(0, 1, 2, 3, 6, 8, 900))", table="trace_items"))
 
 
-_COVERED = f"""trace AS ({_TRACE.format(each='unnest([0, 1, 2, 3, 6, 8, 900])', table='(SELECT * FROM lineitem WHERE l_linenumber = 1)', where='')}),
+_COVERED = f"""trace AS ({_TRACE.format(at='"at"', each='unnest([0, 1, 2, 3, 6, 8, 900])', table='lineitem')}),
 owned AS (SELECT *, t."at" // 1000 AS record FROM trace t), heads AS (SELECT record, substr(value, 4) AS file FROM owned WHERE starts_with(value, 'SF:')), latest AS (SELECT file, max(record) AS record FROM heads GROUP BY file),
-covered AS (SELECT file, split_part(substr(value, 4), ',', 1)::INT AS line, split_part(value, ',', 2)::BIGINT AS hits FROM owned JOIN latest USING (record) WHERE starts_with(value, 'DA:'))"""
+counted AS (SELECT record, split_part(substr(value, 4), ',', 1)::BIGINT AS line, split_part(value, ',', 2)::BIGINT AS hits FROM owned WHERE starts_with(value, 'DA:')),
+covered AS (SELECT file, line, hits FROM latest LEFT JOIN (SELECT * FROM counted WHERE hits >= 0) USING (record)),
+by_file AS (SELECT file, count(*) FILTER (hits > 0) AS covered, count(*) FILTER (hits = 0) AS uncovered FROM covered GROUP BY file),
+shares AS (SELECT *, CASE WHEN covered + uncovered > 0 THEN covered * 100.0::DOUBLE / (covered + uncovered)::DOUBLE ELSE 0::DOUBLE END AS percentage FROM by_file)"""
 
 
-@query("coverage_files", f"WITH {_COVERED} SELECT file, count(*) FILTER (hits > 0) AS covered, count(*) FILTER (hits <= 0) AS uncovered, count(*) FILTER (hits > 0) * 100.0::DOUBLE / count(*)::DOUBLE AS percentage FROM covered GROUP BY file")
+@query("coverage_files", f"WITH {_COVERED} SELECT * FROM shares")
 def coverage_files(spark, sf_dir):
     return coverage.file_coverage(coverage.lcov_lines(_trace(spark, sf_dir)))
 
 
-@query("coverage_total", f"WITH {_COVERED} SELECT c AS covered, u AS uncovered, c * 100.0::DOUBLE / (c + u)::DOUBLE AS percentage, c * 100.0::DOUBLE / (c + u)::DOUBLE >= 60 AS passed FROM (SELECT count(*) FILTER (hits > 0) AS c, count(*) FILTER (hits <= 0) AS u FROM covered)")
+@query("coverage_total", f"WITH {_COVERED} SELECT c AS covered, u AS uncovered, c * 100.0::DOUBLE / (c + u)::DOUBLE AS percentage, c * 100.0::DOUBLE / (c + u)::DOUBLE >= 60 AS passed FROM (SELECT sum(covered)::BIGINT AS c, sum(uncovered)::BIGINT AS u FROM shares)")
 def coverage_total(spark, sf_dir):
     return coverage.total_coverage(coverage.lcov_lines(_trace(spark, sf_dir)), 60)
 
 
-@query("coverage_gaps", f"WITH {_COVERED}, f AS (SELECT file FROM covered GROUP BY file HAVING count(*) FILTER (hits > 0) * 100.0 / count(*) < 50) SELECT file, line FROM covered SEMI JOIN f USING (file) WHERE hits <= 0")
+@query("coverage_gaps", f"WITH {_COVERED} SELECT file, line FROM covered WHERE hits = 0 AND file IN (SELECT file FROM shares WHERE percentage < 50)")
 def coverage_gaps(spark, sf_dir):
     covered = coverage.lcov_lines(_trace(spark, sf_dir))
     return coverage.uncovered(covered).join(coverage.below(covered, 50).select("file"), "file", "left_semi")
 
 
+@query("coverage_below", f"WITH {_COVERED} SELECT file, percentage FROM shares WHERE percentage < 50")
+def coverage_below(spark, sf_dir):
+    return coverage.below(coverage.lcov_lines(_trace(spark, sf_dir)), 50).select("file", "percentage")
+
+
 # Metrics, cache, changes
 
 
-@query("source_metrics", f"WITH {oracles.corpus_cte(*PART)}, n AS (SELECT path, count(*) AS total_lines, count(*) FILTER (regexp_matches(trimmed, '^(//|/[*]|[*])')) AS comment_lines, count(*) FILTER (trimmed = '') AS blank_lines FROM lines GROUP BY path) SELECT path, coalesce(total_lines, 0) AS total_lines, coalesce(total_lines - comment_lines - blank_lines, 0) AS code_lines, coalesce(comment_lines, 0) AS comment_lines, coalesce(blank_lines, 0) AS blank_lines, len(regexp_extract_all(src, {DUCK.text(metrics.CLASS)})) AS classes, len(regexp_extract_all(src, {DUCK.text(metrics.METHODS)})) AS methods FROM files LEFT JOIN n USING (path)")
+# What counts as a class and as a method, as the definition has it
+_CLASS = r"\bclass\s+\w+"
+_METHOD = r"(?:public|private|protected)?\s*(?:static\s+)?(?:\w+)\s+\w+\s*\([^)]*\)\s*\{"
+
+
+@query("source_metrics", f"WITH {oracles.corpus_cte(*PART)}, n AS (SELECT path, count(*) AS total_lines, count(*) FILTER (regexp_matches(trimmed, '^(//|/[*]|[*])')) AS comment_lines, count(*) FILTER (trimmed = '') AS blank_lines FROM lines GROUP BY path) SELECT path, coalesce(total_lines, 0) AS total_lines, coalesce(total_lines - comment_lines - blank_lines, 0) AS code_lines, coalesce(comment_lines, 0) AS comment_lines, coalesce(blank_lines, 0) AS blank_lines, len(regexp_extract_all(src, {DUCK.text(_CLASS)})) AS classes, len(regexp_extract_all(src, {DUCK.text(_METHOD)})) AS methods FROM files LEFT JOIN n USING (path)")
 def source_metrics(spark, sf_dir):
     return metrics.source_metrics(corpus(spark, sf_dir, *PART))
 
@@ -398,7 +409,7 @@ def report_sarif(spark, sf_dir):
     return rows.select(get("$.ruleId").alias("rule_id"), get("$.level").alias("level"), get("$.message.text").alias("text"), get(f"{at}.artifactLocation.uri").alias("uri"), get(f"{at}.region.startLine").cast("int").alias("line"))
 
 
-@query("report_gitlab", over_issues("SELECT rule_id AS check_name, rule_id || ': ' || title AS description, severity, substr(md5(rule_id || chr(1) || file || chr(1) || line || chr(1) || title), 1, 16) AS fingerprint, regexp_replace(file, '^/.*?/src/', 'src/') AS path, line::INT AS line FROM issues"))
+@query("report_gitlab", over_issues("SELECT rule_id AS check_name, rule_id || ': ' || title AS description, severity, substr(md5(rule_id || chr(1) || file || chr(1) || line || chr(1) || title), 1, 16) AS fingerprint, CASE WHEN starts_with(file, '/') AND contains(substr(file, 2), '/src/') THEN substr(substr(file, 2), instr(substr(file, 2), '/src/') + 1) ELSE file END AS path, line::INT AS line FROM issues"))
 def report_gitlab(spark, sf_dir):
     rows = reports.gitlab_rows(issues(spark, sf_dir))
     get = lambda p: F.get_json_object("value", p)

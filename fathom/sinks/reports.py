@@ -22,8 +22,8 @@ def format_of(name: str) -> str | None:
 
 
 def relative_path(path: Column) -> Column:
-    """An absolute path from its first ``/src/`` on, without the slash; other paths as they are."""
-    return F.when(path.startswith("/") & path.contains("/src/"), F.concat(F.lit("src/"), F.substring_index(F.regexp_replace(path, "^.*?/src/", "\u0001"), "\u0001", -1))).otherwise(path)
+    """An absolute path from its first ``/src/`` below the root on, without the slash; other paths as they are."""
+    return F.regexp_replace(path, "(?s)^/.*?/src/", "src/")
 
 
 def csv_lines(issues: DataFrame) -> DataFrame:

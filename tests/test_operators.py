@@ -1,4 +1,5 @@
 import json
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -119,27 +120,54 @@ def test_coverage(spark, tmp_path):
     (tmp_path / "c.dat").write_text(JACOCO)
     rows = {(r.file, r.line, r.hits) for r in coverage.read_coverage(spark, str(tmp_path / "c.info")).collect()}
     assert rows == {("b.java", 1, 0), ("a.java", 5, 2)}  # of a file that comes twice the last record counts
+    (tmp_path / "odd.lcov").write_text("SF:none.java\nend_of_record\nSF:x.java\nDA:1,-3\nDA: 2,1\nDA:3\nDA:4,7,sum\nDA:5,0\nDA:x,1\nend_of_record\nSF:last.java\nDA:1,99999999999999999999")
+    odd = coverage.read_coverage(spark, str(tmp_path / "odd.lcov"))
+    assert {(r.file, r.covered, r.uncovered, r.percentage) for r in coverage.file_coverage(odd).collect()} == {("none.java", 0, 0, 0.0), ("x.java", 1, 1, 50.0), ("last.java", 1, 0, 100.0)}
+    assert {r.file for r in coverage.below(odd, 50).collect()} == {"none.java"}
+    (tmp_path / "c.txt").write_text("neither")
+    with pytest.raises(ValueError):
+        coverage.read_coverage(spark, str(tmp_path / "c.txt"))
+    (tmp_path / "t.txt").write_text("if a < b\nSF:a.java\nDA:1,1\n")
+    assert coverage.read_coverage(spark, str(tmp_path / "t.txt")).first().file == "a.java"
     for name in ("c.xml", "c.dat"):
         report = coverage.read_coverage(spark, str(tmp_path / name))
-        assert {(r.file, r.line, r.hits) for r in report.collect()} == {("A.java", 1, 3), ("A.java", 2, 0)}
-    total = coverage.total_coverage(report, 50.0).first()
-    assert total.percentage == 50.0 and total.passed and coverage.below(report, 50.0).count() == 0
+        # a file's lines go on to the next file
+        assert {(r.file, r.line, r.hits) for r in report.collect()} == {("A.java", 1, 3), ("A.java", 2, 0), ("A.java", 9, 1)}
+    total = coverage.total_coverage(report, 66.0).first()
+    assert round(total.percentage, 2) == 66.67 and total.passed and coverage.below(report, 66.0).count() == 0
     assert [r.line for r in coverage.uncovered(report, "A.java").collect()] == [2]
     assert coverage.total_coverage(report.limit(0), 10.0).first().percentage == 0.0
 
 
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_records_over_blocks(spark, monkeypatch, block):
+    """Lines belong to the record that is open before them, however far back it began."""
+    monkeypatch.setattr(coverage, "BLOCK_LINES", block)
+    values = ["DA:1,1", "SF:a", *[f"DA:{n},{n % 2}" for n in range(1, 30)], "end_of_record", "DA:77,1", "SF:b", "DA:1,1", "SF:c", "end_of_record", "SF:a", "DA:5,5"]
+    text = spark.createDataFrame([(src, n, v) for src in "xy" for n, v in enumerate(values)], "source string, at long, value string")
+    got = sorted((r.file, r.line or 0, r.hits) for r in coverage.lcov_lines(text).collect())
+    assert got == sorted([("a", 5, 5), ("b", 1, 1), ("c", 0, None)] * 2)
+
+
 def test_builds(spark, tmp_path):
     pom = lambda name, mods: f'<project xmlns="http://maven.apache.org/POM/4.0.0"><artifactId>{name}</artifactId><modules>{"".join(f"<module>{m}</module>" for m in mods)}</modules></project>'
-    for folder, text in {"m": pom("top", ["a", "plain", "gone"]), "m/a": pom("named-a", [])}.items():
+    for folder, text in {"m": pom("top", ["a", "plain", "gone", "x/deep", "bad", "unnamed"]), "m/a": pom("named-a", ["sub"]), "m/a/sub": pom("sub", [".."]), "m/bad": "<project><modules>", "m/unnamed": "<project/>"}.items():
         (tmp_path / folder).mkdir(parents=True, exist_ok=True)
         (tmp_path / folder / "pom.xml").write_text(text)
     (tmp_path / "m/plain").mkdir()
+    (tmp_path / "m/x/deep").mkdir(parents=True)
     found = builds.detect(str(tmp_path / "m"))
-    assert set(found) == {"top", "named-a", "plain"} and found["top"].children == ["plain"] and found["named-a"].parent == "top"
-    (tmp_path / "g").mkdir()
-    (tmp_path / "g/settings.gradle").write_text("rootProject.name = 'demo'\ninclude 'app', ':lib:core'\n")
+    assert {n: m.parent for n, m in found.items()} == {"top": None, "named-a": "top", "sub": "named-a", "..": "sub", "plain": "top", "x/deep": "top", "bad": "top", "root": "top"}
+    assert found["top"].children == ["plain", "x/deep", "bad"]
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken/pom.xml").write_text("<project><artifactId>x</project>")
+    assert builds.detect(str(tmp_path / "broken")) == {}
+    (tmp_path / "g/lib/core").mkdir(parents=True)
+    (tmp_path / "g/app").mkdir()
+    (tmp_path / "g/settings.gradle").write_text("rootProject.name = 'demo'\ninclude 'app', ':lib:core', \"gone\"\n")
     found = builds.detect(str(tmp_path / "g"))
-    assert set(found) == {"demo", "app", "core"} and found["core"].path.endswith("g/lib/core")
+    assert {n: m.parent for n, m in found.items()} == {"demo": None, "app": "demo", "core": "lib"}
+    assert found["core"].path.endswith("g/lib/core") and found["demo"].children == ["app"]
     assert builds.detect(str(tmp_path)) == {} and builds.modules_table(spark, found).count() == 3
 
 
@@ -182,7 +210,7 @@ def test_reports(spark, tmp_path, issues):
         reports.report(issues, "pdf", 3)
 
 
-@pytest.mark.parametrize(("path", "want"), [("/w/src/a/src/b", "src/a/src/b"), ("src/a", "src/a"), ("/w/a", "/w/a"), ("/src/a", "src/a")])
+@pytest.mark.parametrize(("path", "want"), [("/w/src/a/src/b", "src/a/src/b"), ("src/a", "src/a"), ("/w/a", "/w/a"), ("/src/a", "/src/a"), ("/src/a/src/b", "src/b"), ("//src/a", "src/a")])
 def test_relative_paths(spark, path, want):
     assert spark.range(1).select(reports.relative_path(F.lit(path)).alias("p")).first().p == want
 
@@ -191,6 +219,10 @@ def test_metrics(spark):
     df = spark.createDataFrame([("a", "// c\n\nclass A {\n * d\n  public int f(int n) { }\n}\n"), ("b", "")], "path string, src string")
     row = {r.path: r for r in metrics.source_metrics(df).collect()}
     assert tuple(row["a"])[1:] == (6, 3, 2, 1, 1, 1) and row["b"].total_lines == 0
+    whole = re.compile(r"(?:public|private|protected)?\s*(?:static\s+)?(?:\w+)\s+\w+\s*\([^)]*\)\s*\{")
+    texts = ["interface A {}", "enum B {}", "void f() {}", "new Foo() {", "if (x) {", "else if (x) {", "é ü(ß) {", "int f(a) throws E {", "a b c(d)\n {", "a b(c(d)) {", "static void f ( ) {} public static int g(){}", "subclass X", "class  Y", "a b(" * 50 + ") {"]
+    got = {r.path: r for r in metrics.source_metrics(spark.createDataFrame([(t, t) for t in texts], "path string, src string")).collect()}
+    assert {t: (got[t].classes, got[t].methods) for t in texts} == {t: (len(re.findall(r"\bclass\s+\w+", t)), len(whole.findall(t))) for t in texts}
 
 
 def test_cache(spark):
