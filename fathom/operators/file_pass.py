@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 import fathom.operators.java_syntax  # noqa: F401  registers its rules
-from fathom.functions.text import split_lines
 from fathom.operators.suppression import line_marks
 from fathom.operators.source_rules import RULES, Limits, SourceFile, byte_column
 from fathom.sources.catalog import Rule
@@ -39,10 +38,12 @@ def _over_files(files: DataFrame, find) -> DataFrame:
     return files.select("path", "src").mapInArrow(run, schema)
 
 
-def source_hits(files: DataFrame, rules: list[Rule], limits: Limits = Limits(), suppress: bool = False) -> DataFrame:
-    """Findings of the active rules in every file; a file that couldn't be read (null) has none.
+def source_hits(files: DataFrame, rules: list[Rule], limits: Limits = Limits(), suppress: bool = False, custom: list[tuple[int, str, str, str, str | None]] = ()) -> DataFrame:
+    """Findings of the active rules and of custom ones in every file; a file that couldn't be read (null) has none.
 
-    With ``suppress``, findings that their line's mark holds back are left out.
+    Custom rules are ``(ordinal, id, pattern, message, negative pattern)``: a finding for each match, with byte columns.
+    Lines that the negative pattern matches are left out; comments aren't.  With ``suppress``, findings that their line's
+    mark holds back are left out.
     """
     active = [(r.ordinal, r.key, r.title, r.rule_id) for r in source_rules(rules)]
 
@@ -55,30 +56,20 @@ def source_hits(files: DataFrame, rules: list[Rule], limits: Limits = Limits(),
                     continue
                 edit = dict(zip(("start_line", "start_column", "end_line", "end_column", "replacement"), f.edit)) if f.edit else None
                 yield path, f.line, f.column, None, f.message or title, f.snippet, f.severity, edit, ordinal
+        for ordinal, rule_id, pattern, message, negative in custom:
+            # the re module keeps compiled patterns
+            for number, line, trimmed in source.numbered():
+                if number in marks and (not marks[number] or rule_id in marks[number]) or negative and re.search(negative, line):
+                    continue
+                for m in re.finditer(pattern, line):
+                    yield path, number, byte_column(line, m.start()), byte_column(line, m.end()), message, trimmed, None, None, ordinal
 
     return _over_files(files, find)
 
 
-def custom_hits(files: DataFrame, rules: list[tuple[int, str, str, str | None]], ids: dict[int, str] | None = None) -> DataFrame:
-    """A finding for each match of custom rules ``(ordinal, pattern, message, negative pattern)``, with byte columns.
-
-    Lines that the negative pattern matches are left out; comments aren't.  With ``ids``, the rules' ids by ordinal,
-    findings that their line's mark holds back are left out too.
-    """
-
-    def find(path, src):
-        compiled = [(n, re.compile(p), message, re.compile(no) if no else None) for n, p, message, no in rules]
-        marks = line_marks(split_lines(src)) if ids and "NOSONAR" in src else {}
-        for number, line in enumerate(split_lines(src), 1):
-            for ordinal, pattern, message, negative in compiled:
-                if negative and negative.search(line):
-                    continue
-                if number in marks and (not marks[number] or ids[ordinal] in marks[number]):
-                    continue
-                for m in pattern.finditer(line):
-                    yield path, number, byte_column(line, m.start()), byte_column(line, m.end()), message, line.strip(), None, None, ordinal
-
-    return _over_files(files, find)
+def custom_hits(files: DataFrame, rules: list[tuple[int, str, str, str | None]]) -> DataFrame:
+    """Findings of custom rules ``(ordinal, pattern, message, negative pattern)`` alone."""
+    return source_hits(files, [], custom=[(n, "", pattern, message, negative) for n, pattern, message, negative in rules])
 
 
 def with_fix(hits: DataFrame) -> DataFrame:

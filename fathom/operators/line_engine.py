@@ -31,46 +31,70 @@ def file_predicates(rules: Iterable[Rule] | None = None) -> list[Rule]:
     return [r for r in (load() if rules is None else rules) if r.kind == "FILE" and r.predicate() is not None]
 
 
-def file_lines(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """``(path, line, text, lowered, trimmed, wide)`` and the columns in ``keep`` of every line of ``files(path, src)``."""
+def file_lines(files: DataFrame, keep: list[str] | None = None, outer: bool = False) -> DataFrame:
+    """``(path, line, text, lowered, trimmed, wide)`` and the columns in ``keep`` of every line of ``files(path, src)``.
+
+    With ``outer``, a file without lines has a row without text, as line 1.
+    """
     # made in the array, before it is exploded: as columns of a later projection they would be copied into every predicate
     described = F.transform(lines(F.col("src")), lambda t: F.struct(t.alias("text"), F.lower(t).alias("lowered"), trim(t).alias("trimmed"), t.rlike(r"[^\x00-\x7f]").alias("wide")))
-    cut = files.select("path", *(keep or []), F.posexplode(described).alias("at", "of"))
-    return cut.select("path", (F.col("at") + 1).alias("line"), "of.text", "of.lowered", "of.trimmed", "of.wide", *(keep or []))
+    explode = F.posexplode_outer if outer else F.posexplode
+    cut = files.select("path", *(keep or []), explode(described).alias("at", "of"))
+    return cut.select("path", (F.coalesce("at", F.lit(0)) + 1).alias("line"), "of.text", "of.lowered", "of.trimmed", "of.wide", *(keep or []))
+
+
+def _names(predicates: list[tuple[int, str]]) -> str:
+    """SQL: the ordinals of the predicates that hold, joined to a string.
+
+    That is an expression that the JVM gets as many small compiled methods; an array function would be interpreted.
+    """
+    return f"concat_ws(',', {', '.join(f"concat_ws(',', {', '.join(f"if({sql}, '{n}', null)" for n, sql in predicates[at : at + CHUNK])})" for at in range(0, len(predicates), CHUNK))})"
 
 
-def _found(df: DataFrame, predicates: list[tuple[int, str]], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``rule_ord`` of every row and predicate that holds on it.
+def _found(df: DataFrame, names: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and ``hit`` of every row and name of a predicate that holds on it.
 
-    The ordinals are joined to a string, an expression that the JVM gets as many small compiled methods (an array function
-    would be interpreted), and ``outer`` keeps the optimiser from testing the string's length, by making it twice.
+    ``outer`` keeps the optimiser from testing the string's length, by making it twice.
     """
-    names = ", ".join(f"concat_ws(',', {', '.join(f"if({sql}, '{n}', null)" for n, sql in predicates[at : at + CHUNK])})" for at in range(0, len(predicates), CHUNK))
     # a function that isn't compiled takes this projection out of whole-stage compilation, whose one method would be too long
     path = F.expr("element_at(transform(array(path), p -> p), 1)").alias("path")
-    hits = df.select(path, *[c for c in keep if c != "path"], F.expr(f"concat_ws(',', {names})").alias("hits"))
-    return hits.select(*keep, F.explode_outer(F.split("hits", ",+")).alias("hit")).where("hit <> ''").select(*keep, F.col("hit").cast("int").alias("rule_ord"))
+    hits = df.select(path, *[c for c in keep if c != "path"], F.expr(names).alias("hits"))
+    return hits.select(*keep, F.explode_outer(F.split("hits", ",+")).alias("hit")).where("hit <> ''")
 
 
-def line_hits(files: DataFrame, rules: list[Rule], marks: bool = False) -> DataFrame:
-    """``(path, line, trimmed, rule_ord)`` of every line and rule that holds on it; with ``marks``, ``ids`` of the line's mark."""
+def _file_names(rules: list[Rule]) -> str:
+    """SQL: names of the rules that hold on a file, of which the end tells that they aren't a line's."""
+    plain = SparkDialect()
+    return f"regexp_replace({_names([(r.ordinal, plain.render(r.predicate())) for r in rules])}, '([0-9])(?=,|$)', '$1f')"
+
+
+def line_hits(files: DataFrame, rules: list[Rule], marks: bool = False, on_files: list[Rule] = ()) -> DataFrame:
+    """``(path, line, trimmed, rule_ord)`` of every line and rule that holds on it; with ``marks``, ``ids`` of the line's mark.
+
+    Rules ``on_files`` are found in the same pass, as hits on line 1 without a text; a file that couldn't be read has none.
+    """
     dialect = SparkDialect(facts=[])
     predicates = [(r.ordinal, dialect.render(r.predicate())) for r in rules]
     plain = SparkDialect()
-    if dialect.facts:
+    on_files = list(on_files)
+    if dialect.facts or on_files:
         files = files.withColumn("src_wide", F.col("src").rlike(r"[^\x00-\x7f]"))
     facts = [F.expr(plain.render(node)).alias(f"fact_{n}") for n, node in enumerate(dialect.facts)]
     keep = [f"fact_{n}" for n in range(len(facts))]
-    cut = file_lines(files.select("path", "src", *facts), keep)
+    if on_files:
+        facts.append(F.expr(_file_names(on_files)).alias("file_names"))
+        files, keep = files.where("src is not null"), [*keep, "file_names"]
+    cut = file_lines(files.select("path", "src", *facts), keep, outer=bool(on_files))
     if marks:
         cut = cut.withColumn("ids", mark_ids(F.col("text")))
-    return _found(cut, predicates or [(0, "false")], ["path", "line", "trimmed"] + ["ids"] * marks)
+    names = _names(predicates or [(0, "false")])
+    if on_files:
+        names = f"concat_ws(',', {names}, if(line = 1, file_names, null))"
+    hits = _found(cut, names, ["path", "line", "trimmed"] + ["ids"] * marks)
+    trimmed = F.when(~F.col("hit").endswith("f"), F.col("trimmed"))
+    return hits.select("path", "line", trimmed.alias("trimmed"), *["ids"] * marks, F.rtrim("hit", F.lit("f")).cast("int").alias("rule_ord"))
 
 
-def file_hits(files: DataFrame, rules: list[Rule], marks: bool = False) -> DataFrame:
-    """``(path, line, trimmed, rule_ord)``: line 1 of every file on which a rule holds; ``marks`` as for lines."""
-    plain = SparkDialect()
-    predicates = [(r.ordinal, plain.render(r.predicate())) for r in rules]
-    wide = files.select("path", "src", F.col("src").rlike(r"[^\x00-\x7f]").alias("src_wide"))
-    wide = wide.withColumns({"line": F.lit(1), "trimmed": F.lit(None).cast("string")} | ({"ids": mark_ids(F.try_element_at(lines(F.col("src")), F.lit(1)))} if marks else {}))
-    return _found(wide, predicates or [(0, "false")], ["path", "line", "trimmed"] + ["ids"] * marks)
+def file_hits(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``(path, line, trimmed, rule_ord)``: line 1 of every file on which a rule holds."""
+    return line_hits(files, [], on_files=rules)

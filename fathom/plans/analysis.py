@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.operators.file_pass import custom_hits, source_hits, with_fix
-from fathom.operators.line_engine import file_hits, file_predicates, line_hits, line_rules
+from fathom.operators.file_pass import source_hits, with_fix
+from fathom.operators.line_engine import file_predicates, line_hits, line_rules
 from fathom.operators.source_rules import Limits
 from fathom.operators.suppression import held
 from fathom.sources.catalog import SEVERITIES, Rule, catalog, load
@@ -63,20 +63,23 @@ def predicate_issues(files: DataFrame, rules: list[Rule], suppress: bool = False
     A mark stands on the issue's own line, so it is read with the line and there is nothing to join.
     """
     on_lines, on_files = line_rules(rules), file_predicates(rules)
-    hits = line_hits(files, on_lines, marks=suppress)
-    hits = hits.unionByName(file_hits(files, on_files, marks=suppress)) if on_files else hits
+    hits = line_hits(files, on_lines, marks=suppress, on_files=on_files)
     if suppress:
         names = F.broadcast(catalog(files.sparkSession).select("rule_ord", "rule_id"))  # one row a rule
         hits = hits.join(names, "rule_ord").where(~held(F.col("ids"), F.col("rule_id"))).drop("ids", "rule_id")
     return described(hits)
 
 
-def custom_issues(files: DataFrame, custom: tuple[CustomRule, ...], suppress: bool = False) -> DataFrame:
-    """Issues of custom rules; their places in the catalogue come after those of the built-in ones."""
+def file_issues(files: DataFrame, rules: list[Rule], limits: Limits = Limits(), custom: tuple[CustomRule, ...] = (), suppress: bool = False) -> DataFrame:
+    """Issues of the rules that aren't predicates and of custom rules, in one pass over files.
+
+    The custom rules' places in the catalogue come after those of the built-in ones.
+    """
     first = len(load())
-    ids = {first + n: c.rule_id for n, c in enumerate(custom)} if suppress else None
-    hits = custom_hits(files, [(first + n, c.pattern, c.message, c.negative_pattern) for n, c in enumerate(custom)], ids)
-    return described(with_fix(hits), custom_catalog(files.sparkSession, custom, first))
+    hits = source_hits(files, rules, limits, suppress, [(first + n, c.rule_id, c.pattern, c.message, c.negative_pattern) for n, c in enumerate(custom)])
+    known = catalog(files.sparkSession)
+    known = known.unionByName(custom_catalog(files.sparkSession, custom, first), allowMissingColumns=True) if custom else known
+    return described(with_fix(hits), known)
 
 
 def all_issues(files: DataFrame, config: Config = Config()) -> DataFrame:
@@ -86,5 +89,4 @@ def all_issues(files: DataFrame, config: Config = Config()) -> DataFrame:
     """
     rules = active_rules(config)
     limits = Limits(config.max_complexity, config.max_params, config.max_nesting)
-    issues = predicate_issues(files, rules, suppress=True).unionByName(described(with_fix(source_hits(files, rules, limits, suppress=True))))
-    return issues.unionByName(custom_issues(files, config.custom_rules, suppress=True)) if config.custom_rules else issues
+    return predicate_issues(files, rules, suppress=True).unionByName(file_issues(files, rules, limits, config.custom_rules, suppress=True))
