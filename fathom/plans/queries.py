@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.operators import baseline, coverage, duplication, metrics, modules, reviews
+from fathom.operators import baseline, coverage, declarations, duplication, metrics, modules, reviews
 from fathom.operators.file_pass import custom_hits, source_hits
 from fathom.operators.line_engine import file_hits, file_lines, file_predicates, line_hits, line_rules
 from fathom.operators.suppression import suppressions, unsuppressed
@@ -138,6 +138,33 @@ def rule_selection(spark, sf_dir):
     return spark.createDataFrame([(r.key,) for r in active_rules(_ACTIVE)], "rule_key string")
 
 
+# Declarations
+
+# Imports and string literals, as the definition has them
+_IMPORT, _STRING = r"import\s+([\w.]+(?:\.\*)?)\s*;", r'"([^"\\]|\\.)*"'
+
+
+@query("imports", f"WITH {oracles.corpus_cte(*PART)}, found AS (SELECT path, unnest(regexp_extract_all(src, {DUCK.text(_IMPORT)}, 1)) AS name FROM files) SELECT name, count(*) AS n, count(DISTINCT path) AS files FROM found GROUP BY ALL")
+def import_counts(spark, sf_dir):
+    return declarations.imports(corpus(spark, sf_dir, *PART)).groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("path").alias("files"))
+
+
+@query("uses_import", f"WITH {oracles.corpus_cte(*PART)} SELECT path, len(list_filter(regexp_extract_all(src, {DUCK.text(_IMPORT)}, 1), lambda x: contains(x, 'util'))) > 0 AS uses FROM files")
+def uses_import(spark, sf_dir):
+    files = corpus(spark, sf_dir, *PART)
+    return files.select("path", declarations.uses_import(files.src, "util").alias("uses"))
+
+
+@query("string_literals", f"WITH {oracles.corpus_cte(*PART)} SELECT path, line::INT AS line, unnest(regexp_extract_all(text, {DUCK.text(_STRING)})) AS literal FROM lines")
+def string_literals(spark, sf_dir):
+    return declarations.string_literals(corpus(spark, sf_dir, *PART))
+
+
+@query("declarations")
+def declared(spark, sf_dir):
+    return declarations.declarations(corpus(spark, sf_dir, *PART))
+
+
 # Lines, suppression
 
 
