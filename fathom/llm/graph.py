@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset a folder of this machine's, which only a local session can use."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of a file system that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df``, written once in ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """``df``, written once in :func:`shared_folder`."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -48,20 +63,42 @@ def connected_components(links: DataFrame) -> DataFrame:
     return roots.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def component_least(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``(node, order, least, root)`` of ``nodes(node, order)``, whose ``node`` are distinct and ``order`` never null.
+
+    ``least`` is the smallest ``order`` that ``links(u, v)`` reach and ``root`` the node that has it, of several the
+    smallest.  Components are found on names that begin with ``order``, so their smallest name is the answer and no join
+    or group by component is left, however large one is.
+    """
+    named = nodes.select("node", F.struct("order", "node").alias("name"))
+    ends = links.where("u <> v")
+    for end in ("u", "v"):
+        ends = ends.join(named.select(F.col("node").alias(end), F.col("name").alias(f"{end}_name")), end)
+    roots = connected_components(ends.select(F.col("u_name").alias("u"), F.col("v_name").alias("v")))
+    roots = roots.select(F.col("node.node").alias("node"), F.col("root").alias("name"))
+    return nodes.join(roots, "node", "left").select("node", "order", F.coalesce("name.order", "order").alias("least"), F.coalesce("name.node", "node").alias("root"))
+
+
 def deal_groups(placed: DataFrame, keys: list[str], member: str, group_rows: int) -> DataFrame:
+    """``placed`` with its groups made ready for a self-join by :func:`deal_parts`; only large groups are counted back."""
+    sizes = placed.groupBy(*keys).count().where(F.col("count") > group_rows)
+    sizes = sizes.select(*keys, F.col("count").alias("__rows"))
+    return deal_parts(placed.join(sizes, keys, "left"), member, F.coalesce("__rows", F.lit(0)), group_rows).select(*placed.columns, "a", "b", "side")
+
+
+def deal_parts(placed: DataFrame, member: str, rows: Column, group_rows: int) -> DataFrame:
     """``placed`` with its groups made ready for a self-join by tasks that see a bounded number of rows each.
 
-    Adds ``a, b, side``.  A group of up to ``group_rows`` rows stays whole, as (0, 0).  A larger one is divided into
-    parts by a hash of ``member``, and every pair of parts is a cell (a, b) of its own: with a = b, for links within a
-    part, and with a < b for those between side 0 and side 1.  So each pair of rows of a group meets in one cell.
+    ``rows`` tells the size of a row's group.  Adds ``a, b, side``.  A group of up to ``group_rows`` rows stays whole, as
+    (0, 0).  A larger one is divided into parts by a hash of ``member``, and every pair of parts is a cell (a, b) of its
+    own: with a = b, for links within a part, and with a < b for those between side 0 and side 1.  So each pair of rows of
+    a group meets in one cell.
     """
-    sizes = placed.groupBy(*keys).count().where(F.col("count") > group_rows)
-    sizes = sizes.select(*keys, F.ceil(F.col("count") / group_rows).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64(member), F.col("parts")).cast("int")
+    parts = F.ceil(rows / group_rows).cast("int")
+    part = F.pmod(F.xxhash64(member), parts).cast("int")
     alone = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side")))
-    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, part).alias("a"), F.greatest(o, part).alias("b"), (part > o).cast("int").alias("side")))
-    dealt = placed.join(sizes, keys, "left").withColumn("dealt_to", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(cells)))
-    return dealt.select(*placed.columns, "dealt_to.*")
+    cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(o, part).alias("a"), F.greatest(o, part).alias("b"), (part > o).cast("int").alias("side")))
+    return placed.withColumn("dealt_to", F.explode(F.when(rows <= group_rows, alone).otherwise(cells))).select("*", "dealt_to.*").drop("dealt_to")
 
 
 def spanning_forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:

@@ -5,7 +5,8 @@ point of the E8 lattice; the points of all groups together are the vector's home
 cells next to its own that are nearest to its projection.  Several tables with projections of their own make up for
 pairs that are far apart in one.  Pairs that meet are verified by their cosine in double precision.
 
-Copies are one vector with a count.  A pair can meet several times; it counts only where it meets first, which both
+Copies are one vector with a count.  Cells are found with numbers only; vectors are sent, in the type that they come in,
+to the cells where another one is.  A pair can meet several times; it counts only where it meets first, which both
 sides' cells in all tables tell, so links are counted without being listed.  A cell with many vectors is divided into
 pairs of parts, each a task's work of bounded size.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from fathom.llm.batches import schema_of
-from fathom.llm.graph import connected_components, cut_lineage, deal_groups, spanning_forest
+from fathom.llm.graph import component_least, cut_lineage, deal_parts, spanning_forest
 
 COSINE = 0.93
 #: Tables, groups of eight coordinates in each, cells looked into besides the home cell, and the projection's scale.
@@ -84,12 +85,12 @@ def projection(size: int, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def cells(unit: np.ndarray, table: int) -> np.ndarray:
-    """Cell numbers (rows, 1 + PROBES) of unit vectors in a table: the home cell, then its neighbours by distance."""
+    """Cell numbers (rows, 1 + PROBES) of unit vectors in a table: the home cell, then its nearest neighbours."""
     directions, shift, mix = projection(unit.shape[1], table)
     y = _rows_times(unit, directions) + shift
     points = np.concatenate([nearest_e8(y[:, 8 * g : 8 * g + 8]) for g in range(GROUPS)], axis=1)
     closer = np.concatenate([_rows_times((y - points)[:, 8 * g : 8 * g + 8], NEIGHBOURS.T) for g in range(GROUPS)], axis=1)
-    moves = np.argsort(-closer, axis=1, kind="stable")[:, :PROBES]
+    moves = np.argpartition(-closer, PROBES, axis=1)[:, :PROBES]
     steps = np.zeros((GROUPS * 240, 8 * GROUPS), dtype=np.int64)
     for g in range(GROUPS):
         steps[240 * g : 240 * (g + 1), 8 * g : 8 * g + 8] = (2 * NEIGHBOURS).astype(np.int64)
@@ -103,8 +104,9 @@ def all_cells(unit: np.ndarray) -> np.ndarray:
     return np.stack([cells(unit, t) for t in range(TABLES)], axis=1)
 
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, size)
+def _matrix(column: pa.Array, size: int, double: bool) -> np.ndarray:
+    """Vectors of the same size from their bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64 if double else np.float32).astype(np.float64).reshape(-1, size)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -112,8 +114,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def marked(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """``(id, label, vector, copy)``: ``copy`` is a 128-bit digest of label and vector, null if it can't have links."""
-    schema = schema_of("id long, label long, vector array<double>, copy binary")
+    """``(id, label, double, vector, copy)``: ``copy`` is a 128-bit digest of label and vector, null if it can't have links.
+
+    ``vector`` has the numbers as bytes, 32 bits each where the column has such, otherwise 64.
+    """
+    schema = schema_of("id long, label long, double boolean, vector binary, copy binary")
+    double = vectors.schema[vector_col].dataType.elementType.simpleString() != "float"
 
     def run(batches):
         for batch in batches:
@@ -125,33 +131,39 @@ def marked(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
                 with np.errstate(over="ignore"):
                     # a norm that is beyond doubles, or that vanishes in them, gives no cosine
                     ok = ok and bool(np.isfinite(x).all()) and 0 < float((x * x).sum()) < np.inf
+                kept.append((x if double else x.astype(np.float32)).tobytes() if ok else None)
                 digests.append(blake2b(x.tobytes(), digest_size=16, key=str(label).encode()).digest() if ok else None)
-                kept.append(v if ok else None)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), labels.cast(pa.int64()), pa.array(kept, type=pa.list_(pa.float64())), pa.array(digests, type=pa.binary())], schema=to_arrow_schema(schema))
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), labels.cast(pa.int64()), pa.array([double] * len(kept)), pa.array(kept, type=pa.binary()), pa.array(digests, type=pa.binary())], schema=to_arrow_schema(schema))
 
-    return vectors.select(F.col(id_col).cast("long"), F.col(label_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(run, schema)
+    cast = "array<double>" if double else "array<float>"
+    return vectors.select(F.col(id_col).cast("long"), F.col(label_col).cast("long"), F.col(vector_col).cast(cast)).mapInArrow(run, schema)
 
 
-def placed(distinct: DataFrame) -> DataFrame:
-    """Every distinct vector in its home cell and in those that it looks into, in each table."""
-    schema = schema_of("label long, size int, trie int, cell long, home boolean, copy binary, n long, vector array<double>")
+def celled(distinct: DataFrame) -> DataFrame:
+    """``distinct`` with its ``size`` and ``cells``: in each table the home cell and those that the vector looks into.
+
+    A cell is a hash of label, size, table and lattice point.
+    """
+    schema = schema_of("node long, label long, double boolean, vector binary, copy binary, n long, least long, size int, cells array<long>")
 
     def run(batches):
+        arrow = to_arrow_schema(schema)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sizes = np.array([len(v) for v in part["vector"].to_pylist()])
-                for size in np.unique(sizes):
+                double = part["double"][0].as_py()
+                sizes = np.array([len(v) for v in part["vector"].to_pylist()]) // (8 if double else 4)
+                for size in np.unique(sizes).tolist():
                     mine = part.take(pa.array(np.flatnonzero(sizes == size)))
-                    rows = np.repeat(np.arange(mine.num_rows), 1 + PROBES)
-                    unit = _unit(_matrix(mine["vector"], size))
-                    for t in range(TABLES):
-                        out = mine.take(pa.array(rows))
-                        number = cells(unit, t).ravel()
-                        home = np.tile(np.arange(1 + PROBES) == 0, mine.num_rows)
-                        yield pa.RecordBatch.from_arrays([out["label"], pa.array(np.full(len(rows), size, dtype=np.int32)), pa.array(np.full(len(rows), t, dtype=np.int32)), pa.array(number), pa.array(home), out["copy"], out["n"], out["vector"]], schema=to_arrow_schema(schema))
+                    table = np.arange(TABLES, dtype=np.uint64)[None, :, None]
+                    with np.errstate(over="ignore"):
+                        key = all_cells(_unit(_matrix(mine["vector"], size, double))).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                        key ^= (mine["label"].to_numpy().view(np.uint64)[:, None, None] * np.uint64(TABLES) + table) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(size)
+                        key = (key ^ key >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+                    cells = pa.array(list(key.view(np.int64).reshape(mine.num_rows, -1)), type=pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(np.full(mine.num_rows, size, dtype=np.int32)), cells], schema=arrow)
 
-    return distinct.select("label", "vector", "copy", "n").mapInArrow(run, schema)
+    return distinct.select("node", "label", "double", "vector", "copy", "n", "least").mapInArrow(run, schema)
 
 
 def _candidates(starts: np.ndarray, stops: np.ndarray, homes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -173,22 +185,22 @@ def _candidates(starts: np.ndarray, stops: np.ndarray, homes: np.ndarray) -> Ite
 
 
 def _links(table: pa.Table, threshold: float):
-    """Links and forest of complete cells of one size and table: ``copy, parent, links`` of each vector with any."""
-    size, t = table["size"][0].as_py(), table["trie"][0].as_py()
-    column = {c: table[c].to_numpy() for c in ("label", "cell", "a", "b", "side", "n", "home")}
-    keys = np.stack([column[c].astype(np.int64) for c in ("label", "cell", "a", "b")], 1)
+    """Links and forest of complete cells of one size and table: ``node, parent, links`` of each vector with any."""
+    size, t, double = (table[c][0].as_py() for c in ("size", "trie", "double"))
+    column = {c: table[c].to_numpy() for c in ("label", "cell", "a", "b", "side", "n", "home", "node")}
+    keys = np.stack([column[c].astype(np.int64) for c in ("cell", "a", "b")], 1)
     new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
     group = np.cumsum(new) - 1
     order = np.lexsort((~column["home"].astype(bool), group))
-    unit = _unit(_matrix(table["vector"].combine_chunks(), size))[order]
-    home, side, n, group = column["home"].astype(bool)[order], column["side"][order], column["n"][order], group[order]
+    unit = _unit(_matrix(table["vector"], size, double))[order]
+    home, side, n, group, kind = column["home"].astype(bool)[order], column["side"][order], column["n"][order], group[order], column["label"][order]
     crossed = (column["a"] != column["b"])[order]
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     stops = np.append(starts[1:], len(group))
     homes = np.add.reduceat(home.astype(np.int64), starts)
     some = (homes > 0) & (stops - starts > 1)
-    # one number for each vector, in the order of its digest, whatever number of rows it has here
-    distinct, number = np.unique(np.array(table["copy"].to_pylist(), dtype=object)[order], return_inverse=True)
+    # one number for each vector, whatever number of rows it has here
+    distinct, number = np.unique(column["node"][order], return_inverse=True)
     degree = np.zeros(len(distinct), dtype=np.int64)
     at_row = np.zeros(len(distinct), dtype=np.int64)
     at_row[number] = np.arange(len(number))
@@ -203,7 +215,7 @@ def _links(table: pa.Table, threshold: float):
 
     def found():
         for i, j in _candidates(starts[some], stops[some], homes[some]):
-            ok = (number[i] != number[j]) & ~(home[i] & (number[i] > number[j])) & ~(crossed[i] & (side[i] == side[j]))
+            ok = (number[i] != number[j]) & ~(home[i] & (number[i] > number[j])) & ~(crossed[i] & (side[i] == side[j])) & (kind[i] == kind[j])
             i, j = i[ok], j[ok]
             near = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
             i, j = i[near], j[near]
@@ -224,7 +236,7 @@ def _links(table: pa.Table, threshold: float):
 
     label = spanning_forest(len(distinct), found())
     told = np.flatnonzero((degree > 0) | (label != np.arange(len(distinct))))
-    return [distinct[told].tolist(), distinct[label[told]].tolist(), degree[told]]
+    return [distinct[told], distinct[label[told]], degree[told]]
 
 
 def near_vectors(vectors: DataFrame, threshold: float = COSINE, cell_rows: int = CELL_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -236,13 +248,17 @@ def near_vectors(vectors: DataFrame, threshold: float = COSINE, cell_rows: int =
     Repeated rows are vectors of their own and linked like other copies; a row with a null id can be linked but isn't
     kept.  An empty table gives no rows.
     """
-    rows = cut_lineage(marked(vectors, id_col, vector_col, label_col))
-    distinct = rows.where("copy is not null").groupBy("copy").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("n"), F.min("id").alias("least"))
-    distinct = cut_lineage(distinct)
-    dealt = deal_groups(placed(distinct), ["label", "size", "trie", "cell"], "copy", cell_rows)
-    keys = ["size", "trie", "label", "cell", "a", "b"]
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    schema = schema_of("copy binary, parent binary, links long")
+    rows = marked(vectors, id_col, vector_col, label_col)
+    distinct = rows.where("copy is not null").groupBy("copy").agg(*[F.first(c).alias(c) for c in ("label", "double", "vector")], F.count("*").alias("n"), F.min("id").alias("least"))
+    distinct = cut_lineage(celled(cut_lineage(distinct.withColumn("node", F.monotonically_increasing_id()))))
+    placed = distinct.select("node", F.posexplode("cells").alias("at", "cell")).select("node", "cell", (F.col("at") % (1 + PROBES) == 0).alias("home"), F.floor(F.col("at") / (1 + PROBES)).cast("int").alias("trie"))
+    # only where somebody is at home and somebody else is there too
+    meeting = placed.groupBy("cell").agg(F.count("*").alias("rows"), F.max("home").alias("some")).where("rows > 1 and some").select("cell", "rows")
+    dealt = deal_parts(placed.join(meeting, "cell"), "node", F.col("rows"), cell_rows).select("node", "cell", "home", "trie", "a", "b", "side")
+    dealt = dealt.join(distinct.select("node", "label", "double", "vector", "n", "size"), "node")
+    keys = ["size", "trie", "cell", "a", "b"]
+    dealt = dealt.repartition("cell", "a", "b").sortWithinPartitions(*keys)
+    schema = schema_of("node long, parent long, links long")
 
     def run(batches):
         arrow = to_arrow_schema(schema)
@@ -273,11 +289,11 @@ def near_vectors(vectors: DataFrame, threshold: float = COSINE, cell_rows: int =
             yield from told(pa.Table.from_batches(held))
 
     links = cut_lineage(dealt.mapInArrow(run, schema))
-    roots = connected_components(links.select(F.col("copy").alias("u"), F.col("parent").alias("v")))
-    degrees = links.groupBy("copy").agg(F.sum("links").alias("links"))
-    classes = distinct.select("copy", "n", "least").join(degrees, "copy", "left").join(roots, F.col("copy") == F.col("node"), "left")
-    classes = classes.select("copy", F.col("n") - 1 + F.coalesce("links", F.lit(0)), "least", F.coalesce("root", "copy").alias("root")).toDF("copy", "n_links", "least", "root")
-    classes = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("copy", "n_links", "component_id")
+    nodes = distinct.select("node", F.struct(F.col("least").isNull().alias("absent"), F.col("least").alias("id")).alias("order"))
+    least = component_least(nodes, links.select(F.col("node").alias("u"), F.col("parent").alias("v")))
+    degrees = links.groupBy("node").agg(F.sum("links").alias("links"))
+    classes = distinct.select("node", "copy", "n").join(least, "node").join(degrees, "node", "left")
+    classes = classes.select("copy", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("least.id").alias("component_id"))
     out = rows.select("id", "copy").join(classes, "copy", "left")
     component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
