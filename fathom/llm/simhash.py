@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from fathom.llm.batches import map_batches
-from fathom.llm.graph import connected_components, cut_lineage, deal_groups, spanning_forest
+from fathom.llm.graph import component_least, cut_lineage, deal_groups, spanning_forest
 
 DIFFER = 4
 SHINGLE_WORDS = 4
@@ -35,6 +35,8 @@ MEAN_ROWS = 512
 FRONTIER = 1 << 18
 #: Rows of complete groups that are joined together in a task.
 TRIE_ROWS = 1 << 16
+#: Hashes whose bits are counted at once.
+HASHES = 1 << 14
 
 
 def shingle_hashes(text: str, words: int = SHINGLE_WORDS) -> list[int]:
@@ -52,12 +54,16 @@ def shingle_hashes(text: str, words: int = SHINGLE_WORDS) -> list[int]:
 
 def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     """SimHash of a text's word shingles; 0 if it has no word."""
-    hashes = shingle_hashes(text, words)
-    if not hashes:
-        return 0
-    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    over = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
-    return int.from_bytes(np.packbits(over, bitorder="little").tobytes(), "little")
+    return fingerprint_of(np.array(shingle_hashes(text, words), dtype=np.uint64))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; a few thousand of these at a time."""
+    over = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), HASHES):
+        part = hashes[at : at + HASHES].astype("<u8", copy=False)
+        over += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * over > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,12 +213,6 @@ def near_links(nodes: DataFrame, differ: int = DIFFER, group_rows: int = GROUP_R
     return map_batches(dealt, ["trie", "path", "a", "b", "side", "fp"], "u long, v long", task, rows=8192)
 
 
-def _classes(nodes: DataFrame, differ: int) -> DataFrame:
-    """``(fp, least, root)`` of the different fingerprints ``nodes(fp, least)``; fingerprints that links join share a root."""
-    roots = connected_components(near_links(nodes.select("fp"), differ))
-    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, differ: int = DIFFER, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fingerprint, component_id)`` of every document.
 
@@ -222,20 +222,7 @@ def near_duplicates(docs: DataFrame, differ: int = DIFFER, words: int = SHINGLE_
     table gives no rows.
     """
     prints = cut_lineage(fingerprints(docs, words, id_col, text_col))
-    classes = _classes(cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least"))), differ)
-    classes = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    least = F.min("id")
+    nodes = cut_lineage(prints.groupBy(F.col("fp").alias("node")).agg(F.struct(least.isNull().alias("absent"), least.alias("id")).alias("order")))
+    classes = component_least(nodes, near_links(nodes.select(F.col("node").alias("fp")), differ)).select(F.col("node").alias("fp"), F.col("least.id").alias("component_id"))
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_representatives(docs: DataFrame, differ: int = DIFFER, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates, in its own columns: that with the smallest id, and of several the first.
-
-    The rows are written once with their number, since a second reading may number them otherwise.  A row with a null id
-    stays only where its group has no other.
-    """
-    placed = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
-    prints = cut_lineage(fingerprints(placed.select("__row", text_col), words, "__row", text_col))
-    order = placed.select(F.col("__row").alias("id"), F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("key"), F.col("__row").alias("row")).alias("order"))
-    nodes = cut_lineage(prints.join(order, "id").groupBy("fp").agg(F.min("order").alias("least")))
-    kept = _classes(nodes, differ).groupBy("root").agg(F.min("least").alias("least"))
-    return placed.join(kept.select(F.col("least.row").alias("__row")), "__row", "left_semi").drop("__row")

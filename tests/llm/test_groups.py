@@ -100,17 +100,6 @@ def test_large_groups_are_divided(spark, group_rows):
     assert [sets.find(i) for i in range(len(values))] == least_reachable(len(values), linked, list(range(len(values))))
 
 
-def test_one_row_of_each_group_stays(spark, tmp_path):
-    edge_docs(spark).repartition(3).write.parquet(str(tmp_path / "docs"))
-    docs = spark.read.parquet(str(tmp_path / "docs"))
-    kept = simhash.keep_representatives(docs)
-    assert kept.schema == docs.schema
-    rows = [r[:2] for r in edge_rows()]
-    prints, components = brute_components(rows)
-    got = Counter(r.doc_id for r in kept.collect())
-    assert got == Counter(set(components))
-
-
 # Operator 5
 
 
@@ -226,6 +215,33 @@ def test_network_gradients():
         assert abs(slope - grad[name][at]) < 2e-2 * max(1, abs(slope)) + 2e-3
 
 
+def test_scores_by_plain_convolution():
+    """The network spelled out: embed, convolve, rectify, maxima of overlapping chunks, mean and maximum, one unit."""
+    rng = np.random.default_rng(9)
+    net = byte_cnn.ByteNetwork()
+    net = byte_cnn.ByteNetwork({k: v + rng.normal(0, 0.1, v.shape) for k, v in net.p.items()})
+    for n in (0, 1, 4, 5, 127, 128, 129, 255, 256, 257, 900):
+        text = "".join(rng.choice(list("ab é.\n字")) for _ in range(n))
+        codes = text.encode() + bytes(byte_cnn.WIDTH - 1) if text else bytes(byte_cnn.WIDTH)
+        at = range(len(codes) - byte_cnn.WIDTH + 1)
+        out = np.array([sum(net.p["emb"][codes[i + w]] @ net.p["conv"][w] for w in range(byte_cnn.WIDTH)) + net.p["bias"] for i in at])
+        chunks = [out[i : i + 2 * byte_cnn.HALF] for i in range(0, max(1, len(out) - byte_cnn.HALF), byte_cnn.HALF)]
+        maxima = np.maximum([c.max(axis=0) for c in chunks], 0)
+        z = np.concatenate([maxima.mean(axis=0), maxima.max(axis=0)]) @ net.p["out"] + net.p["shift"][0]
+        assert net.score(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_the_sample_is_bounded_and_fixed(spark):
+    docs, labels = labelled(spark)
+    long = spark.createDataFrame([(n, "x" * (byte_cnn.SAMPLE_CHARS + n % 2)) for n in (3, 4, 7, 8)], "doc_id long, text string")
+    many = docs.select("doc_id", "text").unionByName(docs.select("doc_id", F.concat("text", F.lit("!")).alias("text"))).unionByName(long)
+    sample = byte_cnn.labelled_sample(many, labels, sample={0: 200, 1: 200})
+    assert 200 <= len(sample) <= 480
+    assert sample == byte_cnn.labelled_sample(many.repartition(7), labels.repartition(5), sample={0: 200, 1: 200})
+    assert max(len(t) for t, _ in sample) <= byte_cnn.SAMPLE_CHARS
+    assert len(byte_cnn.labelled_sample(many, labels, sample={0: 30, 1: 30})) <= 72
+
+
 def test_long_texts_are_scored_in_blocks(monkeypatch):
     net, text = byte_cnn.ByteNetwork(), "some words with ends. " * 3000
     whole = net.score(text)

@@ -68,6 +68,26 @@ def test_edge_rows(spark):
     assert near_copies.keep_representatives(no_docs(spark)).count() == 0
 
 
+def test_budget_of_the_tries():
+    """Pairs at the similarity are within the budget, for small sets too."""
+    rng = np.random.default_rng(8)
+    over = 0
+    for n in (5, 10, 45, 180):
+        for _ in range(3000):
+            all_ = rng.integers(0, 2**63, size=n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, size=n).astype(np.uint64)
+            only = n // 5  # of these, any number may be on one side
+            left = rng.integers(0, only + 1)
+            a, b = all_[: n - left], np.concatenate([all_[: n - only], all_[n - left :]])
+            assert near_copies.similar(np.unique(a), np.unique(b))
+            over += (simhash.fingerprint_of(a) ^ simhash.fingerprint_of(b)).bit_count() > near_copies.DIFFER
+    assert over <= 2
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 7, 8), (2, "a b c d e f", 7, 8)], "doc_id long, text string, row int, ROW_ int")
+    assert near_copies.keep_representatives(docs).collect() == docs.where("doc_id = 1").collect()
+
+
 def test_stage_and_those_behind_it_on_the_small_table(spark, tmp_path):
     small = "/root/testdata/sf0.001"
     docs = queries.table(spark, small, "documents")
@@ -81,12 +101,11 @@ def test_stage_and_those_behind_it_on_the_small_table(spark, tmp_path):
     assert clean == {i: secrets.redact(t, secrets.all_spans(t)[1]) for i, t in kept.items()}
 
 
-@pytest.mark.parametrize("module", [simhash, near_copies])
-def test_rows_are_numbered_once(spark, tmp_path, monkeypatch, module):
+def test_rows_are_numbered_once(spark, tmp_path, monkeypatch):
     """Splits of the files change between the jobs, as when executors come or go."""
     rows = [(n, f"text {n % 50} of a few words") for n in range(400)]
     spark.createDataFrame(rows, SCHEMA).repartition(40).write.parquet(str(tmp_path / "docs"))
-    before, cut, calls = spark.conf.get("spark.sql.files.openCostInBytes"), module.cut_lineage, []
+    before, cut, calls = spark.conf.get("spark.sql.files.openCostInBytes"), near_copies.cut_lineage, []
 
     def moved(df):
         out = cut(df)
@@ -94,9 +113,9 @@ def test_rows_are_numbered_once(spark, tmp_path, monkeypatch, module):
         spark.conf.set("spark.sql.files.openCostInBytes", "1g" if len(calls) % 2 else "1")
         return out
 
-    monkeypatch.setattr(module, "cut_lineage", moved)
+    monkeypatch.setattr(near_copies, "cut_lineage", moved)
     try:
-        got = Counter(r.doc_id for r in module.keep_representatives(spark.read.parquet(str(tmp_path / "docs"))).collect())
+        got = Counter(r.doc_id for r in near_copies.keep_representatives(spark.read.parquet(str(tmp_path / "docs"))).collect())
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", before)
     assert got == Counter(range(50))

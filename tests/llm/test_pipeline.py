@@ -3,6 +3,7 @@ from collections import Counter
 import corpus_pipeline
 from fathom.llm import byte_cnn, line_rules, packing, queries, secrets
 from tests.llm.edge import edge_docs, edge_rows, no_docs
+from tests.llm.test_near_copies import brute_kept
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -25,9 +26,7 @@ def test_stages_by_plain_python(spark, tmp_path):
             judged = {i: line_rules.judge(t or "") for i, t in last.items()}
             assert got == {i: j[7] for i, j in judged.items() if j[6]}
         elif name == "near_duplicates":
-            from tests.llm.test_groups import brute_components
-
-            assert set(got) == set(brute_components(list(last.items()))[1])
+            assert set(got) == set(brute_kept(list(last.items())))
         else:
             assert got == {i: secrets.redact(t, secrets.all_spans(t)[1]) for i, t in last.items()}
         last, before = got, out
