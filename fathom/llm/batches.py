@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ def schema_of(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
 
 
+def vocabulary_file(name: str) -> str:
+    """The path of a public tokenizer's vocabulary by its name, on the machine that asks; a path stays as it is."""
+    return name if "/" in name else str(public_tokenizers.path(name))
+
+
 def quoted(name: str) -> str:
     """A column's name as SQL, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"

@@ -26,6 +26,8 @@ import ahocorasick
 import numpy as np
 import regex
 
+from fathom.llm.batches import vocabulary_file
+
 #: The split pattern that the byte-level vocabularies are published with.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -51,7 +53,7 @@ class BytePairVocabulary:
     """Byte-level vocabulary: token bytes, merge histories, and the tables for encoding and decoding."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
+        with open(vocabulary_file(path), encoding="utf-8") as f:
             spec = json.load(f)
         back = byte_alphabet()
         spelled = spec["model"]["vocab"]

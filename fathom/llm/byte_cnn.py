@@ -24,6 +24,8 @@ HALF = 128
 BLOCK = 1 << 15
 #: Documents of each label that the network is fitted on, about (chosen by a hash of the id).
 SAMPLE = {0: 1200, 1: 3600}
+#: Longest text in that sample; with the number of documents this bounds what the driver holds.  All texts are scored whole.
+SAMPLE_CHARS = 20_000
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.02, 7
 PASS_SCORE = 0.3
 
@@ -146,18 +148,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: dict[int, int] |
     """Texts and labels of about ``sample[label]`` documents of each label (at most 1.2 times as many), without fold 0.
 
     Chosen by a hash of the id, so the choice doesn't depend on how the tables are stored.  Labels other than 0 and 1,
-    null ids and null texts are left out.
+    null ids, null texts and texts of over ``SAMPLE_CHARS`` characters are left out.
     """
     sample = sample or SAMPLE
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (in_fold(id_col) != 0)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("label") == k, F.lit(sample[k] / n)) for k, n in sizes.items()]) if sizes else F.lit(0.0)
-    # at most this many rows, so they can be sent to every task and no text is shuffled
+    # at most this many rows, the first by a hash, so they can be sent to every task and no text is shuffled
     most = int(1.2 * sum(sample.values()))
-    chosen = F.broadcast(known.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < share * 1_000_000).limit(most))
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(chosen, "id")
-    rows = picked.select("id", "text", "label").limit(most).collect()
-    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["id"], r["text"]))]
+    chosen = known.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < share * 1_000_000)
+    chosen = F.broadcast(chosen.orderBy(F.xxhash64("id", F.lit(SEED + 1)), "id", "label").limit(most))
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(chosen, "id")
+    rows = picked.select("id", "text", "label").orderBy(F.xxhash64("id", "text"), "id", "text", "label").limit(most).collect()
+    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["id"], r["text"], r["label"]))]
 
 
 def train(docs: DataFrame, labels: DataFrame, **names) -> bytes:
@@ -196,7 +199,10 @@ def score_quality(docs: DataFrame, parameters: bytes, id_col: str = "doc_id", te
 
 
 def keep_quality(docs: DataFrame, parameters: bytes, text_col: str = "text") -> DataFrame:
-    """The rows whose text passes, in their own columns."""
+    """The rows whose text passes, in their own columns.
+
+    A null text is scored as an empty one.  Repeated rows stay or go alike; an empty table gives no rows.
+    """
     at = docs.columns.index(text_col)
 
     def task(parts):

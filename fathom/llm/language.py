@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.batches import map_batches
+from fathom.llm.batches import map_batches, vocabulary_file
 from fathom.llm.byte_cnn import fold, in_fold
 
 START = "▁"
@@ -42,7 +42,7 @@ class Pieces:
     """Pieces of a sentencepiece vocabulary with letters in them, and where they match."""
 
     def __init__(self, path: str):
-        processor = sentencepiece.SentencePieceProcessor(model_file=path)
+        processor = sentencepiece.SentencePieceProcessor(model_file=vocabulary_file(path))
         spelled = {}
         for i in range(processor.get_piece_size()):
             if processor.is_unknown(i) or processor.is_control(i) or processor.is_byte(i):

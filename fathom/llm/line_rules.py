@@ -106,7 +106,8 @@ def clean_documents(docs: DataFrame, with_text: bool = False, id_col: str = "doc
 def keep_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The rows whose document is kept, in their own columns, with the text of the lines that pass.
 
-    ``length_col`` is set to the new length where lines went.
+    ``length_col`` is set to the new length where lines went.  Null, empty and blank texts go.  Repeated rows stay or go
+    alike; an empty table gives no rows.
     """
     names = docs.columns
     at, length_at = names.index(text_col), names.index(length_col) if length_col in names else -1

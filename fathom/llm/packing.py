@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from fathom.llm.batches import map_batches
+from fathom.llm.batches import map_batches, vocabulary_file
 
 #: Entries of the word cache of a Python worker, and the longest word kept in it.
 CACHE_ENTRIES, CACHE_KEY_CHARS = 1_000_000, 64
@@ -39,7 +39,7 @@ class WordTokenizer:
     _closed = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(vocabulary_file(path))
         self.library.no_truncation()
         self.library.no_padding()
         special = sorted(self.library.get_added_tokens_decoder().items())

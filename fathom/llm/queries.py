@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fathom.llm import byte_cnn, language
@@ -18,9 +17,10 @@ from fathom.llm.simhash import near_duplicates
 from fathom.llm.token_counts import count_tokens
 from fathom.llm.vectors import near_vectors
 
-BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
-WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+#: Names of vocabularies; every worker finds its own file.
+BYTE_BPE = "byte_bpe_50k.json"
+WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 #: Long digit groups, as a later masking pass would edit them.
 LONG_NUMBER = r"\d[\d ().-]{6,}\d"

@@ -149,17 +149,28 @@ def pretoken_counts(path: str) -> PretokenCounts:
     return _counts[path]
 
 
-def apply_edits(document: CountedDocument, edits: Iterable[tuple[int, int, str]]) -> None:
+def apply_edits(document: CountedDocument, edits: list[tuple[int, int, str]]) -> None:
     """Edits given by places in the text before any of them, not overlapping; later places first."""
-    for start, end, replacement in sorted(edits, reverse=True):
+    for start, end, replacement in reversed(edits):
         document.edit(start, end, replacement)
 
 
+def sound_edits(edits: Iterable, n_chars: int) -> list[tuple[int, int, str]]:
+    """The edits in order of place, without nulls, places outside the text, and what overlaps an edit before it."""
+    out: list[tuple[int, int, str]] = []
+    given = [(e["start"], e["end"], e["replacement"] or "") for e in edits if e is not None and e["start"] is not None and e["end"] is not None]
+    for start, end, replacement in sorted(given):
+        if 0 <= start <= end <= n_chars and (not out or start >= out[-1][1] and (start, end) != out[-1][:2]):
+            out.append((start, end, replacement))
+    return out
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, edits_col: str | None = None, edit_pattern: str | None = None, edit_with: str = "", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, n_edits, n_tokens_edited, n_encoded)`` of every document.
 
     ``edits_col`` names a column ``array<struct<start: int, end: int, replacement: string>>`` of edits to the text
-    (code points, end exclusive, not overlapping); null means none.  Instead, ``edit_pattern`` replaces each of its
+    (code points, end exclusive); null means none, and a null replacement an empty one.  Edits with a null place or one
+    outside the text, and those that overlap an edit before them or have the same place, are left out.  Instead, ``edit_pattern`` replaces each of its
     matches by ``edit_with``.  ``n_encoded`` is the number of pre-tokens
     split and encoded for the edits.  A null or empty text has 0 tokens.  Repeated rows each give a row.
     """
@@ -177,7 +188,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, edits_col: str | None = None,
                 if pattern:
                     edits = [(*m.span(), edit_with) for m in pattern.finditer(text or "")]
                 else:
-                    edits = [(e["start"], e["end"], e["replacement"] or "") for e in edits or ()]
+                    edits = sound_edits(edits or (), len(text or ""))
                 apply_edits(document, edits)
                 rows.append((key, before, len(edits), document.n_tokens, document.encoded - built))
             yield [list(c) for c in zip(*rows)]

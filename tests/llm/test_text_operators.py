@@ -272,6 +272,16 @@ def test_kept_documents_keep_their_columns(spark):
     assert by_row(r.doc_id for r in kept.collect()) == want
 
 
+def test_edits_that_cannot_be_made(spark):
+    edits = [(0, 1, "x"), (0, 1, "y"), (None, 3, "z"), (2, None, "z"), (-1, 2, "z"), (4, 3, "z"), (3, 99, "z"), (5, 9, None), (8, 10, "late"), (9, 9, "in")]
+    docs = spark.createDataFrame([(1, "some words here", edits), (2, None, [(0, 0, "new word")]), (3, "a", [None])], "doc_id long, text string, edits array<struct<start: int, end: int, replacement: string>>")
+    rows = {r.doc_id: r for r in count_tokens(docs, BYTE_BPE, edits_col="edits").collect()}
+    library = Tokenizer.from_file(BYTE_BPE)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    assert (rows[1].n_edits, rows[1].n_tokens_edited) == (3, count("xome ins here"))
+    assert (rows[2].n_edits, rows[2].n_tokens_edited) == (1, count("new word")) and rows[3].n_edits == 0
+
+
 def test_leaf_split_keeps_counts():
     document = CountedDocument("a b c", pretoken_counts(BYTE_BPE))
     document.edit(5, 5, " word" * (2 * token_counts.LEAF_MOST))
