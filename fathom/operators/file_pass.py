@@ -45,17 +45,17 @@ def source_hits(files: DataFrame, rules: list[Rule], limits: Limits = Limits(),
     Lines that the negative pattern matches are left out; comments aren't.  With ``suppress``, findings that their line's
     mark holds back are left out.
     """
-    active = [(r.ordinal, r.key, r.title, r.rule_id) for r in source_rules(rules)]
+    active = [(r.ordinal, r.key, r.rule_id) for r in source_rules(rules)]
 
     def find(path, src):
         source = SourceFile(path, src, limits)
         marks = line_marks(source.lines) if suppress and "NOSONAR" in src else {}
-        for ordinal, key, title, rule_id in active:
+        for ordinal, key, rule_id in active:
             for f in RULES[key](source):
                 if f.line in marks and (not marks[f.line] or rule_id in marks[f.line]):
                     continue
                 edit = dict(zip(("start_line", "start_column", "end_line", "end_column", "replacement"), f.edit)) if f.edit else None
-                yield path, f.line, f.column, None, f.message or title, f.snippet, f.severity, edit, ordinal
+                yield path, f.line, f.column, None, f.message, f.snippet, f.severity, edit, ordinal
         for ordinal, rule_id, pattern, message, negative in custom:
             # the re module keeps compiled patterns
             for number, line, trimmed in source.numbered():

@@ -53,7 +53,10 @@ def described(hits: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("own_severity")) - 1
         joined = joined.withColumns({"severity": F.coalesce("own_severity", "severity"), "severity_rank": F.when(F.col("own_severity").isNull(), F.col("severity_rank")).otherwise(rank).cast("int")})
     found = set(joined.columns)
-    defaults = {"column": F.lit(1), "end_line": F.lit(None).cast("int"), "end_column": F.lit(None).cast("int"), "message": F.col("title"), "module": F.lit(None).cast("string"), "fix": F.lit(None).cast(FIX)}
+    # a finding's own message, else the rule's, else its title
+    said = F.coalesce(*[F.col(c) for c in ("message", "rule_message", "title") if c in found])
+    joined = joined.withColumn("message", said)
+    defaults = {"column": F.lit(1), "end_line": F.lit(None).cast("int"), "end_column": F.lit(None).cast("int"), "module": F.lit(None).cast("string"), "fix": F.lit(None).cast(FIX)}
     return joined.withColumns({k: v for k, v in defaults.items() if k not in found}).select(*ISSUE)
 
 
@@ -82,11 +85,15 @@ def file_issues(files: DataFrame, rules: list[Rule], limits: Limits = Limits(),
     return described(with_fix(hits), known)
 
 
-def all_issues(files: DataFrame, config: Config = Config()) -> DataFrame:
-    """Issues of all active rules in ``files(path, src)``, without the suppressed ones.
+def issues_of_rules(files: DataFrame, rules: list[Rule], limits: Limits = Limits(), custom: tuple[CustomRule, ...] = (), suppress: bool = True) -> DataFrame:
+    """Issues of these rules in ``files(path, src)``, without the suppressed ones.
 
     Files are read by two passes, of predicates and of the other rules; neither shuffles.
     """
-    rules = active_rules(config)
+    return predicate_issues(files, rules, suppress).unionByName(file_issues(files, rules, limits, custom, suppress))
+
+
+def all_issues(files: DataFrame, config: Config = Config()) -> DataFrame:
+    """Issues of all active rules, with the configuration's limits and custom rules."""
     limits = Limits(config.max_complexity, config.max_params, config.max_nesting)
-    return predicate_issues(files, rules, suppress=True).unionByName(file_issues(files, rules, limits, config.custom_rules, suppress=True))
+    return issues_of_rules(files, active_rules(config), limits, config.custom_rules)

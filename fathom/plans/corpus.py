@@ -91,6 +91,56 @@ class Works extends Thread {
   """.split("\n")
 
 
+def _numbered(line: str, n: int, before: str = "", after: str = "") -> str:
+    return before + "".join(line.replace("#", str(k)) + "\n" for k in range(1, n + 1)) + after
+
+
+#: Runs of lines that stay together, for the rules that look at more than one.
+BLOCKS = [
+    "int made = build();\nreturn made;",
+    'log("alpha beta");\nlog("alpha beta");\nlog("alpha beta");',
+    "items.stream().count();\nitems.stream().toList();",
+    "for (Item it : stock) {\nstock.remove(it);\n}",
+    "for (Item a : shelf)\nfor (Item b : shelf)",
+    "while (going) {\n\nbreak;\n}",
+    "case 1: first();\ncase 2: second(); break;",
+    "void finalize() {\nclean();\n}",
+    "public int grade(int n) {\nif (n > 1) return 1;\nreturn 2;\nreturn 3;\nreturn 4;\n}",
+    "class Mirror {\nprivate int Mirror = 1;\npublic Mirror Mirror() { go(); }\n}",
+    "switch (kind) {\nhere: go();\n}",
+    "class OddException extends Exception {\nprivate int code;\n}",
+    _numbered("step#();", 12, "switch (n) {\ncase 1:\n", "case 2:\nbreak;\n}"),
+    "if (a) {\nfor (;;) {\nwhile (b) {\ntry {\nif (c) {\nswitch (d) {\n}\n}\n}\n}\n}\n}",
+    "if (p1) {\n} else if (p2) {\n} else if (p1) {\n}",
+    "Gear gear = next();\nif (gear instanceof Gear) {\n}",
+    "static int tally = 0;\npublic void bump() {\ntally++;\n}",
+    "void twice() { go(); }\nvoid twice() { go(); }",
+    "public void set(int a, int b) {\nb = 2;\nc = 3;\n}",
+    "synchronized (lock) {\nlock.wait();\n}\nlock.notify();",
+    "while (w) {\nlock.wait();\n}",
+    "for (;;) {\nbreak;\ncontinue;\n}",
+    "@Test\nvoid works() {\nrun();\n}",
+    "@Test\nvoid holds() {\nassertTrue(x);\n}",
+    "@Override\npublic boolean equals(Widget w) { return true; }",
+    "if (q) { go } else { go }",
+    "if (outer) {\n  if (inner) {\n}\n}",
+    "try { }",
+    "public void noop() { }",
+    "public void wide(int a, int b, int c, int d, int e, int f, int g, int h) { go(); }",
+    "public int loop(int n) {\nreturn loop(n);\n}",
+    _numbered("if (n > #) { n++; }", 16, "public int deep(int n) {\n", "return n;\n}"),
+    _numbered("x#();", 101, "public int tall(int n) {\n", "}"),
+    "String s2 = null;\ns2.length();",
+    _numbered("class Sub# extends Base# { }", 6),
+    _numbered("import org.acme.p#.C#;", 31, "", "class Busy { }"),
+    _numbered("case # -> go();", 31),
+    _numbered("private int field#;", 21, "class Fat {\n", "}"),
+    _numbered("public int get#() { return #; }", 36, "class Tall {\n", "}"),
+]
+#: What few files hold: more lines than a file should have.
+MANY_LINES, RARE = 1001, 499
+
+
 def _literals(node: Node) -> list[Node]:
     """Positive leaves of a conjunction or of a disjunction's first part."""
     if node.kind == "and":
@@ -102,7 +152,7 @@ def _literals(node: Node) -> list[Node]:
 
 @lru_cache(maxsize=1)
 def lines() -> tuple[str, ...]:
-    """All lines of the corpus: those of the rules in the order of the catalogue, then the written ones."""
+    """All lines of the corpus: those of the rules in the order of the catalogue, then the written ones and the blocks."""
     out: list[str] = []
     for r in load():
         node = r.predicate()
@@ -111,9 +161,9 @@ def lines() -> tuple[str, ...]:
         parts = [sample(x.text) if x.kind == "like" else x.text for x in _literals(node) if x.subject != "src"]
         parts += [x.text for x in _literals(node) if x.subject == "src" and x.kind == "has"]
         line = " ".join(p for p in parts if p)
-        if line and line.isascii() and line.isprintable() | ("\t" in line) and "\n" not in line and len(line) < 400:
+        if line and line.isascii() and line.isprintable() | ("\t" in line) and "\n" not in line and len(line) < 4000:
             out.append(line)
-    return tuple(dict.fromkeys(out)) + tuple(LINES)
+    return tuple(dict.fromkeys(out)) + tuple(LINES) + tuple(BLOCKS)
 
 
 def corpus_sql(dialect: str, table: str = "part", key: str = "p_partkey") -> str:
@@ -128,7 +178,7 @@ def corpus_sql(dialect: str, table: str = "part", key: str = "p_partkey") -> str
         body = f"array_join(transform(transform(sequence(cast({key} % {STRIDE} AS INT), {len(all_lines) - 1}, {STRIDE}), n -> named_struct('n', n, 't', element_at(array({array}), n + 1))), l -> {marked.replace('+ n)', '+ l.n)').replace(', t)', ', l.t)').replace('(t,', '(l.t,').replace('ELSE t', 'ELSE l.t')}), chr(10))"
     else:
         body = f"array_to_string(list_transform(list_transform(range(cast({key} % {STRIDE} AS BIGINT), {len(all_lines)}, {STRIDE}), lambda n: {{'n': n, 't': ([{array}])[n + 1]}}), lambda l: {marked.replace('+ n)', '+ l.n)').replace(', t)', ', l.t)').replace('(t,', '(l.t,').replace('ELSE t', 'ELSE l.t')}), chr(10))"
-    src = f"CASE WHEN {key} % 97 = 0 THEN '' ELSE concat({body}, {ending}) END"
+    src = f"CASE WHEN {key} % 97 = 0 THEN '' WHEN {key} % {RARE} = 3 THEN concat({body}, repeat(concat(chr(10), 'more();'), {MANY_LINES}), {ending}) ELSE concat({body}, {ending}) END"
     return f"SELECT {path} AS path, {src} AS src FROM {table}"
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from fathom.functions.predicates import DuckDialect
 from fathom.plans.corpus import corpus_sql
+from fathom.plans.twins import file_rules
 from fathom.sources.catalog import Rule, load
 
 DUCK = DuckDialect()
@@ -37,6 +39,7 @@ def catalog_cte(rules: list[Rule] | None = None) -> str:
     return f"catalog(rule_ord, rule_key, rule_id, title, severity, severity_rank, category, owasp, cwe, debt_minutes) AS (VALUES {rows})"
 
 
+#: Fixed value: the mark that holds issues back.
 MARK = r"//\s*NOSONAR\s*(?:([A-Za-z0-9,\s]+?))?(?:\s*[-:]\s*(.+))?$"
 #: Patterns with more repetitions than the twin engine compiles.
 NOT_COMPILED = ("Complexity:S1111B", "CodeSmell:S1382", "CodeSmell:S1526")
@@ -52,14 +55,17 @@ def marks_cte() -> str:
 
 
 def issues_cte(on_lines: list[Rule], on_files: list[Rule], table: str, key: str, suppress: bool = True) -> str:
-    """``issues`` of predicate rules, without the suppressed ones."""
+    """``issues`` of predicate rules and of the second pass's rules in SQL, without the suppressed ones."""
     first = "SELECT path, src, '' AS text, '' AS trimmed FROM files"
-    hits = f"{hits_sql(on_lines)}" + (f" UNION ALL {hits_sql(on_files, f'({first})', '1')}" if on_files else "")
+    hits = f"SELECT path, line, 1 AS col, rule_ord FROM ({hits_sql(on_lines)}" + (f" UNION ALL {hits_sql(on_files, f'({first})', '1')}" if on_files else "") + ")"
+    others = [r for r in load() if r.key in sql_rules()]
+    hits += "".join(f" UNION ALL SELECT path, line, col, {r.ordinal} FROM ({sql_rules()[r.key]})" for r in others)
     kept = "WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE m.path = h.path AND m.line = h.line AND (len(m.ids) = 0 OR list_contains(m.ids, c.rule_id)))" if suppress else ""
-    return f"""{corpus_cte(table, key)}, {marks_cte()}, hits AS ({hits}), {catalog_cte(on_lines + on_files)},
-issues AS (SELECT h.path AS file, h.line, c.* FROM hits h JOIN catalog c USING (rule_ord) {kept})"""
+    return f"""{corpus_cte(table, key)}, {marks_cte()}, hits AS ({hits}), {catalog_cte(on_lines + on_files + others)},
+issues AS (SELECT h.path AS file, h.line, h.col AS "column", c.* FROM hits h JOIN catalog c USING (rule_ord) {kept})"""
 
 
+@lru_cache(maxsize=1)
 def sql_rules() -> dict[str, str]:
     """Rules of the second pass in SQL, by key: ``(path, line, col)`` each, written anew from what they are to find."""
 
@@ -78,21 +84,22 @@ def sql_rules() -> dict[str, str]:
         place = "strpos(text, m[1])" if column else "1"
         return f"SELECT path, line, col FROM (SELECT path, line, {place} AS col, unnest(m) AS m, unnest(a) AS a, unnest(b) AS b FROM ({groups})) WHERE {condition}"
 
-    def one_group(pattern: str, condition: str, column: bool = False, opens: int = 0) -> str:
+    def one_group(pattern: str, condition: str, column: bool = False) -> str:
         p = DUCK.text(pattern)
-        at = [m.start() for m in re.finditer(r"[(]", pattern)][opens]
+        at = next(m.start() for m in re.finditer(r"(?<!\\)\(", pattern))
         before, behind = pattern[:at], pattern[at + 1 :]
         # the group's place: behind what comes before it, up to the group's own text
         place = f"length(regexp_extract(text, {DUCK.text('^(.*?' + before + ')(' + behind)}, 1)) + 1" if column else "1"
         return f"SELECT path, line, {place} AS col FROM (SELECT path, line, text, regexp_extract(text, {p}, 1) AS a FROM lines WHERE regexp_matches(text, {p})) WHERE {condition}"
 
+    # Patterns and names, here and in what follows, as the definitions have them.
     pure = "replace|replaceAll|replaceFirst|trim|strip|toUpperCase|toLowerCase|substring|concat|split|format|valueOf|toString|abs|min|max|ceil|floor|round|sqrt|pow|intern"
     var, ret = DUCK.text(r"(\w+)\s+(\w+)\s*=\s*[^;]+;"), DUCK.text(r"return\s+(\w+)\s*;")
     return {
         "Complexity:S1067": on_lines(f"{count('&&')} + {count('||')} > 3"),
         "Security:S6293": on_lines(f"contains(text, 'Pattern.compile') AND {count('+')} + {count('*')} + {count('?')} > 5"),
         "Security:S3649": on_lines(r"""regexp_matches(text, '(executeQuery|executeUpdate|execute|prepareStatement)\s*\([^)]*\+') OR regexp_matches(upper(text), '".*?(SELECT|INSERT|UPDATE|DELETE|WHERE).*?"\s*\+')"""),
-        "CodeSmell:S125": on_lines(r"regexp_matches(text, '//\s*(if|for|while|return|public|private|protected|class)\s*[({]') OR regexp_matches(text, '//\s*\w+\s*[.]\s*\w+\s*[(]') OR regexp_matches(text, '//\s*\w+\s*=\s*\w+') OR regexp_matches(text, '/[*]\s*(if|for|while|return|public|private)')"),
+        "CodeSmell:S125": on_lines(r"regexp_matches(text, '//\s*(?:if|for|while|return|public|private|protected|class)\s*[\(\{]') OR regexp_matches(text, '//\s*\w+\s*\.\s*\w+\s*\(') OR regexp_matches(text, '//\s*\w+\s*=\s*\w+') OR regexp_matches(text, '/\*\s*(?:if|for|while|return|public|private)')"),
         "Bug:S2201": on_lines(rf"regexp_matches(text, '^\s*\w+\.\s*({pure})\s*\([^)]*\)\s*;')"),
         "CodeSmell:S1451": on_files("len(list_filter(p[1:10], lambda x: contains(x, 'Copyright') OR contains(x, 'copyright'))) = 0"),
         "CodeSmell:S1220": on_files(r"len(list_filter(p, lambda x: regexp_matches(x, '^\s*package '))) = 0"),
@@ -107,7 +114,7 @@ def sql_rules() -> dict[str, str]:
         "CodeSmell:S3077": one_group(r"volatile\s+(\w+)\s+\w+", "a NOT IN ('int', 'long', 'double', 'float', 'boolean', 'byte', 'short', 'char')"),
         "Bug:S2121": one_group(r"public\s+boolean\s+equals\s*\(\s*(\w+)\s+\w+\s*\)", "a <> 'Object'"),
         "CodeSmell:S112": one_group(r"throw\s+new\s+(Exception|RuntimeException|Throwable|Error)\s*\(", "true", column=True),
-        "CodeSmell:S1181": one_group(r"catch\s*[(]\s*(Throwable|Error|java\.lang\.Throwable|java\.lang\.Error)\s+", "true", column=True, opens=1),
+        "CodeSmell:S1181": one_group(r"catch\s*\(\s*(Throwable|Error|java\.lang\.Throwable|java\.lang\.Error)\s+", "true", column=True),
         "CodeSmell:S2178": on_lines(r"regexp_matches(text, '\s+([&|])\s+') AND NOT contains(text, '&&') AND NOT contains(text, '||')"),
         "CodeSmell:S1488": f"SELECT path, line, 1 AS col FROM (SELECT *, lead(text) OVER (PARTITION BY path ORDER BY line) AS next FROM lines) WHERE regexp_matches(text, {var}) AND regexp_matches(next, {ret}) AND regexp_extract(text, {var}, 2) = regexp_extract(next, {ret}, 1)",
         "Security:S2089": r"SELECT path, line, 1 AS col FROM (SELECT *, max(contains(text, 'setHttpOnly(true)')::INT) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 5 PRECEDING AND 9 FOLLOWING) AS safe FROM lines) WHERE regexp_matches(text, 'new\s+Cookie\s*\(') AND safe = 0",
@@ -115,4 +122,4 @@ def sql_rules() -> dict[str, str]:
         "CodeSmell:S1192": """SELECT path, min(line) AS line, 1 AS col FROM (SELECT path, line, unnest(regexp_extract_all(text, '"([^"]{4,})"', 1)) AS t FROM lines) GROUP BY path, t HAVING count(*) >= 3""",
         "CodeSmell:S3959": r"SELECT path, line, 1 AS col FROM (SELECT path, line, row_number() OVER (PARTITION BY path, v ORDER BY line, k) AS n FROM (SELECT path, line, unnest(regexp_extract_all(text, '(\w+)\.stream\(\)', 1)) AS v, generate_subscripts(regexp_extract_all(text, '(\w+)\.stream\(\)', 1), 1) AS k FROM lines)) WHERE n > 1",
         "Complexity:S1820": r"SELECT path, greatest(1, len(regexp_split_to_array(regexp_extract(src, '(?s)^(.*?)class\s+\w+', 1), '\n')) + CASE WHEN regexp_matches(src, '(?s)^class') OR regexp_matches(regexp_extract(src, '(?s)^(.*?)class\s+\w+', 1), '\n$') THEN 0 ELSE 1 END) AS line, 1 AS col FROM cut WHERE regexp_matches(src, 'class\s+\w+') AND len(regexp_extract_all(src, '(?:private|protected|public)\s+(?:static\s+)?(?:final\s+)?(?:\w+)\s+\w+\s*[=;]')) > 20",
-    }
+    } | file_rules()

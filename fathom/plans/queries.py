@@ -12,7 +12,7 @@ from fathom.operators.file_pass import custom_hits, source_hits
 from fathom.operators.line_engine import file_hits, file_lines, file_predicates, line_hits, line_rules
 from fathom.operators.suppression import suppressions, unsuppressed
 from fathom.plans import oracles
-from fathom.plans.analysis import Config, active_rules, all_issues, described, predicate_issues
+from fathom.plans.analysis import Config, active_rules, all_issues, described, issues_of_rules
 from fathom.plans.corpus import corpus
 from fathom.plans.oracles import DUCK
 from fathom.sinks import reports
@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Key tables of the corpora: one for the rules, a smaller one for what is counted over issues.
+#: Key tables of the corpora: one for the rules and what is counted over issues, a smaller one for custom rules and joins.
 PART, SUPPLIER = ("part", "p_partkey"), ("supplier", "s_suppkey")
 
 
@@ -46,14 +46,22 @@ def all_line_rules() -> list[Rule]:
     return compiled_rules(line_rules())
 
 
+#: Rules that both engines know: predicates, and those of the second pass that are written out in SQL.
+_SQL_RULES = oracles.sql_rules()
+
+
+def shared_rules() -> list[Rule]:
+    return compiled_rules([r for r in active_rules() if r.key in _SQL_RULES or r.predicate() is not None])
+
+
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues of all predicate rules over the smaller corpus, without the suppressed ones."""
-    files = corpus(spark, sf_dir, *SUPPLIER)
-    return unsuppressed(predicate_issues(files, compiled_rules(active_rules())), files)
+    """Issues of those rules over the corpus, without the suppressed ones; every message is the rule's title, as in SQL."""
+    found = issues_of_rules(corpus(spark, sf_dir, *PART), shared_rules())
+    return found.withColumn("message", F.col("title"))
 
 
 def over_issues(select: str, with_: str = "") -> str:
-    return f"WITH {oracles.issues_cte(all_line_rules(), file_predicates(), *SUPPLIER)}{', ' + with_ if with_ else ''} {select}"
+    return f"WITH {oracles.issues_cte(all_line_rules(), file_predicates(), *PART)}{', ' + with_ if with_ else ''} {select}"
 
 
 # Rules
@@ -86,9 +94,6 @@ def rules_on_sources(spark, sf_dir):
     return found.select("path", "line", "column", "message", "code_snippet", "severity", "rule_ord")
 
 
-_SQL_RULES = oracles.sql_rules()
-
-
 @query("rules_on_sources_in_sql", f"WITH {oracles.corpus_cte(*PART)} " + " UNION ALL ".join(f"SELECT path, line::INT AS line, col::INT AS \"column\", '{k}' AS rule_key FROM ({sql})" for k, sql in _SQL_RULES.items()))
 def rules_on_sources_in_sql(spark, sf_dir):
     """Those of the second pass that have been written out in SQL."""
@@ -178,9 +183,16 @@ def suppression_marks(spark, sf_dir):
     return suppressions(corpus(spark, sf_dir, *PART)).select("file", "line", F.array_join("rule_ids", " ").alias("ids"), "reason")
 
 
-@query("issues", over_issues("SELECT file, line::INT AS line, rule_key, severity FROM issues"))
+@query("issues", over_issues("SELECT file, line::INT AS line, \"column\"::INT AS \"column\", rule_key, severity FROM issues"))
 def issue_rows(spark, sf_dir):
-    return issues(spark, sf_dir).select("file", "line", "rule_key", "severity")
+    return issues(spark, sf_dir).select("file", "line", "column", "rule_key", "severity")
+
+
+@query("unsuppressed", f"WITH {oracles.issues_cte(all_line_rules(), file_predicates(), *SUPPLIER)} SELECT file, line::INT AS line, rule_key FROM issues")
+def unsuppressed_by_join(spark, sf_dir):
+    """The join that takes marks out of issues from elsewhere."""
+    files = corpus(spark, sf_dir, *SUPPLIER)
+    return unsuppressed(issues_of_rules(files, shared_rules(), suppress=False), files).select("file", "line", "rule_key")
 
 
 # Aggregates
@@ -296,7 +308,7 @@ def baseline_comparison(spark, sf_dir):
 # Modules
 
 _MODULES = [("work", "/work"), ("one", "/work/src/m1"), ("two", "/work/src/m2/"), ("src", "/work/src"), ("m", "/work/src/m")]
-_MODULES_SQL = f"modules(name, path) AS (VALUES {', '.join(f"('{n}', '{p.rstrip('/')}')" for n, p in _MODULES)}), placed AS (SELECT i.file, i.line, i.rule_key, max_by(m.name, length(m.path)) AS module FROM issues i LEFT JOIN modules m ON starts_with(i.file, m.path || '/') GROUP BY ALL)"
+_MODULES_SQL = f"modules(name, path) AS (VALUES {', '.join(f"('{n}', '{p.rstrip('/')}')" for n, p in _MODULES)}), placed AS (SELECT i.file, i.line, i.rule_key, (SELECT max_by(m.name, length(m.path)) FROM modules m WHERE starts_with(i.file, m.path || '/')) AS module FROM issues i)"
 
 
 def _modules(spark: SparkSession) -> DataFrame:
@@ -423,7 +435,7 @@ def watch_bursts(spark, sf_dir):
 # Reports
 
 
-@query("report_csv", over_issues("SELECT '\"' || file || '\",' || line || ',1,' || severity || ',' || rule_id || ',\"' || replace(title, '\"', '\"\"') || '\",\"' || replace(title, '\"', '\"\"') || '\"' AS value FROM issues"))
+@query("report_csv", over_issues("SELECT '\"' || file || '\",' || line || ',' || \"column\" || ',' || severity || ',' || rule_id || ',\"' || replace(title, '\"', '\"\"') || '\",\"' || replace(title, '\"', '\"\"') || '\"' AS value FROM issues"))
 def report_csv(spark, sf_dir):
     return reports.csv_lines(issues(spark, sf_dir))
 
