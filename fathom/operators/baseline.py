@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +47,50 @@ def baseline_of(issues: DataFrame) -> DataFrame:
     return issues.select(*KEY, F.lit(None).cast("string").alias("context_hash"))
 
 
-def save(issues: DataFrame, path: str) -> None:
-    """As a directory of JSON lines, written in parallel; each line is a fingerprint."""
+#: Version of a baseline's format, and the file beside its rows that tells about it.
+FORMAT, ABOUT = "1.0", "_baseline.json"
+
+
+def save(issues: DataFrame, path: str, description: str | None = None) -> None:
+    """As a directory of JSON lines, written in parallel; each line is a fingerprint.
+
+    Version, time and description stand in a file beside them that readers of tables pass over.
+    """
     baseline_of(issues).write.json(path)
+    spark = issues.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{ABOUT}")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(json.dumps(_about(description)), "utf-8"))
+    out.close()
+
+
+def _about(description: str | None) -> dict:
+    return {"version": FORMAT, "created_at": datetime.now(timezone.utc).isoformat(), "description": description}
+
+
+def about(spark, path: str) -> dict | None:
+    """Version, time and description of a saved baseline, in either form."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{ABOUT}")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(target):
+        stream = system.open(target)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+    df = spark.read.json(path, multiLine=True)
+    told = [c for c in ("version", "created_at", "description") if c in df.columns]
+    return df.select(*told).first().asDict() if told else None
+
+
+def document(issues: DataFrame, description: str | None = None) -> Iterator[str]:
+    """A baseline as one JSON document, in pieces; rows come to the driver a partition at a time."""
+    head = json.dumps(_about(description), indent=2)
+    yield head.rstrip("}\n") + ',\n  "fingerprints": ['
+    rows = baseline_of(issues).select(F.to_json(F.struct(*KEY, "context_hash"), {"ignoreNullFields": "false"}).alias("value"))
+    for n, r in enumerate(rows.toLocalIterator()):
+        yield ("," if n else "") + "\n    " + r.value
+    yield "\n  ]\n}\n"
 
 
 def load(spark, path: str) -> DataFrame:

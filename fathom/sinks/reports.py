@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,21 +68,34 @@ def write(issues: DataFrame, form: str, path: str) -> None:
     rows(issues.orderBy(*ORDER)).write.text(path)
 
 
+def document(issues: DataFrame, form: str) -> Iterator[str]:
+    """A CSV, GitLab or SARIF document in pieces; ordered rows come to the driver a partition at a time."""
+    form = format_of(form)
+    ordered = issues.orderBy(*ORDER)
+    if form == "csv":
+        yield CSV_HEADER + "\n"
+        for r in csv_lines(ordered).toLocalIterator():
+            yield r.value + "\n"
+        return
+    driver = json.dumps({"name": NAME, "version": VERSION, "informationUri": ""})
+    start, end = {
+        "gitlab": ("[", "\n]\n"),
+        "sarif": (f'{{"$schema": "{SARIF_SCHEMA}", "version": "2.1.0", "runs": [{{"tool": {{"driver": {driver}}}, "results": [', "\n]}]}\n"),
+    }[form]
+    yield start
+    for n, r in enumerate({"gitlab": gitlab_rows, "sarif": sarif_results}[form](ordered).toLocalIterator()):
+        yield ("," if n else "") + "\n" + r.value
+    yield end
+
+
 def report(issues: DataFrame, form: str, files_analysed: int, duration_ms: int = 0, snippets: bool = True) -> str:
     """One document for a reader, with all issues; for results that a person or a tool reads whole."""
     form = format_of(form)
     if form is None:
         raise ValueError("unknown format")
-    ordered = issues.orderBy(*ORDER)
-    if form == "csv":
-        return "\n".join([CSV_HEADER, *(r.value for r in csv_lines(ordered).toLocalIterator())]) + "\n"
-    if form == "gitlab":
-        return json.dumps([json.loads(r.value) for r in gitlab_rows(ordered).toLocalIterator()], indent=2)
-    if form == "sarif":
-        driver = {"name": NAME, "version": VERSION, "informationUri": ""}
-        results = [json.loads(r.value) for r in sarif_results(ordered).toLocalIterator()]
-        return json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]}, indent=2)
-    rows = [json.loads(r.value) for r in json_rows(ordered).toLocalIterator()]
+    if form in ("csv", "gitlab", "sarif"):
+        return "".join(document(issues, form))
+    rows = [json.loads(r.value) for r in json_rows(issues.orderBy(*ORDER)).toLocalIterator()]
     counts = {s: sum(r["severity"] == s for r in rows) for s in reversed(SEVERITIES)}
     by_file: dict[str, list] = {}
     for r in rows:
@@ -95,6 +109,13 @@ def report(issues: DataFrame, form: str, files_analysed: int, duration_ms: int =
     return {"text": _text, "markdown": _markdown, "html": _html}[form](by_file, counts, len(rows), files_analysed, duration_ms, snippets)
 
 
+def summary(issues: DataFrame, files_analysed: int, duration_ms: int = 0) -> str:
+    """Counts by severity alone, which are made on the cluster."""
+    n = {r["severity"]: r["n"] for r in issues.groupBy("severity").agg(F.count("*").alias("n")).collect()}
+    rows = [f"Files: {files_analysed}", f"Issues: {sum(n.values())}", f"Duration: {duration_ms} ms", *[f"{s}: {n.get(s, 0)}" for s in reversed(SEVERITIES)]]
+    return "\n".join(rows) + "\n"
+
+
 def _text(by_file, counts, total, files, ms, snippets):
     out = ["Analysis report", "=" * 15, f"Files: {files}", f"Issues: {total}", f"Duration: {ms} ms", "", *[f"{s}: {n}" for s, n in counts.items()], ""]
     for file, rows in sorted(by_file.items()):

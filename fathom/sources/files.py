@@ -35,9 +35,12 @@ def scan_one(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("src"))
 
 
-def listing(spark: SparkSession, path: str, glob: str = "*.java") -> DataFrame:
+def listing(spark: SparkSession, path: str, exclude: tuple[str, ...] = (), glob: str = "*.java") -> DataFrame:
     """``(path, modified, size)``, without contents: times are whole seconds."""
-    return _binary(spark, path, glob).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.unix_seconds("modificationTime").alias("modified"), F.col("length").alias("size"))
+    found = _binary(spark, path, glob).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.unix_seconds("modificationTime").alias("modified"), F.col("length").alias("size"))
+    for text in exclude:
+        found = found.where(~F.col("path").contains(text))
+    return found
 
 
 def files_analysed(files: DataFrame) -> int:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.functions.folders import shared_folder
+
 QUIET = "300 milliseconds"
 
 
@@ -45,3 +49,40 @@ def start(changes: DataFrame, read: Callable[[DataFrame], DataFrame], analyse: C
 
     trigger = options or {"processingTime": every}
     return debounced(watched(changes)).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def ready(listing: DataFrame, known: DataFrame, now: float, quiet: float) -> DataFrame:
+    """``(path, modified, size)`` of the files that have changed since they were ``known`` and are quiet by ``now``.
+
+    ``listing`` and ``known`` are ``(path, modified, size)`` with times in seconds; files that are gone have nothing to
+    be analysed.
+    """
+    before = known.select("path", F.col("modified").alias("was"), F.col("size").alias("had"))
+    same = F.col("modified").eqNullSafe(F.col("was")) & F.col("size").eqNullSafe(F.col("had"))
+    return listing.join(before, "path", "left").where(~same & (F.col("modified") + quiet <= now)).select("path", "modified", "size")
+
+
+def follow(spark, folder: str, analyse: Callable[[DataFrame], DataFrame], scan: Callable[[], DataFrame], listing: Callable[[], DataFrame], quiet: float = 0.3, every: float = 1.0, initial: bool = True, rounds: int | None = None) -> Iterator[tuple[str, DataFrame]]:
+    """Look at a folder again and again: ``("initial", issues)`` of all files, then ``("changed", issues)`` of those that changed.
+
+    The files' times and sizes are kept as a table in the folder ``spark.checkpoint.dir`` between rounds, and are what they
+    were when the round began, so a change during an analysis is seen by the next round.  ``rounds`` ends it; None doesn't.
+    """
+    state = f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}"
+
+    def keep(table: DataFrame, number: int) -> DataFrame:
+        table.write.parquet(f"{state}/{number}")
+        return spark.read.parquet(f"{state}/{number}")
+
+    known = keep(listing(), 0)
+    if initial:
+        yield "initial", analyse(scan())
+    number = 0
+    while rounds is None or number < rounds:
+        number += 1
+        time.sleep(every)
+        seen = keep(ready(listing(), known, time.time(), quiet), 2 * number)
+        if seen.isEmpty():
+            continue
+        yield "changed", analyse(scan().join(seen.select("path"), "path", "left_semi"))
+        known = keep(known.join(seen.select("path"), "path", "left_anti").unionByName(seen), 2 * number + 1)
