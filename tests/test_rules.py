@@ -1,6 +1,8 @@
 import random
 import re
+from collections import Counter
 
+import duckdb
 import pytest
 
 from fathom.functions import naming, text
@@ -9,8 +11,9 @@ from fathom.functions.samples import sample
 from fathom.operators import java_syntax
 from fathom.operators.line_engine import file_lines, line_hits, line_rules
 from fathom.operators.source_rules import RULES, Limits, SourceFile, cognitive_score
-from fathom.plans.analysis import Config, active_rules, all_issues
-from fathom.sources.catalog import load
+from fathom.plans import oracles
+from fathom.plans.analysis import Config, active_rules, all_issues, described
+from fathom.sources.catalog import catalog, load
 from fathom.sources.custom_rules import custom_rule, parse_custom_rules
 
 
@@ -145,12 +148,76 @@ def test_unicode_lines(spark):
         ("Bug:S2190", "public int f(int n) {\n return f(n);\n}", [(1, 1)]),
         ("Complexity:S1067", "a && b && c && d && e", [(1, 1)]),
         ("Complexity:S104", "x\n" * 1001, [(1, 1)]),
+        ("Bug:S1201", "boolean equals(Widget w)\nboolean equals(Object o)\nboolean equalsTo(Widget w)", [(1, 1)]),
+        ("Bug:S1221", "int hashcode()\nint hashCode() // as it is spelled\n@Override int hashcode()\nboolean equal(x)\nboolean equals(x)", [(1, 1), (2, 1), (4, 1)]),
+        ("Bug:S2095", "x = new Scanner(f);\ny = new Scanner(f) + new Socket(s);\nz = new FileReader(f);", [(1, 1), (2, 1), (2, 1)]),
+        ("Bug:S2095", "try (Scanner r = new Scanner(f)) {\n}\nnew Widget();", []),
+        ("Bug:S2272", "class A implements Iterator {\npublic T next() {\nreturn x;\n}\n}", [(2, 1)]),
+        ("Bug:S2272", "class A implements Iterator {\npublic T next() {\nthrow new NoSuchElementException();\n}\n}", []),
+        ("Bug:S2272", "class A {\npublic T next() {\n}\n}", []),
+        ("Bug:S2276", "while (x) {\nlock.wait();\n}", [(2, 1)]),
+        ("Bug:S2276", "while (x) {\nif (y) {\nlock.wait();\n}\n}\nlock.wait();", []),
+        ("Bug:S2689", "@Override\npublic boolean equals(Widget w)", [(1, 1)]),
+        ("Bug:S2689", "@Override\npublic boolean equals(Object o)\npublic boolean equals(Widget w)", []),
+        ("CodeSmell:S108", "\ntry { }", [(2, 1)]),
+        ("CodeSmell:S108", "if (a) { b(); } void f() { }", []),
+        ("CodeSmell:S1151", "case 1:\n" + "x();\n" * 10 + "case 2:\nx();\ndefault:", [(1, 1)]),
+        ("CodeSmell:S1151", "case 1:\n" + "x();\n" * 9 + "case 2:", []),
+        ("Complexity:S1151", "case 1:\n" + "x();\n" * 5 + "  case 2:\nx(\"case 3:\");", [(1, 1)]),
+        ("Complexity:S1151", "case 1:\n" + "x();\n" * 4 + "case 2:", []),
+        ("CodeSmell:S1164", "catch (E e) { throw e;\ncatch (E e) { throw f;", [(1, 1)]),
+        ("CodeSmell:S1165", "class OddException {\nprivate int a;\nprivate final int b;\n}\nprivate int c;", [(2, 1)]),
+        ("CodeSmell:S1170", "public static final int A = 1;\n// public static final int B = 1;\nprivate static final int C = 1;\npublic static final class D {", [(1, 1)]),
+        ("CodeSmell:S1219", "switch (x) {\nlabel: f();\ncase: g();\ndefault: h();\n}\nother: f();", [(2, 1)]),
+        ("CodeSmell:S1223", "class A {\npublic int A() {\npublic void A() {\npublic int B() {", [(2, 1)]),
+        ("CodeSmell:S1226", "public void f(int a, int b) {\na = 1;\nb = 1;\na == 2;\n}", [(2, 1)]),
+        ("CodeSmell:S1694", "abstract class A {\nint x;\n}", [(1, 1)]),
+        ("CodeSmell:S1694", "abstract class A {\nabstract int f();\n}", []),
+        ("CodeSmell:S1700", "class A {\nprivate int A;\nprivate int B;\n}\nclass B {\nprivate static int B = 1;", [(2, 1), (6, 1)]),
+        ("CodeSmell:S2176", "class Shape extends Base implements ShapeApi {\nclass Dot extends Base implements ShapeApi {", [(1, 1)]),
+        ("CodeSmell:S3923", "if (a) { go } else { go }\nif (a) { go } else { stop }", [(1, 1)]),
+        ("CodeSmell:S5958", "@Test\nclass Checks {\nclass CheckTest {\nclass MoreTests {", [(2, 1)]),
+        ("CodeSmell:S5958", "class Checks {", []),
+        ("CodeSmell:S5967", "void a()\nvoid b()\nvoid a()", [(3, 1)]),
+        ("CodeSmell:S6301", "@Test\nvoid a() {\nf();\n}\n@Test\nvoid b() {\nassertTrue(x);\n}", [(1, 1)]),
+        ("Complexity:S1200", "package p;\nclass A { }\n" + "".join(f"import p.C{n};\n" for n in range(21)), [(2, 1)]),
+        ("Complexity:S1200", "class A { }\n" + "".join(f"import p.C{n % 20};\n" for n in range(40)), []),
+        ("Complexity:S1448", "class A {\n" + "public int f() { return 1; }\n" * 36, [(1, 1)]),
+        ("Complexity:S1448", "class A {\n" + "public int f() { return 1; }\n" * 35, []),
+        ("Security:S5344", "BCrypt cost=4\nBCrypt cost: 12\ncost=4\nBCrypt rounds=4", [(1, 1)]),
+        ("Naming:S114", "interface bad_one { }\ninterface Good { }\nclass bad_two { }", [(1, 11)]),
+        ("Naming:S117", "class A { void f() { int Bad_x = 1; int good = 2; } int Field_y; }", [(1, 26)]),
+        ("Naming:S119", "class A<T, bad> { <K> void f() { } }", [(1, 12)]),
+        ("CodeSmell:S135", "for (;;) {\n break;\n}\nwhile (x) {\n}", []),
+        ("Complexity:S138", "public int f(int n) {\n" + "x();\n" * 98 + "}\n", []),
+        ("Complexity:S138", "public int f(int n) {\n" + "x();\n" * 101 + "}\n", [(1, 1)]),
     ],
 )
 def test_source_rules(key, src, want):
     assert found(key, src) == want
 
 
+def test_rules_in_sql_by_the_other_pass():
+    """Every rule on files that is written out in SQL finds the same in the corpus, and each of them finds something."""
+    con = duckdb.connect()
+    con.execute("CREATE VIEW part AS SELECT * FROM read_parquet('/root/testdata/sf0.01/part.parquet')")
+    con.execute(f"CREATE TABLE files AS WITH {oracles.corpus_cte('part', 'p_partkey')} SELECT path, src FROM files")
+    sources = [SourceFile(p, s) for p, s in con.execute("SELECT path, src FROM files").fetchall()]
+    assert len(oracles.sql_rules()) == 82
+    for key, sql in oracles.sql_rules().items():
+        got = Counter(map(tuple, con.execute(f"WITH {oracles.lines_cte()} SELECT path, line::INT, col::INT FROM ({sql})").fetchall()))
+        want = Counter((s.path, f.line, f.column) for s in sources for f in RULES[key](s))
+        assert got == want and want, key
+
+
+def test_messages_of_the_catalogue(spark, tmp_path):
+    text = "## Bugs\n\n| Id | Severity | Title | Class | Detection | Message |\n|---|---|---|---|---|---|\n| S1 | Major | A title | MAC | `foo` | Say this. |\n| S2 | Minor | Another | MAC | `foo` | |\n"
+    (tmp_path / "c.md").write_text(text)
+    rules = load(str(tmp_path / "c.md"))
+    found = described(line_hits(files(spark, a="foo"), list(rules)), catalog(spark, path=str(tmp_path / "c.md")))
+    assert {(r.rule_id, r.message) for r in found.collect()} == {("S1", "Say this."), ("S2", "Another")}
+
+
 def test_cognitive_score_reads_the_starts_of_lines():
     assert cognitive_score("if (a) {\nif (b) {\n}\n}\n} else {") == 3
     assert cognitive_score("double x = 1;") == 1  # as it starts like a loop
