@@ -29,8 +29,13 @@ LONG_LINE = 40
 SENTENCE_END = re.compile(r"[.!?…:;,。！？][\"'”’)\]]*")
 ODD_WORD = re.compile(r"[#*$%&|<>]{2,}|[!?]{2,}|^[|<>»›·•/\\-]+$")
 DIVIDER = re.compile(r"\s[|»›·•]\s")
-#: Phrases of page furniture; a short line that holds one is furniture.
-BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "use cookies", "enable javascript", "javascript is disabled", "skip to content", "sign in", "sign up", "log in", "click here", "read more", "subscribe to", "share this", "back to top", "lorem ipsum", "page not found", "copyright ©", "(c) copyright")
+#: Phrases of page furniture, in English, German, French and Spanish; a short line that holds one is furniture.
+BOILERPLATE = (
+    *("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "use cookies", "enable javascript", "javascript is disabled", "skip to content", "sign in", "sign up", "log in", "click here", "read more", "subscribe to", "share this", "back to top", "lorem ipsum", "page not found", "copyright ©", "(c) copyright"),
+    *("alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookies akzeptieren", "verwendet cookies", "zum inhalt springen", "hier klicken", "weiterlesen", "nach oben", "seite nicht gefunden"),
+    *("tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "accepter les cookies", "utilise des cookies", "aller au contenu", "cliquez ici", "lire la suite", "haut de page", "page introuvable"),
+    *("todos los derechos reservados", "términos de uso", "política de privacidad", "aceptar cookies", "utiliza cookies", "saltar al contenido", "haz clic aquí", "leer más", "volver arriba", "página no encontrada"),
+)
 BOILERPLATE_WORDS = 25
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from fathom.llm.line_rules import BOILERPLATE, BOILERPLATE_WORDS, LONG_LINE, MAX_ODD_WORDS, MAX_REPEAT_PERCENT, MIN_KEPT, MIN_WORDS, WINDOW
 from fathom.llm.vectors import COSINE
 
-_FURNITURE = " OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)
 _END = r"""[.!?…:;,。！？]["'”’)\]]*"""
 
 
@@ -13,6 +12,7 @@ def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+_FURNITURE = " OR ".join(f"contains(lower(line), {_sql(p)})" for p in BOILERPLATE)
 LINE_RULES = rf"""
 WITH texts AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
 worded AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM texts),

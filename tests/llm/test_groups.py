@@ -1,5 +1,6 @@
 """Operators on pairs and the fitted models."""
 
+import io
 import re
 from collections import Counter
 from zlib import crc32
@@ -368,6 +369,41 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify_languages(docs, empty, PIECES).collect()} == {"und"}
 
 
+def test_predictions_by_plain_sums(spark):
+    """Documents' languages and posteriors from every word's segmentations, counted out one by one."""
+    pieces = language.pieces_of(PIECES)
+    rng = np.random.default_rng(6)
+    langs = ["aa", "bb", "cc"]
+    probability = rng.random((pieces.size, 3)).astype(np.float32) / 1000
+    np.savez(out := io.BytesIO(), probability=probability, languages=np.array(langs))
+    number = {k: pieces.automaton.get(k) // 256 for k in pieces.automaton.keys()}
+
+    def brute(word, start):
+        """Log probability of the rest of a word by recursion over its first piece."""
+        if start == len(word):
+            return np.zeros(3)
+        if (word, start) not in known:
+            total = brute(word, start + 1) + language.UNKNOWN
+            for end in range(start + 1, len(word) + 1):
+                if word[start:end] in number:
+                    total = np.logaddexp(total, np.log(probability[number[word[start:end]]].astype(float)) + brute(word, end))
+            known[word, start] = total
+        return known[word, start]
+
+    known = {}
+    texts = ["The cat", "ein Haus, das 3 steht!", "x" * 60 + " y", "l'été dernier", "12 ½ ...", "word " * 50, None, "mot-à-mot naïve"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in language.identify_languages(docs, out.getvalue(), PIECES).collect()}
+    for n, text in enumerate(texts):
+        words = re.findall(r"[a-zà-ÿ]+", (text or "").lower())
+        total = sum((brute("▁" + w, 0) for w in words), np.zeros(3))
+        if not words:
+            assert (got[n].lang_pred, got[n].score) == ("und", 0.0)
+            continue
+        assert got[n].lang_pred == langs[int(total.argmax())]
+        assert got[n].score == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-6)
+
+
 def test_pieces_come_from_the_vocabulary():
     processor = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     spelled = {processor.id_to_piece(i).lower() for i in range(processor.get_piece_size())}
