@@ -205,8 +205,10 @@ class SparkDialect(Dialect):
     def matches(self, column: str, pattern: str) -> str:
         """Unicode classes where the text isn't ASCII; else a plain search for what a match needs goes first."""
         wide = "wide" if column == "text" else "src_wide"
-        plain = f"{column} rlike {self.text(pattern)}"
         pieces, ignore = needed_pieces(pattern)
+        # whether there is a match, its first word's last letter tells; a long word isn't gone through once for each letter
+        pattern = re.sub(r"^(\(?)\\w\+", r"\1\\w", pattern)
+        plain = f"{column} rlike {self.text(pattern)}"
         if pieces:
             where = column if not ignore else "lowered" if column == "text" else f"lower({column})"
             plain = f"(({' OR '.join(f'contains({where}, {self.text(p)})' for p in pieces)}) AND {plain})"

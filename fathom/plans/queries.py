@@ -282,6 +282,11 @@ def exit_status(spark, sf_dir):
 _THEN = "baseline AS (SELECT rule_id, file, line FROM issues WHERE line % 3 <> 0 UNION ALL SELECT rule_id, file, line + 1000 FROM issues WHERE line % 5 = 0)"
 
 
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a baseline keeps of the issues, held since both sides are made of it."""
+    return issues(spark, sf_dir).select("rule_id", "file", "line").persist()
+
+
 def _baseline(found: DataFrame) -> DataFrame:
     kept = found.where("line % 3 <> 0").select("rule_id", "file", "line")
     return kept.unionByName(found.where("line % 5 = 0").select("rule_id", "file", (F.col("line") + 1000).alias("line")))
@@ -294,15 +299,16 @@ for _name, _f, _sql in (
 ):
 
     def _run(spark, sf_dir, f=_f):
-        found = issues(spark, sf_dir).select("rule_id", "file", "line")
-        return f(found, _baseline(issues(spark, sf_dir))).select("rule_id", "file", "line")
+        found = _found(spark, sf_dir)
+        return f(found, _baseline(found)).select("rule_id", "file", "line")
 
     query(_name, over_issues(_sql, _THEN))(_run)
 
 
 @query("baseline_comparison", over_issues("SELECT n AS \"new\", f AS fixed, u AS unchanged, n - f AS net_change FROM (SELECT (SELECT count(*) FROM issues i WHERE NOT EXISTS (SELECT 1 FROM baseline b WHERE b.rule_id = i.rule_id AND b.file = i.file AND b.line = i.line)) AS n, (SELECT count(*) FROM baseline b WHERE NOT EXISTS (SELECT 1 FROM issues i WHERE b.rule_id = i.rule_id AND b.file = i.file AND b.line = i.line)) AS f, (SELECT count(*) FROM issues i WHERE EXISTS (SELECT 1 FROM baseline b WHERE b.rule_id = i.rule_id AND b.file = i.file AND b.line = i.line)) AS u)", _THEN))
 def baseline_comparison(spark, sf_dir):
-    return baseline.comparison(issues(spark, sf_dir), _baseline(issues(spark, sf_dir)))
+    found = _found(spark, sf_dir)
+    return baseline.comparison(found, _baseline(found))
 
 
 # Modules
