@@ -162,6 +162,22 @@ def _pieces(items) -> list[str]:
     return max(sets, key=lambda pieces: (min(map(len, pieces)), -len(pieces)), default=[])
 
 
+def node_pieces(node: Node) -> tuple[list[str], bool]:
+    """Pieces of which every line that the predicate holds on has at least one, and whether in lower case; [] if unknown."""
+    if node.kind == "like" and node.subject == "line":
+        return needed_pieces(node.text)
+    if node.kind == "has" and node.subject == "line" or node.kind in ("starts", "ends"):
+        return [node.text], False
+    if node.kind == "and":
+        found = [x for x in map(node_pieces, node.parts) if x[0]]
+        return max(found, key=lambda x: (-len(x[0]), min(map(len, x[0]))), default=([], False))
+    if node.kind == "or":
+        found = [node_pieces(p) for p in node.parts]
+        if all(pieces for pieces, _ in found) and len({ignore for _, ignore in found}) == 1:
+            return sorted({p for pieces, _ in found for p in pieces}), found[0][1]
+    return [], False
+
+
 class Dialect:
     """SQL of nodes over columns ``text``, ``trimmed`` and ``src``."""
 

@@ -12,13 +12,15 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.functions.predicates import SparkDialect
+from fathom.functions.predicates import SparkDialect, node_pieces
 from fathom.functions.text import lines, trim
 from fathom.operators.suppression import mark_ids
 from fathom.sources.catalog import Rule, load
 
 #: Predicates in one generated expression; more would pass the size that the JVM compiles.
 CHUNK = 75
+#: Characters of a text that rules share, and rules that it stands for at most.
+GATE_CHARS, GATED = 3, 12
 
 
 def line_rules(rules: Iterable[Rule] | None = None) -> list[Rule]:
@@ -43,12 +45,48 @@ def file_lines(files: DataFrame, keep: list[str] | None = None, outer: bool = Fa
     return cut.select("path", (F.coalesce("at", F.lit(0)) + 1).alias("line"), "of.text", "of.lowered", "of.trimmed", "of.wide", *(keep or []))
 
 
+def _joined(parts: list[str]) -> str:
+    return f"concat_ws(',', {', '.join(parts)})"
+
+
 def _names(predicates: list[tuple[int, str]]) -> str:
     """SQL: the ordinals of the predicates that hold, joined to a string.
 
     That is an expression that the JVM gets as many small compiled methods; an array function would be interpreted.
     """
-    return f"concat_ws(',', {', '.join(f"concat_ws(',', {', '.join(f"if({sql}, '{n}', null)" for n, sql in predicates[at : at + CHUNK])})" for at in range(0, len(predicates), CHUNK))})"
+    parts = [f"if({sql}, '{n}', null)" for n, sql in predicates]
+    return _joined([_joined(parts[at : at + CHUNK]) for at in range(0, len(parts), CHUNK)])
+
+
+def shared_pieces(pieces: dict[int, tuple[str, bool]]) -> list[tuple[str, bool, list[int]]]:
+    """Short texts that several of the pieces hold, each with the numbers of those pieces that it stands for.
+
+    Taken greedily: the text that stands for the most pieces that have none yet, up to ``GATED`` of them.
+    """
+    holders: dict[tuple[str, bool], set[int]] = {}
+    for n, (piece, ignore) in pieces.items():
+        for at in range(len(piece) - GATE_CHARS + 1):
+            holders.setdefault((piece[at : at + GATE_CHARS], ignore), set()).add(n)
+    out, left = [], set(pieces)
+    for (text, ignore), _ in sorted(holders.items(), key=lambda x: (-len(x[1]), x[0])):
+        while len(mine := sorted(holders[text, ignore] & left)) > 1:
+            out.append((text, ignore, mine[:GATED]))
+            left -= set(mine[:GATED])
+    return out
+
+
+def _line_names(rules: list[Rule], dialect: SparkDialect) -> str:
+    """SQL: the ordinals of the rules that hold on a line.
+
+    Rules whose every match needs a piece of text are tried where a part of it is found, which several rules share, so most
+    of them cost a line nothing.  Lines with other than ASCII letters are tried on all.
+    """
+    held = {r.ordinal: f"if({dialect.render(r.predicate())}, '{r.ordinal}', null)" for r in rules}
+    needed = {r.ordinal: node_pieces(r.predicate()) for r in rules}
+    gates = shared_pieces({n: (pieces[0], ignore) for n, (pieces, ignore) in needed.items() if len(pieces) == 1})
+    parts = [f"if(wide or contains({'lowered' if ignore else 'text'}, {dialect.text(text)}), {_joined([held.pop(n) for n in mine])}, null)" for text, ignore, mine in gates]
+    parts += held.values()
+    return _joined([_joined(parts[at : at + CHUNK]) for at in range(0, len(parts), CHUNK)]) if parts else "''"
 
 
 def _found(df: DataFrame, names: str, keep: list[str]) -> DataFrame:
@@ -74,7 +112,7 @@ def line_hits(files: DataFrame, rules: list[Rule], marks: bool = False, on_files
     Rules ``on_files`` are found in the same pass, as hits on line 1 without a text; a file that couldn't be read has none.
     """
     dialect = SparkDialect(facts=[])
-    predicates = [(r.ordinal, dialect.render(r.predicate())) for r in rules]
+    names = _line_names(rules, dialect)
     plain = SparkDialect()
     on_files = list(on_files)
     if dialect.facts or on_files:
@@ -87,7 +125,6 @@ def line_hits(files: DataFrame, rules: list[Rule], marks: bool = False, on_files
     cut = file_lines(files.select("path", "src", *facts), keep, outer=bool(on_files))
     if marks:
         cut = cut.withColumn("ids", mark_ids(F.col("text")))
-    names = _names(predicates or [(0, "false")])
     if on_files:
         names = f"concat_ws(',', {names}, if(line = 1, file_names, null))"
     hits = _found(cut, names, ["path", "line", "trimmed"] + ["ids"] * marks)
