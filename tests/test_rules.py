@@ -197,6 +197,23 @@ def test_source_rules(key, src, want):
     assert found(key, src) == want
 
 
+@pytest.mark.parametrize(
+    ("key", "src", "want"),
+    [
+        ("Bug:S1114", "  void finalize() {\n}", None),
+        ("CodeSmell:S131", "switch (x) {\n}", None),
+        ("CodeSmell:S1144", "private int lonely;", None),
+        ("CodeSmell:S1192", 'a("same");\na("same");\na("same");', None),
+        ("Complexity:S1541", "public int f() {" + "if (a) { }" * 12 + "}", None),
+        ("CodeSmell:S108", "  try { }", "try { }"),
+        ("Naming:S1312", "  Logger audit = x;", "audit"),
+        ("CodeSmell:S112", "  throw new Exception();", "throw new Exception();"),
+    ],
+)
+def test_shown_code(key, src, want):
+    assert [f.snippet for f in RULES[key](SourceFile("A.java", src))] == [want]
+
+
 def test_rules_in_sql_by_the_other_pass():
     """Every rule on files that is written out in SQL finds the same in the corpus, and each of them finds something."""
     con = duckdb.connect()
