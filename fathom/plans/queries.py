@@ -395,6 +395,21 @@ def coverage_below(spark, sf_dir):
     return coverage.below(coverage.lcov_lines(_trace(spark, sf_dir)), 50).select("file", "percentage")
 
 
+_XML = """SELECT 'report' AS source, (l_orderkey * 10 + l_linenumber) * 1000 + k AS {at}, CASE WHEN k = 0 THEN concat('<sourcefile name="F', l_orderkey % 300, '.java">') WHEN k = 900 THEN '</sourcefile>'
+ELSE concat('  <line nr="', (l_linenumber - 1) * k, '" mi="1" ci="', l_suppkey % 3, '" mb="0" cb="0"/>') END AS value
+FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, {each} AS k FROM {table})"""
+
+
+@query("coverage_xml", f"""WITH report AS ({_XML.format(at='"at"', each='unnest([0, 1, 2, 5, 900])', table='lineitem')}),
+owned AS (SELECT *, t."at" // 1000 AS record, regexp_extract(value, '"([^"]*)"', 1) AS first FROM report t),
+latest AS (SELECT first AS file, max(record) AS record FROM owned WHERE contains(value, 'name=') GROUP BY ALL),
+covered AS (SELECT file, (regexp_extract(value, 'ci="([0-9]+)"', 1)::BIGINT) AS hits FROM latest JOIN owned USING (record) WHERE contains(value, '<line') AND first::BIGINT > 0)
+SELECT file, count(hits) FILTER (hits > 0) AS covered, count(hits) FILTER (hits = 0) AS uncovered, CASE WHEN count(hits) > 0 THEN count(hits) FILTER (hits > 0) * 100.0::DOUBLE / count(hits)::DOUBLE ELSE 0::DOUBLE END AS percentage FROM (SELECT file, NULL AS hits FROM latest UNION ALL SELECT * FROM covered) GROUP BY file""")
+def coverage_xml(spark, sf_dir):
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("trace_items")
+    return coverage.file_coverage(coverage.jacoco_lines(spark.sql(_XML.format(at="at", each="explode(array(0, 1, 2, 5, 900))", table="trace_items"))))
+
+
 # Metrics, cache, changes
 
 
