@@ -219,16 +219,19 @@ class SparkDialect(Dialect):
         return f"{'startswith' if node.kind == 'starts' else 'endswith'}(trimmed, {self.text(node.text)})"
 
     def matches(self, column: str, pattern: str) -> str:
-        """Unicode classes where the text isn't ASCII; else a plain search for what a match needs goes first."""
-        wide = "wide" if column == "text" else "src_wide"
+        """A search with Unicode classes; a plain one for what every match needs goes first.
+
+        Letters of either case can be matched by others than their lower case, so text that isn't ASCII is searched at once.
+        """
         pieces, ignore = needed_pieces(pattern)
         # whether there is a match, its first word's last letter tells; a long word isn't gone through once for each letter
         pattern = re.sub(r"^(\(?)\\w\+", r"\1\\w", pattern)
-        plain = f"{column} rlike {self.text(pattern)}"
-        if pieces:
-            where = column if not ignore else "lowered" if column == "text" else f"lower({column})"
-            plain = f"(({' OR '.join(f'contains({where}, {self.text(p)})' for p in pieces)}) AND {plain})"
-        return f"if({wide}, {column} rlike {self.text('(?U)' + pattern)}, {plain})"
+        found = f"{column} rlike {self.text('(?U)' + pattern)}"
+        if not pieces:
+            return found
+        where = column if not ignore else "lowered" if column == "text" else f"lower({column})"
+        wide = [] if not ignore else ["wide" if column == "text" else "src_wide"]
+        return f"(({' OR '.join([*wide, *(f'contains({where}, {self.text(p)})' for p in pieces)])}) AND {found})"
 
 
 class DuckDialect(Dialect):
