@@ -50,6 +50,14 @@ def test_edited_copies_leave_one(spark):
     assert got == want
 
 
+def test_large_tables_are_joined_by_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SENT_ROWS", 0)
+    monkeypatch.setattr(near_copies, "STAR_ROWS", 2)
+    rows = edited_copies()[:120]
+    got = Counter(r.doc_id for r in near_copies.keep_representatives(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == brute_kept(rows)
+
+
 @pytest.mark.parametrize("group_rows", [3, 256])
 def test_groups_with_several_components_are_compared_in_all_pairs(spark, monkeypatch, group_rows):
     # one band of one minimum: texts with a common passage meet, and few of them are similar to the first
