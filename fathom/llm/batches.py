@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows that are turned into Python objects at once.
-SLICE_ROWS = 512
+#: Rows, and bytes of Arrow data, that are turned into Python objects at once; a row that is larger is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
 
 def schema_of(ddl: str) -> T.StructType:
@@ -34,11 +34,22 @@ def ddl_of(df: DataFrame) -> str:
     return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema)
 
 
+def cut(batch: pa.RecordBatch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, in order, each of so many rows and bytes at most or of one row."""
+    rest = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+    while rest:
+        part = rest.pop()
+        if part.num_rows > 1 and part.nbytes > size:
+            half = part.num_rows // 2
+            rest += [part.slice(half), part.slice(0, half)]
+        else:
+            yield part
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[list[list]]:
     """Each slice as one list per column, in column order."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
+        for part in cut(batch, rows):
             yield [column.to_pylist() for column in part.columns]
 
 

@@ -10,7 +10,7 @@ left it removes the previous token and goes on from there.  Positions found to b
 left once and the work is linear in the length.  Compatibility is decided from the two tokens' merge
 histories alone and remembered in a table.
 
-Decoding gathers bytes from one blob of all token bytes through an offset table, for a whole batch at once.
+Decoding gathers bytes from one blob of all token bytes through an offset table, for a block of ids at once.
 
 Texts are cut at every space that precedes a non-space.  No pre-token of this tokenizer crosses such a place,
 so what is encoded between two of them can be kept in a bounded cache.
@@ -38,6 +38,9 @@ COMPATIBLE_ENTRIES = 500_000
 #: Longer chunks are encoded each time they occur, so that the cache stays small.
 CACHE_KEY_CHARS = 64
 
+#: Ids that are decoded at once.
+DECODE_IDS = 1 << 16
+
 #: Marks that a word ends with, and the end of the letters of which every Unicode version says the same.
 CLOSING, PLAIN_LETTERS = frozenset(".,;:!?"), "\u0250"
 
@@ -178,15 +181,22 @@ class BytePairVocabulary:
             ids += self.encode_bytes(piece.encode())
         return ids
 
-    def decode_batch(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
-        """Bytes of each document, from all ids of a batch and the number of ids of each document."""
+    def _spelled(self, ids: np.ndarray) -> bytes:
         lengths = self.lengths[ids]
         ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
         spread = np.repeat(self.offsets[ids] - (ends - lengths), lengths)
-        spread += np.arange(total, dtype=np.int64)
-        data = self.blob[spread].tobytes()
-        stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        spread += np.arange(len(spread), dtype=np.int64)
+        return self.blob[spread].tobytes()
+
+    def decode_batch(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """Bytes of each document, from all ids of a batch and the number of ids of each document.
+
+        Ids are looked up in blocks, so that the places of single bytes, eight bytes each, are never many at once.
+        """
+        data = b"".join([self._spelled(ids[at : at + DECODE_IDS]) for at in range(0, len(ids), DECODE_IDS)])
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        sizes = [int(self.lengths[ids[a:b]].sum()) for a, b in zip(starts.tolist(), starts[1:].tolist())]
+        stops = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).tolist()
         return [data[a:b] for a, b in zip(stops, stops[1:])]
 
 

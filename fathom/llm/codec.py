@@ -11,6 +11,18 @@ from fathom.llm.batches import map_batches
 from fathom.llm.bpe import encoder
 
 
+#: Ids whose decimal forms are joined at once.
+DIGEST_IDS = 1 << 16
+
+
+def ids_digest(ids: np.ndarray, decimal: list[str]) -> str:
+    """SHA-256 of decimal ids joined by commas."""
+    digest = sha256()
+    for at in range(0, len(ids), DIGEST_IDS):
+        digest.update(("," * (at > 0) + ",".join(map(decimal.__getitem__, ids[at : at + DIGEST_IDS].tolist()))).encode())
+    return digest.hexdigest()
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids array<int>, decoded string)`` of every document.
 
@@ -44,7 +56,7 @@ def codec_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
             yield [
                 keys,
                 [len(ids) for ids in packed],
-                [sha256(",".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest() for ids in packed],
+                [ids_digest(ids, decimal) for ids in packed],
                 # bytes that aren't UTF-8 decode to replacement characters, as in the published library
                 [sha256(data.decode("utf-8", "replace").encode()).hexdigest() for data in decoded],
             ]

@@ -11,6 +11,7 @@ from fathom.llm.codec import codec_digests
 from fathom.llm.line_rules import clean_documents
 from fathom.llm.oracles import ORACLE_SQL  # noqa: F401
 from fathom.llm.packing import pack_documents
+from fathom.llm.periods import find_runs, loop_tails, run_digests
 from fathom.llm.pseudonyms import KEY_REDACTION, pseudonymise
 from fathom.llm.secrets import scan_secrets
 from fathom.llm.simhash import near_duplicates
@@ -76,6 +77,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(docs, language.fit(docs, PIECE_BPE), PIECE_BPE)
 
 
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(find_runs(loop_tails(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
@@ -87,4 +92,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vectors": op8_vectors,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
+    "op11_periods": op11_periods,
 }
