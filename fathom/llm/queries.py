@@ -17,6 +17,7 @@ from fathom.llm.secrets import scan_secrets
 from fathom.llm.simhash import near_duplicates
 from fathom.llm.token_counts import count_tokens
 from fathom.llm.vectors import near_vectors
+from fathom.llm.whitening import whiten_vectors
 
 #: Names of vocabularies; every worker finds its own file.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -81,6 +82,10 @@ def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(find_runs(loop_tails(table(spark, sf_dir, "documents"))))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
@@ -93,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_language": op10_language,
     "op11_periods": op11_periods,
+    "op12_whitening": op12_whitening,
 }
