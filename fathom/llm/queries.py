@@ -15,6 +15,7 @@ from fathom.llm.periods import find_runs, loop_tails, run_digests
 from fathom.llm.pseudonyms import KEY_REDACTION, pseudonymise
 from fathom.llm.secrets import scan_secrets
 from fathom.llm.simhash import near_duplicates
+from fathom.llm.sketches import compare_edited
 from fathom.llm.token_counts import count_tokens
 from fathom.llm.vectors import near_vectors
 from fathom.llm.whitening import whiten_vectors
@@ -86,6 +87,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
@@ -99,4 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
     "op11_periods": op11_periods,
     "op12_whitening": op12_whitening,
+    "op13_fingerprints": op13_fingerprints,
 }

@@ -1,0 +1,132 @@
+"""Operator 13: edited texts and order against plain Python, estimates against whole shingle sets, and what merging keeps."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from fathom.llm import sketches
+from fathom.llm.sketches import FLOOR, LIMIT, WIDTH, compare_edited, containment, fingerprint, fingerprint_documents, likeness, merge, read, spelled
+from tests.llm.edge import edge_docs, edge_rows, no_docs
+
+
+def shingles(text):
+    return {text[i : i + WIDTH] for i in range(max(1, len(text) - WIDTH + 1))} if text else set()
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def prose(rng, words):
+    return " ".join("".join(rng.choice("abcdefghéü字😀") for _ in range(rng.randint(2, 9))) for _ in range(words))
+
+
+def brute(rows):
+    """(id, n_chars, sha of the edited text) of every row, and the pairs of texts."""
+    def signed(t):
+        h = xxhash.xxh64_intdigest(t.encode(), 42)
+        return h - 2**64 if h >= 2**63 else h
+
+    rows = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+    out = []
+    for n, (k, t) in enumerate(rows):
+        after = rows[(n + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        out.append((k, len(t), hashlib.sha256(edited.encode()).hexdigest(), t, edited, after))
+    return out
+
+
+def check(spark_rows, rows):
+    want = sorted(brute(rows), key=lambda r: (str(r[0]), r[1:3]))
+    got = sorted(spark_rows, key=lambda r: (str(r.doc_id), r.n_chars, r.edited_sha256))
+    assert [(r.doc_id, r.n_chars, r.edited_sha256) for r in got] == [w[:3] for w in want]
+    for r, (*_, text, edited, after) in zip(got, want):
+        a, b, c = fingerprint(text), fingerprint(edited), fingerprint(after)
+        assert (r.fingerprint, r.edited_fingerprint) == (spelled(a), spelled(b))
+        assert (r.near_edited, r.near_next) == (likeness(a, b), likeness(a, c))
+        assert (r.contained_edited, r.contained_next) == (containment(a, b), containment(a, c))
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 40])
+def test_neighbours(spark, ranges):
+    rng = random.Random(ranges)
+    rows = [(rng.randrange(-500, 500) * 3, prose(rng, rng.randint(0, 60))) for _ in range(250)]
+    rows += [(2**62 + n, f"large {n}") for n in range(60)]
+    rows += [(7, None), (8, ""), (9, "a"), (None, "null one"), (None, None), (rows[0][0], "other text"), rows[1], rows[1]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    check(compare_edited(docs, ranges).collect(), rows)
+
+
+@pytest.mark.parametrize("rows", [[(5, "alone " * 30)], [(None, "a b c")], [(1, "one"), (2, None)], [(3, "same"), (3, "same"), (3, "same")]])
+def test_few_documents(spark, rows):
+    check(compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
+def test_edge_rows(spark):
+    check(compare_edited(edge_docs(spark), 6).collect(), [r[:2] for r in edge_rows()])
+    assert compare_edited(no_docs(spark)).collect() == []
+    told = fingerprint_documents(edge_docs(spark)).collect()
+    assert sorted((str(r.doc_id), r.n_chars, r.fingerprint) for r in told) == sorted((str(r[0]), len(r[1] or ""), spelled(fingerprint(r[1] or ""))) for r in edge_rows())
+
+
+def test_all_hashes_below_the_threshold(monkeypatch):
+    text = prose(random.Random(1), 3000)
+    codes = np.array([ord(c) for c in text])
+    every = np.unique(np.concatenate([sketches._hashes(codes[i : i + WIDTH]) for i in range(len(codes) - WIDTH + 1)]))
+    assert len(every) == len(shingles(text))
+    assert fingerprint(text).tolist() == every[every < LIMIT].tolist()
+    short = text[:400]
+    assert fingerprint(short).tolist() == np.unique(sketches._hashes(codes[:400]))[:FLOOR].tolist()
+    assert len(fingerprint(text[:50])) == 35 and len(fingerprint("ab")) == 1 and len(fingerprint("")) == 0
+    monkeypatch.setattr(sketches, "BLOCK", 100)
+    assert fingerprint(text).tolist() == every[every < LIMIT].tolist()
+    assert fingerprint(short).tolist() == np.unique(sketches._hashes(codes[:400]))[:FLOOR].tolist()
+
+
+def test_estimates():
+    rng = random.Random(2)
+    errors = []
+    for words in (5, 12, 40, 200, 1000, 4000):
+        for _ in range(12):
+            a, b = prose(rng, words), prose(rng, words)
+            edited = a[: len(a) - len(a) // rng.randint(2, 6)] + b[: len(a) // 3]
+            got = likeness(fingerprint(a), fingerprint(edited))
+            errors.append(got - jaccard(a, edited))
+            assert abs(errors[-1]) < 0.25
+            assert len(shingles(a)) + len(shingles(edited)) > FLOOR or got == jaccard(a, edited)
+            assert likeness(fingerprint(a), fingerprint(b)) < 0.02 and likeness(fingerprint(a), fingerprint(a)) == 1
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.07
+
+
+def test_containment_of_very_unequal_texts():
+    rng = random.Random(3)
+    found = []
+    for _ in range(20):
+        long, short = prose(rng, 40_000), prose(rng, 400)
+        whole = long + short[: len(short) // 2]
+        found.append(containment(fingerprint(short), fingerprint(whole)))
+        assert likeness(fingerprint(short), fingerprint(whole)) < 0.02
+    assert np.mean(found) == pytest.approx(0.5, abs=0.04)
+    assert containment(fingerprint(""), fingerprint("text")) is None
+
+
+def test_merging():
+    rng = random.Random(4)
+    for words in (1, 3, 8, 30, 600):
+        a, b, c = (prose(rng, rng.randint(1, words)) for _ in range(3))
+        x, y, z = map(fingerprint, (a, b, c))
+        union = np.unique(np.concatenate([sketches._hashes(np.array([ord(ch) for ch in t])) for t in (a, b)]))
+        assert merge(x, y).tolist() == sketches._trimmed(union).tolist()
+        assert merge(merge(x, y), z).tolist() == merge(x, merge(z, y)).tolist()
+        assert merge(x, x).tolist() == x.tolist() and read(spelled(x)).tolist() == x.tolist()
+
+
+def test_megabytes():
+    text = "".join(random.Random(5).choices("abcdefgh ", k=3_000_000))
+    hashes = fingerprint(text)
+    assert len(hashes) == pytest.approx(3_000_000 / 32, rel=0.02)
+    assert likeness(hashes, fingerprint(text[:2_000_000])) == pytest.approx(2 / 3, abs=0.01)
