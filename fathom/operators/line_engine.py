@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.predicates import SparkDialect, node_pieces
 from fathom.functions.text import lines, trim
+from fathom.operators.file_pass import EDIT, FINDING
 from fathom.operators.suppression import mark_ids
 from fathom.sources.catalog import Rule, load
 
@@ -33,16 +34,39 @@ def file_predicates(rules: Iterable[Rule] | None = None) -> list[Rule]:
     return [r for r in (load() if rules is None else rules) if r.kind == "FILE" and r.predicate() is not None]
 
 
-def file_lines(files: DataFrame, keep: list[str] | None = None, outer: bool = False) -> DataFrame:
-    """``(path, line, text, lowered, trimmed, wide)`` and the columns in ``keep`` of every line of ``files(path, src)``.
+def file_lines(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``(path, line, text, lowered, trimmed, wide)`` and the columns in ``keep`` of every line of ``files(path, src)``."""
+    cut = files.select("path", *(keep or []), F.posexplode(F.transform(lines(F.col("src")), lambda t: F.struct(*_facets(t)))).alias("at", "of"))
+    return cut.select("path", (F.col("at") + 1).alias("line"), "of.text", "of.lowered", "of.trimmed", "of.wide", *(keep or []))
 
-    With ``outer``, a file without lines has a row without text, as line 1.
-    """
+
+def _facets(t: Column) -> list[Column]:
     # made in the array, before it is exploded: as columns of a later projection they would be copied into every predicate
-    described = F.transform(lines(F.col("src")), lambda t: F.struct(t.alias("text"), F.lower(t).alias("lowered"), trim(t).alias("trimmed"), t.rlike(r"[^\x00-\x7f]").alias("wide")))
-    explode = F.posexplode_outer if outer else F.posexplode
-    cut = files.select("path", *(keep or []), explode(described).alias("at", "of"))
-    return cut.select("path", (F.coalesce("at", F.lit(0)) + 1).alias("line"), "of.text", "of.lowered", "of.trimmed", "of.wide", *(keep or []))
+    return [t.alias("text"), F.lower(t).alias("lowered"), trim(t).alias("trimmed"), t.rlike(r"[^\x00-\x7f]").alias("wide")]
+
+
+def _around(at: Column) -> Column:
+    """:func:`fathom.operators.file_pass.context_hash` of the line at an index of ``cut``."""
+    text = F.concat_ws("\n", *[trim(F.when(at + step >= 0, F.get("cut", at + step))) for step in (-1, 0, 1)])
+    return F.when(at < F.size("cut"), F.conv(F.substring(F.md5(text), 1, 16), 16, 10).cast("decimal(20,0)"))
+
+
+def headed_lines(files: DataFrame, keep: list[str], found: str | None, names: str | None, context: bool = False) -> DataFrame:
+    """The lines of every file that could be read behind a row for the file itself, which has no text and is line 0.
+
+    That row alone has ``found``, the file's own findings, ``names``, those of predicates on it, and ``first``, the text of
+    its first line; so what belongs to a file isn't copied to its lines.  With ``context``, ``around`` is the hash of the lines
+    around (for the file, of its first line).
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    of_file = lambda given, kind: none(kind) if given is None else F.col(given)
+    own, last = f"array<{FINDING}>", ("found", "names", "first", "around")
+    around = lambda at: (_around(at) if context else none("decimal(20,0)")).alias("around")
+    line = lambda t, at: F.struct(*_facets(t), none(own).alias("found"), none("string").alias("names"), none("string").alias("first"), around(at))
+    head = F.struct(*[none("string").alias(c) for c in ("text", "lowered", "trimmed")], F.lit(False).alias("wide"), of_file(found, own).alias("found"), of_file(names, "string").alias("names"), F.get("cut", F.lit(0)).alias("first"), around(F.lit(0)))
+    cut = files.where("src is not null").withColumn("cut", lines(F.col("src")))
+    rows = cut.select("path", *keep, F.posexplode(F.concat(F.array(head), F.transform("cut", line))).alias("line", "of"))
+    return rows.select("path", "line", "of.text", "of.lowered", "of.trimmed", "of.wide", *[f"of.{c}" for c in last], *keep)
 
 
 def _joined(parts: list[str]) -> str:
@@ -89,21 +113,37 @@ def _line_names(rules: list[Rule], dialect: SparkDialect) -> str:
     return _joined([_joined(parts[at : at + CHUNK]) for at in range(0, len(parts), CHUNK)]) if parts else "''"
 
 
-def _found(df: DataFrame, names: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``hit`` of every row and name of a predicate that holds on it.
+def all_hits(files: DataFrame, rules: list[Rule], on_files: list[Rule] = (), found: Column | None = None, marks: bool = False, keep: list[str] = (), context: bool = False) -> DataFrame:
+    """The hits of predicates on lines and on files, and the findings in ``found``, of one pass over ``files(path, src)``.
 
-    ``outer`` keeps the optimiser from testing the string's length, by making it twice.
+    Rows are ``path``, the columns in ``keep`` of the file, and those of a finding.  Predicates on files are hits on line 1
+    without a text.
+    ``ids`` is the mark of a predicate's line if ``marks``; findings were compared with it.  A file that
+    couldn't be read has no hits.
     """
+    dialect = SparkDialect(facts=[])
+    names = _line_names(rules, dialect)
+    plain, on_files, keep = SparkDialect(), list(on_files), list(keep)
+    if dialect.facts or on_files:
+        files = files.withColumn("src_wide", F.col("src").rlike(r"[^\x00-\x7f]"))
+    facts = [F.expr(plain.render(node)).alias(f"fact_{n}") for n, node in enumerate(dialect.facts)]
+    of_file = [F.expr(_names([(r.ordinal, plain.render(r.predicate())) for r in on_files])).alias("file_names")] if on_files else []
+    of_file += [found.alias("file_found")] if found is not None else []
+    fact_names = [f"fact_{n}" for n in range(len(facts))]
+    cut = headed_lines(files.select("path", "src", *keep, *facts, *of_file), [*keep, *fact_names], "file_found" if found is not None else None, "file_names" if on_files else None, context)
+    ids = mark_ids(F.coalesce("text", "first")) if marks else F.lit(None).cast("array<string>")
     # a function that isn't compiled takes this projection out of whole-stage compilation, whose one method would be too long
     path = F.expr("element_at(transform(array(path), p -> p), 1)").alias("path")
-    hits = df.select(path, *[c for c in keep if c != "path"], F.expr(names).alias("hits"))
-    return hits.select(*keep, F.explode_outer(F.split("hits", ",+")).alias("hit")).where("hit <> ''")
-
-
-def _file_names(rules: list[Rule]) -> str:
-    """SQL: names of the rules that hold on a file, of which the end tells that they aren't a line's."""
-    plain = SparkDialect()
-    return f"regexp_replace({_names([(r.ordinal, plain.render(r.predicate())) for r in rules])}, '([0-9])(?=,|$)', '$1f')"
+    hits = cut.select(path, *keep, F.greatest("line", F.lit(1)).alias("line"), "trimmed", F.col("text").isNull().alias("head"), "found", "names", "around", ids.alias("ids"), F.expr(names).alias("hits"))
+    none = lambda kind: F.lit(None).cast(kind)
+    of_line = ["line", F.lit(1).alias("column"), none("int").alias("end_column"), none("string").alias("message"), "trimmed", none("string").alias("severity"), none(EDIT).alias("edit")]
+    hit = lambda n: F.struct(*of_line, n.cast("int").alias("rule_ord"), "ids", F.col("around").alias("context_hash"))
+    told = lambda c: F.when(F.col(c) != "", F.transform(F.filter(F.split(c, ",+"), lambda n: n != ""), hit))
+    empty = F.array().cast(f"array<{FINDING}>")
+    # the predicates stand in a projection of their own and aren't conditional, so what they share is computed once
+    every = F.when(F.col("head"), F.concat(F.coalesce(told("names"), empty), F.coalesce("found", empty))).otherwise(told("hits"))
+    # an outer explode keeps the optimiser from testing the array's size, by making it twice
+    return hits.select("path", *keep, F.explode_outer(every).alias("hit")).where("hit is not null").select("path", *keep, "hit.*")
 
 
 def line_hits(files: DataFrame, rules: list[Rule], marks: bool = False, on_files: list[Rule] = ()) -> DataFrame:
@@ -111,25 +151,7 @@ def line_hits(files: DataFrame, rules: list[Rule], marks: bool = False, on_files
 
     Rules ``on_files`` are found in the same pass, as hits on line 1 without a text; a file that couldn't be read has none.
     """
-    dialect = SparkDialect(facts=[])
-    names = _line_names(rules, dialect)
-    plain = SparkDialect()
-    on_files = list(on_files)
-    if dialect.facts or on_files:
-        files = files.withColumn("src_wide", F.col("src").rlike(r"[^\x00-\x7f]"))
-    facts = [F.expr(plain.render(node)).alias(f"fact_{n}") for n, node in enumerate(dialect.facts)]
-    keep = [f"fact_{n}" for n in range(len(facts))]
-    if on_files:
-        facts.append(F.expr(_file_names(on_files)).alias("file_names"))
-        files, keep = files.where("src is not null"), [*keep, "file_names"]
-    cut = file_lines(files.select("path", "src", *facts), keep, outer=bool(on_files))
-    if marks:
-        cut = cut.withColumn("ids", mark_ids(F.col("text")))
-    if on_files:
-        names = f"concat_ws(',', {names}, if(line = 1, file_names, null))"
-    hits = _found(cut, names, ["path", "line", "trimmed"] + ["ids"] * marks)
-    trimmed = F.when(~F.col("hit").endswith("f"), F.col("trimmed"))
-    return hits.select("path", "line", trimmed.alias("trimmed"), *["ids"] * marks, F.rtrim("hit", F.lit("f")).cast("int").alias("rule_ord"))
+    return all_hits(files, rules, on_files, marks=marks).select("path", "line", "trimmed", *["ids"] * marks, "rule_ord")
 
 
 def file_hits(files: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.operators.file_pass import source_hits, with_fix
-from fathom.operators.line_engine import file_predicates, line_hits, line_rules
+from fathom.operators.file_pass import findings, with_fix
+from fathom.operators.line_engine import all_hits, file_predicates, line_rules
+from fathom.operators.modules import with_module
 from fathom.operators.source_rules import Limits
 from fathom.operators.suppression import held
 from fathom.sources.catalog import SEVERITIES, Rule, catalog, load
@@ -57,43 +58,33 @@ def described(hits: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     said = F.coalesce(*[F.col(c) for c in ("message", "rule_message", "title") if c in found])
     joined = joined.withColumn("message", said)
     defaults = {"column": F.lit(1), "end_line": F.lit(None).cast("int"), "end_column": F.lit(None).cast("int"), "module": F.lit(None).cast("string"), "fix": F.lit(None).cast(FIX)}
-    return joined.withColumns({k: v for k, v in defaults.items() if k not in found}).select(*ISSUE)
+    return joined.withColumns({k: v for k, v in defaults.items() if k not in found}).select(*ISSUE, *[c for c in ("context_hash",) if c in found])
 
 
-def predicate_issues(files: DataFrame, rules: list[Rule], suppress: bool = False) -> DataFrame:
-    """Issues of the rules that are predicates on lines or files; with ``suppress``, without those that a mark holds back.
+def issues_of_rules(files: DataFrame, rules: list[Rule], limits: Limits = Limits(), custom: tuple[CustomRule, ...] = (), suppress: bool = True, modules: DataFrame | None = None, context: bool = False) -> DataFrame:
+    """Issues of these rules in ``files(path, src)``, without the suppressed ones, from one pass over the files.
 
-    A mark stands on the issue's own line, so it is read with the line and there is nothing to join.
+    The rules that aren't predicates, and custom ones, find their places as a column of the file; then its lines are cut out,
+    judged by the predicates, and the hits of both kinds are one list.  A mark stands on the issue's own line, so it is read
+    with the line.  Given ``modules(name, path)``, each issue has the module of its file.  With ``context``, a further column
+    ``context_hash`` is of the lines around an issue.  Nothing is shuffled, unless there are too many modules to look up.  The
+    custom rules' places in the catalogue come after those of the built-in ones.
     """
-    on_lines, on_files = line_rules(rules), file_predicates(rules)
-    hits = line_hits(files, on_lines, marks=suppress, on_files=on_files)
+    first, spark = len(load()), files.sparkSession
+    own = [(first + n, c.rule_id, c.pattern, c.message, c.negative_pattern) for n, c in enumerate(custom)]
+    known = catalog(spark)
+    known = known.unionByName(custom_catalog(spark, custom, first), allowMissingColumns=True) if custom else known
+    files, placed = (files, None) if modules is None else with_module(files, modules)
+    hits = all_hits(files, line_rules(rules), file_predicates(rules), findings(rules, limits, suppress, own, context), suppress, ["module"] if modules is not None and placed is None else [], context)
     if suppress:
-        names = F.broadcast(catalog(files.sparkSession).select("rule_ord", "rule_id"))  # one row a rule
-        hits = hits.join(names, "rule_ord").where(~held(F.col("ids"), F.col("rule_id"))).drop("ids", "rule_id")
-    return described(hits)
+        names = F.broadcast(known.select("rule_ord", "rule_id"))  # one row a rule
+        hits = hits.join(names, "rule_ord").where(~held(F.col("ids"), F.col("rule_id"))).drop("rule_id")
+    if placed is not None:
+        hits = hits.join(placed, "path", "left")
+    return described(with_fix(hits.drop("ids", *["context_hash"] * (not context))), known)
 
 
-def file_issues(files: DataFrame, rules: list[Rule], limits: Limits = Limits(), custom: tuple[CustomRule, ...] = (), suppress: bool = False) -> DataFrame:
-    """Issues of the rules that aren't predicates and of custom rules, in one pass over files.
-
-    The custom rules' places in the catalogue come after those of the built-in ones.
-    """
-    first = len(load())
-    hits = source_hits(files, rules, limits, suppress, [(first + n, c.rule_id, c.pattern, c.message, c.negative_pattern) for n, c in enumerate(custom)])
-    known = catalog(files.sparkSession)
-    known = known.unionByName(custom_catalog(files.sparkSession, custom, first), allowMissingColumns=True) if custom else known
-    return described(with_fix(hits), known)
-
-
-def issues_of_rules(files: DataFrame, rules: list[Rule], limits: Limits = Limits(), custom: tuple[CustomRule, ...] = (), suppress: bool = True) -> DataFrame:
-    """Issues of these rules in ``files(path, src)``, without the suppressed ones.
-
-    Files are read by two passes, of predicates and of the other rules; neither shuffles.
-    """
-    return predicate_issues(files, rules, suppress).unionByName(file_issues(files, rules, limits, custom, suppress))
-
-
-def all_issues(files: DataFrame, config: Config = Config()) -> DataFrame:
-    """Issues of all active rules, with the configuration's limits and custom rules."""
+def all_issues(files: DataFrame, config: Config = Config(), modules: DataFrame | None = None) -> DataFrame:
+    """Issues of all active rules, with the configuration's limits and custom rules, and each file's module if given."""
     limits = Limits(config.max_complexity, config.max_params, config.max_nesting)
-    return issues_of_rules(files, active_rules(config), limits, config.custom_rules)
+    return issues_of_rules(files, active_rules(config), limits, config.custom_rules, modules=modules)

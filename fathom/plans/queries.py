@@ -54,9 +54,9 @@ def shared_rules() -> list[Rule]:
     return compiled_rules([r for r in active_rules() if r.key in _SQL_RULES or r.predicate() is not None])
 
 
-def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+def issues(spark: SparkSession, sf_dir: str, modules: DataFrame | None = None, context: bool = False) -> DataFrame:
     """Issues of those rules over the corpus, without the suppressed ones; every message is the rule's title, as in SQL."""
-    found = issues_of_rules(corpus(spark, sf_dir, *PART), shared_rules())
+    found = issues_of_rules(corpus(spark, sf_dir, *PART), shared_rules(), modules=modules, context=context)
     return found.withColumn("message", F.col("title"))
 
 
@@ -91,7 +91,7 @@ def rules_on_files(spark, sf_dir):
 def rules_on_sources(spark, sf_dir):
     """All rules of the second pass."""
     found = source_hits(corpus(spark, sf_dir, *PART), active_rules())
-    return found.select("path", "line", "column", "message", "code_snippet", "severity", "rule_ord")
+    return found.select("path", "line", "column", "message", F.col("trimmed").alias("code_snippet"), "severity", "rule_ord")
 
 
 @query("rules_on_sources_in_sql", f"WITH {oracles.corpus_cte(*PART)} " + " UNION ALL ".join(f"SELECT path, line::INT AS line, col::INT AS \"column\", '{k}' AS rule_key FROM ({sql})" for k, sql in _SQL_RULES.items()))
@@ -277,38 +277,34 @@ def exit_status(spark, sf_dir):
     return reviews.exit_status(issues(spark, sf_dir), reviews.GATES["lenient"], fail_on_severity="critical")
 
 
-# Baselines: the earlier run lacks some lines and has others
+# Baselines: the earlier run lacks some lines and has others; some issues of both have no hash, and some of the earlier run
+# have another one
 
-_THEN = "baseline AS (SELECT rule_id, file, line FROM issues WHERE line % 3 <> 0 UNION ALL SELECT rule_id, file, line + 1000 FROM issues WHERE line % 5 = 0)"
+_HASHED = """around AS (SELECT path, line, ('0x' || md5(concat_ws(chr(10), lag(trimmed) OVER w, trimmed, lead(trimmed) OVER w))[:16])::UBIGINT AS h FROM lines WINDOW w AS (PARTITION BY path ORDER BY line)),
+now AS (SELECT rule_id, file, i.line, CASE WHEN i.line % 7 <> 0 THEN h END AS context_hash FROM issues i LEFT JOIN around a ON a.path = i.file AND a.line = i.line),
+baseline AS (SELECT rule_id, file, line, CASE WHEN line % 4 = 0 THEN NULL WHEN line % 11 = 0 THEN 1 ELSE context_hash END AS context_hash FROM now WHERE line % 3 <> 0 UNION ALL SELECT rule_id, file, line + 1000, context_hash FROM now WHERE line % 5 = 0)"""
+_SAME = " AND ".join(f"b.{k} IS NOT DISTINCT FROM i.{k}" for k in baseline.KEY)
+_BASE = {kind: f"SELECT {{}} FROM {a} WHERE {'' if kind == 'unchanged' else 'NOT '}EXISTS (SELECT 1 FROM {b} WHERE {_SAME})" for kind, a, b in (("new", "now i", "baseline b"), ("unchanged", "now i", "baseline b"), ("fixed", "baseline b", "now i"))}
 
 
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a baseline keeps of the issues, held since both sides are made of it."""
-    return issues(spark, sf_dir).select("rule_id", "file", "line").persist()
+def _tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both runs' fingerprints from one pass over the sources: each issue gives its rows of either."""
+    found = issues(spark, sf_dir, context=True)
+    line = F.col("line")
+    own = F.when(line % 7 != 0, F.col("context_hash"))
+    row = lambda when, at, hash_, now: F.when(when, F.struct(at.alias("line"), hash_.cast(baseline.HASH).alias("context_hash"), F.lit(now).alias("now"), F.lit(1 - now).alias("then")))
+    earlier = F.when(line % 4 == 0, None).when(line % 11 == 0, F.lit(1).cast(baseline.HASH)).otherwise(own)
+    rows = F.array_compact(F.array(row(F.lit(True), line, own, 1), row(line % 3 != 0, line, earlier, 0), row(line % 5 == 0, line + 1000, own, 0)))
+    return baseline.tally(found.select("rule_id", "file", F.explode(rows).alias("r")).select("rule_id", "file", "r.*"))
 
 
-def _baseline(found: DataFrame) -> DataFrame:
-    kept = found.where("line % 3 <> 0").select("rule_id", "file", "line")
-    return kept.unionByName(found.where("line % 5 = 0").select("rule_id", "file", (F.col("line") + 1000).alias("line")))
+for _kind, _sql in _BASE.items():
+    query(f"baseline_{_kind}", over_issues(_sql.format(f"rule_id, file, line::INT AS line, {'b' if _kind == 'fixed' else 'i'}.context_hash::DECIMAL(20, 0) AS context_hash"), _HASHED))(lambda spark, sf_dir, kind=_kind: baseline.told(_tally(spark, sf_dir), kind))
 
 
-for _name, _f, _sql in (
-    ("baseline_new", baseline.new, "SELECT rule_id, file, line::INT AS line FROM issues i WHERE NOT EXISTS (SELECT 1 FROM baseline b WHERE b.rule_id = i.rule_id AND b.file = i.file AND b.line = i.line)"),
-    ("baseline_unchanged", baseline.unchanged, "SELECT rule_id, file, line::INT AS line FROM issues i WHERE EXISTS (SELECT 1 FROM baseline b WHERE b.rule_id = i.rule_id AND b.file = i.file AND b.line = i.line)"),
-    ("baseline_fixed", baseline.fixed, "SELECT rule_id, file, line::INT AS line FROM baseline b WHERE NOT EXISTS (SELECT 1 FROM issues i WHERE b.rule_id = i.rule_id AND b.file = i.file AND b.line = i.line)"),
-):
-
-    def _run(spark, sf_dir, f=_f):
-        found = _found(spark, sf_dir)
-        return f(found, _baseline(found)).select("rule_id", "file", "line")
-
-    query(_name, over_issues(_sql, _THEN))(_run)
-
-
-@query("baseline_comparison", over_issues("SELECT n AS \"new\", f AS fixed, u AS unchanged, n - f AS net_change FROM (SELECT (SELECT count(*) FROM issues i WHERE NOT EXISTS (SELECT 1 FROM baseline b WHERE b.rule_id = i.rule_id AND b.file = i.file AND b.line = i.line)) AS n, (SELECT count(*) FROM baseline b WHERE NOT EXISTS (SELECT 1 FROM issues i WHERE b.rule_id = i.rule_id AND b.file = i.file AND b.line = i.line)) AS f, (SELECT count(*) FROM issues i WHERE EXISTS (SELECT 1 FROM baseline b WHERE b.rule_id = i.rule_id AND b.file = i.file AND b.line = i.line)) AS u)", _THEN))
+@query("baseline_comparison", over_issues(f"SELECT n AS \"new\", f AS fixed, u AS unchanged, n - f AS net_change FROM (SELECT {', '.join(f"({sql.format('count(*)')}) AS {kind[0]}" for kind, sql in _BASE.items())})", _HASHED))
 def baseline_comparison(spark, sf_dir):
-    found = _found(spark, sf_dir)
-    return baseline.comparison(found, _baseline(found))
+    return baseline.counted(_tally(spark, sf_dir))
 
 
 # Modules
@@ -323,17 +319,17 @@ def _modules(spark: SparkSession) -> DataFrame:
 
 @query("module_of_issue", over_issues("SELECT DISTINCT file, module FROM placed", _MODULES_SQL))
 def module_of_issue(spark, sf_dir):
-    return modules.assign(issues(spark, sf_dir), _modules(spark)).select("file", "module").distinct()
+    return issues(spark, sf_dir, _modules(spark)).select("file", "module").distinct()
 
 
 @query("module_counts", over_issues("SELECT m.name, (CASE WHEN m.name = 'two' THEN m.path || '/' ELSE m.path END) AS path, count(p.file) AS n FROM modules m LEFT JOIN placed p ON p.module = m.name GROUP BY ALL", _MODULES_SQL))
 def module_counts(spark, sf_dir):
-    return modules.counts(modules.assign(issues(spark, sf_dir), _modules(spark)), _modules(spark))
+    return modules.counts(issues(spark, sf_dir, _modules(spark)), _modules(spark))
 
 
 @query("module_filter", over_issues("SELECT module, count(*) AS n FROM placed WHERE module IN ('one', 'src') AND module <> 'src' GROUP BY ALL", _MODULES_SQL))
 def module_filter(spark, sf_dir):
-    placed = modules.assign(issues(spark, sf_dir), _modules(spark))
+    placed = issues(spark, sf_dir, _modules(spark))
     return modules.only(placed, include=["one", "src"], exclude=["src"]).groupBy("module").agg(F.count("*").alias("n"))
 
 
