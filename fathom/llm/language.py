@@ -17,7 +17,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.batches import map_batches, vocabulary_file
@@ -25,8 +25,9 @@ from fathom.llm.byte_cnn import fold, in_fold
 
 START = "▁"
 WORDS = re.compile(r"[^\W\d_]+")
-#: Documents of each language that pieces are fitted on, about (chosen by a hash of the id); all words of each count.
-SAMPLE_PER_LANGUAGE = 600
+#: Bounds of the sample that pieces are fitted on: languages (those with the most texts), texts of each language (chosen by
+#: a hash of id and text, a repeated row counting once), characters of a text, and characters of all texts of a language.
+MOST_LANGUAGES, SAMPLE_PER_LANGUAGE, SAMPLE_TEXT_CHARS, SAMPLE_CHARS = 256, 600, 20_000, 3_000_000
 ROUNDS, SMOOTHING, SEED = 4, 0.05, 11
 #: Log probability of a character that no piece covers.
 UNKNOWN = -18.0
@@ -180,19 +181,33 @@ def words_of(text: str) -> list[str]:
     return words if all(map(str.isalpha, words)) else [w for w in words if w.isalpha()] + [c for w in words if not w.isalpha() for c in w if c.isalpha()]
 
 
+def sample(docs: DataFrame, languages: int = MOST_LANGUAGES, per_language: int = SAMPLE_PER_LANGUAGE, text_chars: int = SAMPLE_TEXT_CHARS, chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], DataFrame]:
+    """Languages, and ``(lang, text)`` of so many texts of each outside fold 0, in the order of a hash up to the bounds.
+
+    About half as many again are picked by their hash, each once however often its row is repeated; the bounds hold exactly.
+    """
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (in_fold(id_col) != 0))
+    known = known.select(F.xxhash64(id_col, text_col, F.lit(SEED)).alias("h"), F.substring(text_col, 1, text_chars).alias("text"), F.col(lang_col).alias("lang"))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    if not sizes:
+        return [], known.select("lang", "text").where("false")
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, 1.5 * per_language / max(n, 1))])[F.col("lang")]
+    picked = known.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_000)), "h")
+    placed = picked.withColumns({"place": F.row_number().over(order), "so_far": F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    return sorted(sizes), placed.where((F.col("place") <= per_language) & (F.col("so_far") <= max(chars, text_chars))).select("lang", "text")
+
+
 def fit(docs: DataFrame, vocabulary: str, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> bytes:
-    """Languages and probabilities of pieces, from about ``per_language`` documents of each outside fold 0.
+    """Languages and probabilities of pieces, from a :func:`sample` of at most ``per_language`` documents of each.
 
-    Words are counted on the cluster; only the counts of the sampled documents' words come to the driver.
+    Words are counted on the cluster; only the counts of the sampled documents' words come to the driver, of which the
+    sample's bounds are bounds as well.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (in_fold(id_col) != 0)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
+    languages, chosen = sample(docs, per_language=per_language, id_col=id_col, text_col=text_col, lang_col=lang_col)
     if not languages:
         np.savez(out := io.BytesIO(), probability=np.zeros((0, 0)), languages=np.array([], dtype=str))
         return out.getvalue()
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, per_language / n)])[F.col("lang")]
-    chosen = known.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < share * 1_000_000)
 
     def task(parts):
         for texts, langs in parts:

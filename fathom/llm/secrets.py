@@ -16,6 +16,8 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Callable
+from functools import cache
 from itertools import accumulate
 from hashlib import sha256
 
@@ -43,6 +45,8 @@ ALONE = re.compile(r"(?![\w.$-]+(?::|=[^=\s]))[^\s,;\"'(){}\[\]]+(?=[,;]?[^\S\n]
 #: The mark of a block of lines, and a line.
 BLOCK = re.compile(r"[|>][0-9+-]*[^\S\n]*(?:#[^\n]*)?\n")
 LINE = re.compile(r"([^\S\n]*)([^\n]*)(?:\n|\Z)")
+#: What stands at the end of a line with such a mark, and perhaps of others.
+MARKED = re.compile(r":[^\S\n]*[|>][0-9+-]*[^\S\n]*(?:#.*)?$")
 #: What frames a key in base64 isn't part of its value.
 FRAME = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----(?:\\[nr])*")
 BINDS = {"=", ":", ":=", "=>", "("}
@@ -150,18 +154,54 @@ def _lines(text: str, start: int, stop: int) -> list[tuple[str, int, int]]:
     return out
 
 
-def _block(text: str, key: int, start: int) -> int:
-    """The end of the lines from ``start`` on that stand further in than the line with the key."""
-    indent = len(LINE.match(text, text.rfind("\n", 0, key) + 1)[1])
-    while start < len(text):
-        line = LINE.match(text, start)
-        if line[2] and len(line[1]) <= indent:
-            break
-        start = line.end()
-    return start
+class Blocks:
+    """The lines of a text and what stands further in below each of them: the block of a key that ``|`` or ``>`` ends.
+
+    A block within another one is a value that both share, so lines in deep blocks aren't gone through once for each.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.lines = [(m.start(), m[1], m[2]) for m in LINE.finditer(text) if m.start() < len(text)]
+        self.starts = [start for start, _, _ in self.lines]
+        # the first line behind each one that isn't blank and doesn't stand further in
+        self.stops = [len(self.lines)] * len(self.lines)
+        open_: list[int] = []
+        for n, (_, blanks, rest) in enumerate(self.lines):
+            if rest:
+                while open_ and len(self.lines[open_[-1]][1]) >= len(blanks):
+                    self.stops[open_.pop()] = n
+                open_.append(n)
+        self.values: dict[int, Value | None] = {}
+        for n in range(len(self.lines) - 1, -1, -1):
+            if MARKED.search(self.lines[n][2]):
+                self.values[n] = self._value(n)
+
+    def _value(self, key: int) -> Value | None:
+        items: list = []
+        n = key + 1
+        while n < self.stops[key]:
+            start, blanks, rest = self.lines[n]
+            if bare := rest.strip():
+                at = start + len(blanks) + rest.index(bare)
+                items.append((FRAME.sub("", bare), at, at + len(bare)))
+            inner = self.values.get(n)
+            if inner is not None:
+                items.append(inner)
+                n = self.stops[n]
+            else:
+                n += 1
+        return Value(items) if items else None
+
+    def below(self, place: int) -> Value | None:
+        """The lines below the one with a place, as one value; none if there is no text."""
+        key = bisect_right(self.starts, place) - 1
+        if key not in self.values:
+            self.values[key] = self._value(key)
+        return self.values[key]
 
 
-def _right_side(text: str, tokens: list, op: int, bound: dict):
+def _right_side(text: str, tokens: list, op: int, bound: dict, blocks: Callable[[], Blocks]):
     """Literals (value, start, end) and values of names behind the operator at token ``op``, and the token to go on from.
 
     Block marks and triple quotes hold text that is read for assignments of its own as well.
@@ -214,8 +254,8 @@ def _right_side(text: str, tokens: list, op: int, bound: dict):
             found.append(bound[text[start:end]])
             at, after = at + 1, False
         elif after and not found and is_op(op, ":") and not wrapped and (m := BLOCK.match(text, start)):
-            stop = _block(text, tokens[op][1], m.end())
-            found += _lines(text, m.end(), stop)
+            if (below := blocks().below(tokens[op][1])) is not None:
+                found.append(below)
             go_on = at + 1
             break
         elif after and bare and not found and (m := (ALONE if wrapped else BARE).match(text, start)) and (not depth or wrapped):
@@ -274,6 +314,7 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     bound: dict[str, Value] = {}
     out, told = set(elements), {}
     tokens = tokens_of(text)
+    blocks = cache(lambda: Blocks(text))
     go_on = 1
     for n in [n for n, t in enumerate(tokens) if t[0] == "op"]:
         op = text[tokens[n][1] : tokens[n][2]]
@@ -287,7 +328,7 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
         if tokens[target][0] not in ("name", "str"):
             continue
         name = text[tokens[target][1] : tokens[target][2]].strip("\"'")
-        literals, go_on = _right_side(text, tokens, n, bound)
+        literals, go_on = _right_side(text, tokens, n, bound, blocks)
         if literals:
             bound[name] = value = literals[0] if len(literals) == 1 and isinstance(literals[0], Value) else Value(literals)
             points = name_points(name)

@@ -1,15 +1,15 @@
 """Operator 4: token counts that follow edits.
 
-A document is kept as a segment tree over its pre-tokens: every leaf is a run of pre-tokens with its number of
-characters and tokens, and every inner node is the sum of its two children.  An edit re-splits only from shortly
-before the edited place until the new pre-tokens fall in step with the old ones again, encodes only those, and
-updates the sums on the paths above.
+A document is kept as a segment tree over its pre-tokens: every node holds a run of pre-tokens with its text, and the
+numbers of characters and tokens of its subtree.  An edit re-splits only from shortly before the edited place until the
+new pre-tokens fall in step with the old ones again, encodes only those, and updates the sums on the paths above.
 """
 
 from __future__ import annotations
 
+import random
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 
@@ -40,104 +40,168 @@ class PretokenCounts(dict):
         return n
 
 
+class Leaf:
+    """A node of the tree: a run of pre-tokens with its own text, and the sums of its subtree."""
+
+    __slots__ = ("text", "pieces", "own_tokens", "left", "right", "chars", "tokens", "size")
+
+    def __init__(self, text: str, pieces: list[tuple[int, int]]):
+        self.text, self.pieces, self.own_tokens = text, pieces, sum(t for _, t in pieces)
+        self.left: Leaf | None = None
+        self.right: Leaf | None = None
+
+
 class CountedDocument:
     """Text with its token count kept up to date under edits.
 
-    Special tokens spelled out in the text count as ordinary characters.
+    Leaves stand in a binary tree in the order of the text.  Trees are cut before a leaf and joined again, where the root is
+    taken from either side by chance in proportion to the sizes, so the depth stays logarithmic.  An edit takes out the
+    leaves that it touches, without looking at others, and puts their successors in their place.  Special tokens spelled out
+    in the text count as ordinary characters.
     """
 
     def __init__(self, text: str, counts: PretokenCounts):
-        self.text, self.counts, self.split = text, counts, counts.vocabulary.split
-        self.encoded = 0
+        self.counts, self.split = counts, counts.vocabulary.split
+        self.encoded = self.touched = 0
+        self._chance = random.Random(0)
         pieces = self.split.findall(text)
-        self.leaves = [self._leaf(pieces[at : at + LEAF]) for at in range(0, len(pieces), LEAF)]
-        self._build()
-
-    def _leaf(self, pieces: list[str]) -> list[tuple[int, int]]:
         self.encoded += len(pieces)
-        return list(zip(map(len, pieces), map(self.counts.__getitem__, pieces)))
-
-    def _sums(self, leaf: list[tuple[int, int]]) -> tuple[int, int]:
-        return sum(n for n, _ in leaf), sum(t for _, t in leaf)
-
-    def _build(self) -> None:
-        """Inner nodes in heap order; leaves start at ``width``."""
-        self.width = 1
-        while self.width < len(self.leaves):
-            self.width *= 2
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for n, leaf in enumerate(self.leaves):
-            self.chars[self.width + n], self.tokens[self.width + n] = self._sums(leaf)
-        for node in range(self.width - 1, 0, -1):
-            self._add_up(node)
-
-    def _add_up(self, node: int) -> None:
-        self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-        self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
-
-    def _update(self, leaf: int) -> None:
-        node = self.width + leaf
-        self.chars[node], self.tokens[node] = self._sums(self.leaves[leaf])
-        while node := node // 2:
-            self._add_up(node)
+        self.root = self._tree(self._leaves(text, [(len(p), self.counts[p]) for p in pieces]))
+
+    def _leaves(self, text: str, pieces: list[tuple[int, int]]) -> list[Leaf]:
+        out, at = [], 0
+        for n in range(0, len(pieces), LEAF):
+            own = pieces[n : n + LEAF]
+            end = at + sum(c for c, _ in own)
+            out.append(Leaf(text[at:end], own))
+            at = end
+        return out
+
+    def _tree(self, leaves: list[Leaf]) -> Leaf | None:
+        if not leaves:
+            return None
+        middle = len(leaves) // 2
+        leaves[middle].left, leaves[middle].right = self._tree(leaves[:middle]), self._tree(leaves[middle + 1 :])
+        return self._sums(leaves[middle])
+
+    def _sums(self, node: Leaf) -> Leaf:
+        self.touched += 1
+        node.chars, node.tokens, node.size = len(node.text), node.own_tokens, 1
+        for child in (node.left, node.right):
+            if child is not None:
+                node.chars += child.chars
+                node.tokens += child.tokens
+                node.size += child.size
+        return node
+
+    def _join(self, a: Leaf | None, b: Leaf | None) -> Leaf | None:
+        if a is None or b is None:
+            return a or b
+        if self._chance.random() * (a.size + b.size) < a.size:
+            a.right = self._join(a.right, b)
+            return self._sums(a)
+        b.left = self._join(a, b.left)
+        return self._sums(b)
+
+    def _cut(self, node: Leaf | None, at: int) -> tuple[Leaf | None, Leaf | None]:
+        """The leaves before the one that holds the character ``at``, and the others; the end of the text is in the last."""
+        if node is None:
+            return None, None
+        before = node.left.chars if node.left is not None else 0
+        if at < before:
+            left, node.left = self._cut(node.left, at)
+            return left, self._sums(node)
+        if at < before + len(node.text) or node.right is None:
+            left, node.left = node.left, None
+            return left, self._sums(node)
+        node.right, right = self._cut(node.right, at - before - len(node.text))
+        return self._sums(node), right
+
+    def _first(self, node: Leaf) -> tuple[Leaf, Leaf | None]:
+        """The first leaf, and the tree without it."""
+        if node.left is None:
+            return node, node.right
+        first, node.left = self._first(node.left)
+        return first, self._sums(node)
 
     @property
     def n_tokens(self) -> int:
-        return self.tokens[1]
-
-    def _find(self, at: int) -> tuple[int, int]:
-        """Leaf that holds the character ``at`` (the last leaf for the end of the text), and its first character."""
-        node, before = 1, 0
-        while node < self.width:
-            node *= 2
-            if at >= before + self.chars[node] and self.chars[node + 1]:
-                before += self.chars[node]
-                node += 1
-        return node - self.width, before
+        return self.root.tokens if self.root is not None else 0
+
+    def __len__(self) -> int:
+        return self.root.chars if self.root is not None else 0
+
+    @property
+    def leaves(self) -> list[list[tuple[int, int]]]:
+        return [leaf.pieces for leaf in self._in_order()]
+
+    @property
+    def text(self) -> str:
+        return "".join([leaf.text for leaf in self._in_order()])
+
+    def _in_order(self) -> Iterator[Leaf]:
+        open_, node = [], self.root
+        while open_ or node is not None:
+            while node is not None:
+                open_.append(node)
+                node = node.left
+            node = open_.pop()
+            yield node
+            node = node.right
 
     def edit(self, start: int, end: int, replacement: str) -> None:
         """Replace the characters from ``start`` to before ``end``."""
-        if not 0 <= start <= end <= len(self.text):
+        if not 0 <= start <= end <= len(self):
             raise ValueError(f"edit {start}:{end} is outside the text")
+        before, rest = self._cut(self.root, max(0, start - LOOKAHEAD))
+        at = before.chars if before is not None else 0
+        text, pieces, kept = "", [], 0
+
+        def pull() -> None:
+            """Take more leaves: one, and then as much text as there is already, so that none is copied often."""
+            nonlocal rest, text
+            more = []
+            while rest is not None and sum(map(len, more)) <= len(text):
+                leaf, rest = self._first(rest)
+                more.append(leaf.text)
+                pieces.extend(leaf.pieces)
+            text += "".join(more)
+
+        while rest is not None and (not pieces or at + len(text) < end):
+            pull()
+        # pre-tokens that end too far before the edit to have seen it
+        low = 0
+        while kept < len(pieces) and at + low + pieces[kept][0] + LOOKAHEAD <= start:
+            low += pieces[kept][0]
+            kept += 1
+        text = text[: start - at] + replacement + text[end - at :]
         shift = len(replacement) - (end - start)
-        self.text = self.text[:start] + replacement + self.text[end:]
-        if not self.leaves:
-            self.leaves = [[]]
-            self._build()
-        first, at = self._find(max(0, start - LOOKAHEAD))
-        keep: list[tuple[int, int]] = []
-        for n, t in self.leaves[first]:
-            if at + n + LOOKAHEAD > start:
-                break
-            keep.append((n, t))
-            at += n
-        # old pre-token starts at or behind the edit's end, shifted: where the new split may fall in step
-        last, skip = first, len(keep)
-        old = at
-        fresh: list[tuple[int, int]] = []
-        new = at
-        matches = self.split.finditer(self.text, at)
+        # old starts of pre-tokens at or behind the edit's end, shifted: where the new split may fall in step
+        old, new, skip, fresh = low, low, kept, []
         while True:
-            while (old < end or old + shift < new) and last < len(self.leaves):
-                if skip >= len(self.leaves[last]):
-                    last, skip = last + 1, 0
-                    continue
-                old += self.leaves[last][skip][0]
+            while old < end - at or old + shift < new:
+                if skip == len(pieces):
+                    if rest is None:
+                        break
+                    pull()
+                old += pieces[skip][0]
                 skip += 1
-            if old >= end and old + shift == new:
+            if old >= end - at and old + shift == new:
                 break
-            piece = next(matches).group()
+            match = self.split.match(text, new)
+            if match is None or match.end() + LOOKAHEAD > len(text) and rest is not None:
+                pull()
+                continue
+            piece = match.group()
             self.encoded += 1
             fresh.append((len(piece), self.counts[piece]))
-            new += len(piece)
-        rest = self.leaves[last][skip:] if last < len(self.leaves) else []
-        merged = keep + fresh + rest
-        if last in (first, len(self.leaves)) and last - first <= 1 and len(merged) <= LEAF_MOST:
-            self.leaves[first] = merged
-            self._update(first)
+            new = match.end()
+        merged = pieces[:kept] + fresh + pieces[skip:]
+        if len(merged) > LEAF_MOST:
+            middle = self._tree(self._leaves(text, merged))
         else:
-            self.leaves[first : last + 1] = [merged[n : n + LEAF] for n in range(0, len(merged), LEAF)]
-            self._build()
+            middle = self._sums(Leaf(text, merged)) if merged else None
+        self.root = self._join(self._join(before, middle), rest)
 
 
 _counts: dict[str, PretokenCounts] = {}
