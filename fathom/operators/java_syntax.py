@@ -2,16 +2,20 @@
 
 Text is cut into tokens without comments; declarations are recognised by their shape, from the braces around them.  What
 can't be parsed is skipped to the next brace or semicolon, so broken files give what their sound parts hold.
+
+Files that programs write can be nested very deeply, so nothing here calls itself: brackets are matched once, bodies wait in
+a list, and statements that hold statements are generators that :func:`unrolled` runs on a stack of its own.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Generator, Iterator
+from heapq import heappop, heappush
 from typing import NamedTuple
 
 from fathom.functions.naming import to_camel_case, to_pascal_case
-from fathom.functions.text import split_lines
 from fathom.operators.source_rules import CAMEL, PASCAL, Finding, SourceFile, rule
 
 TOKEN = re.compile(r'(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<text>"""(?:.*?)"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\')|(?P<word>[^\W\d]\w*|\$\w*)|(?P<number>\d[\w.]*)|(?P<mark>->|::|\+\+|--|&&|\|\||[=!<>+\-*/%&|^]=|\.\.\.|.)', re.S)
@@ -40,38 +44,59 @@ def tokens(text: str) -> list[Token]:
     return [Token(m.lastgroup, m[0], m.start()) for m in TOKEN.finditer(text) if m.lastgroup != "skip"]
 
 
+def unrolled(call: Generator):
+    """The result of a generator that yields calls, of which it is sent the results."""
+    stack, value = [call], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
 class Scanner:
     def __init__(self, text: str):
         self.t = tokens(text)
         self.found: list[Declaration] = []
-        self._types(0, len(self.t))
+        self._match()
+        #: What is still to be gone through: members of a type, or a body.
+        self.open = [(self._types, 0, len(self.t))]
+        while self.open:
+            part, i, stop = self.open.pop()
+            part(i, stop)
+        self.found.sort(key=lambda d: d.at)
+
+    def _match(self) -> None:
+        """For each opening bracket and each ``<`` of a list, the token behind the one that closes it."""
+        self.closed: dict[int, int] = {}
+        self.listed: dict[int, int] = {}
+        brackets, angles = [], []
+        for i, (_, text, _) in enumerate(self.t):
+            if text in ("(", "[", "{"):
+                brackets.append(i)
+            elif text in (")", "]", "}") and brackets:
+                self.closed[brackets.pop()] = i + 1
+            if text == "<":
+                angles.append(i)
+            elif text == ">" and angles:
+                self.listed[angles.pop()] = i + 1
+            elif text in ("{", "}", ";", "(", "="):
+                angles.clear()
 
     def _is(self, i: int, text: str) -> bool:
         return 0 <= i < len(self.t) and self.t[i].text == text
 
     def close(self, i: int, stop: int | None = None) -> int:
-        """Token behind the bracket that closes the one at ``i``."""
-        depth, stop = 0, len(self.t) if stop is None else stop
-        while i < stop:
-            depth += self.t[i].text in ("(", "[", "{")
-            depth -= self.t[i].text in (")", "]", "}")
-            i += 1
-            if depth == 0:
-                return i
-        return stop
+        """Token behind the bracket that closes the opening one at ``i``, or the end."""
+        stop = len(self.t) if stop is None else stop
+        return min(self.closed.get(i, stop), stop)
 
     def angles(self, i: int) -> int:
         """Token behind a list in angle brackets at ``i``; ``i`` if there is none."""
-        if not self._is(i, "<"):
-            return i
-        depth, at = 0, i
-        while at < len(self.t) and self.t[at].text not in ("{", "}", ";", "(", "="):
-            depth += self.t[at].text == "<"
-            depth -= self.t[at].text == ">"
-            at += 1
-            if depth == 0:
-                return at
-        return i
+        return self.listed.get(i, i)
 
     def _parameters(self, i: int, end: int) -> None:
         """Names of the type parameters between the angle brackets at ``i``."""
@@ -109,7 +134,7 @@ class Scanner:
                 i = self._type(i, stop)
             elif word == "{":
                 end = self.close(i, stop)
-                self._body(i + 1, end - 1)
+                self.open.append((self._body, i + 1, end - 1))
                 i = end
             elif word in MODIFIERS or self.t[i].kind != "word" and word != "<":
                 i += 1
@@ -128,16 +153,10 @@ class Scanner:
         last = self.close(end, stop)
         start = end + 1
         if kind == "enum":  # constants, up to the first semicolon of the body
-            depth = 0
-            for k in range(start, last - 1):
-                depth += self.t[k].text in "({["
-                depth -= self.t[k].text in ")}]"
-                if self.t[k].text == ";" and depth == 0:
-                    start = k + 1
-                    break
-            else:
-                start = last - 1
-        self._types(start, last - 1)
+            while start < last - 1 and self.t[start].text != ";":
+                start = self.close(start, last - 1) if self.t[start].text in ("(", "[", "{") else start + 1
+            start = min(start + 1, last - 1)
+        self.open.append((self._types, start, last - 1))
         return last
 
     def _member(self, i: int, stop: int) -> int:
@@ -151,13 +170,9 @@ class Scanner:
             i = max(self.angles(i), i + 1)
         if not self._is(i, "("):
             while i < stop and self.t[i].text not in (";", "}"):
-                if self.t[i].text == "{":
-                    end = self.close(i, stop)
-                    self._body(i + 1, end - 1)
-                    i = end
-                elif self.t[i].text in ("(", "["):
+                if self.t[i].text in ("{", "(", "["):
                     end = self.close(i, stop)
-                    self._body(i + 1, end - 1)
+                    self.open.append((self._body, i + 1, end - 1))
                     i = end
                 else:
                     i += 1
@@ -174,7 +189,7 @@ class Scanner:
             end = last - 1
         if name.kind == "word":
             self.found.append(Declaration("method" if typed else "constructor", name.text, name.at, body))
-        self._body(*body)
+        self.open.append((self._body, *body))
         return max(end + 1, start + 1)
 
     def _body(self, i: int, stop: int) -> None:
@@ -193,9 +208,8 @@ class Scanner:
                 if self._is(k, "("):
                     end = self.close(k, stop)
                     if self._is(end, "{"):
-                        self._body(k + 1, end - 1)
                         last = self.close(end, stop)
-                        self._types(end + 1, last - 1)
+                        self.open += [(self._body, k + 1, end - 1), (self._types, end + 1, last - 1)]
                         i, starts = last, False
                         continue
             if starts and (end := self._local(i, stop)):
@@ -224,8 +238,11 @@ class Scanner:
         self.found.append(Declaration("local", self.t[k].text, self.t[k].at))
         at, depth = k + 1, 0
         while at < stop and not (depth == 0 and self.t[at].text == ";"):  # further names of the declaration
-            depth += self.t[at].text in "({[<"
-            depth -= self.t[at].text in ")}]>"
+            if self.t[at].text in ("(", "[", "{"):
+                at = self.close(at, stop)
+                continue
+            depth += self.t[at].text == "<"
+            depth -= self.t[at].text in (")", "}", "]", ">")
             if depth < 0:
                 break
             if depth == 0 and self.t[at].text == "," and at + 2 < stop and self.t[at + 1].kind == "word" and self.t[at + 2].text in ("=", ",", ";"):
@@ -236,8 +253,9 @@ class Scanner:
 
 def place(source: SourceFile, at: int) -> tuple[int, int]:
     """Line and byte column of a place."""
-    start = source.text.rfind("\n", 0, at) + 1
-    return source.text.count("\n", 0, at) + 1, len(source.text[start:at].encode()) + 1
+    before = bisect_left(source.feeds, at)
+    start = source.feeds[before - 1] + 1 if before else 0
+    return before + 1, len(source.text[start:at].encode()) + 1
 
 
 def scan(source: SourceFile) -> Scanner:
@@ -267,88 +285,119 @@ name_rule("Naming:S120", ("package",), lambda n: re.fullmatch(r"[a-z][a-z0-9]*(\
 # Null values along a method's paths
 
 NULL, SET, MAYBE = "null", "set", "maybe"
-
-
-def join(a: dict[str, str], b: dict[str, str]) -> dict[str, str]:
-    """What is known where two paths meet; a variable known on one path only may be null."""
-    return {k: a[k] if a.get(k) == b.get(k) else MAYBE for k in a.keys() | b.keys()}
+#: What is known of variables: null or set; of one that isn't in it, neither.
+State = dict[str, str]
+#: A condition's tokens, and whether it holds.
+Condition = tuple[int, int, bool]
 
 
 class NullFlow:
     """Dereferences of values that are or may be null, in the statements of a body.
 
-    A state maps variables to null, set or maybe; unknown names may be null.  Branches are followed with what their
-    condition says of a variable, loops until nothing changes.
+    The body becomes a graph: a node stands for a simple statement or a place where paths meet, and an edge may say that a
+    condition holds or doesn't.  One list of nodes whose state has changed is worked off for the whole body, in the order of
+    the text, until nothing changes; states only ever lose what they know, so that ends.  Then each statement is looked at once.
     """
 
-    def __init__(self, scanner: Scanner):
+    def __init__(self, scanner: Scanner, start: int, stop: int):
         self.s, self.t = scanner, scanner.t
-        self.found: dict[tuple[int, str], str] = {}
-
-    def block(self, i: int, stop: int, state: dict[str, str] | None) -> dict[str, str] | None:
-        """State behind the statements; None if no path gets there."""
-        while i < stop and state is not None:
-            i, state = self.statement(i, stop, state)
-        return state
+        self.steps: list[tuple[int, int] | None] = []
+        self.edges: list[list[tuple[int, Condition | None]]] = []
+        unrolled(self._block(start, stop, self._node()))
+        self.states = self._fixpoint()
+        self.found = {key: known for n, step in enumerate(self.steps) if step and self.states[n] is not None for key, known in self._dereferenced(*step, self.states[n])}
+
+    def _node(self, *before: tuple[int, Condition | None], step: tuple[int, int] | None = None) -> int:
+        self.steps.append(step)
+        self.edges.append([])
+        for n, condition in before:
+            self.edges[n].append((len(self.steps) - 1, condition))
+        return len(self.steps) - 1
+
+    # The graph: each part takes the node before it and gives the one behind it, or none if no path gets there
+
+    def _block(self, i: int, stop: int, node: int | None) -> Generator:
+        while i < stop and node is not None:
+            i, node = yield self._statement(i, stop, node)
+        return node
 
     def _end(self, i: int, stop: int) -> int:
         """Token of the semicolon that ends the statement at ``i``."""
         while i < stop and self.t[i].text != ";":
-            i = self.s.close(i, stop) if self.t[i].text in "({[" else i + 1
+            i = self.s.close(i, stop) if self.t[i].text in ("(", "[", "{") else i + 1
         return i
 
-    def _after(self, i: int, stop: int, state):
+    def _after(self, i: int, stop: int, node: int) -> Generator:
         if i < stop and self.t[i].text == "{":
             end = self.s.close(i, stop)
-            return end, self.block(i + 1, end - 1, state)
-        return self.statement(i, stop, state) if i < stop else (stop, state)
+            return end, (yield self._block(i + 1, end - 1, node))
+        return (yield self._statement(i, stop, node)) if i < stop else (stop, node)
 
-    def statement(self, i: int, stop: int, state: dict[str, str]):
+    def _statement(self, i: int, stop: int, node: int) -> Generator:
         word = self.t[i].text
         if word == "{":
             end = self.s.close(i, stop)
-            return end, self.block(i + 1, end - 1, dict(state))
+            return end, (yield self._block(i + 1, end - 1, node))
         if word == "if" and self.s._is(i + 1, "("):
             end = self.s.close(i + 1, stop)
-            yes, no = self.refined(i + 2, end - 1, state)
-            at, then = self._after(end, stop, yes)
-            other = no
+            at, then = yield self._after(end, stop, self._node((node, (i + 2, end - 1, True))))
+            other = self._node((node, (i + 2, end - 1, False)))
             if at < stop and self.t[at].text == "else":
-                at, other = self._after(at + 1, stop, no)
-            return at, then if other is None else other if then is None else join(then, other)
+                at, other = yield self._after(at + 1, stop, other)
+            ends = [(n, None) for n in (then, other) if n is not None]
+            return at, self._node(*ends) if ends else None
         if word in ("while", "for") and self.s._is(i + 1, "("):
             end = self.s.close(i + 1, stop)
-            if word == "for":
-                first = self._end(i + 2, end - 1)
-                if first < end - 1:
-                    _, state = self.statement(i + 2, end - 1, dict(state))
-            at = end
-            for _ in range(1000):
-                inner = self.refined(i + 2, end - 1, state)[0] if word == "while" else dict(state)
-                at, after = self._after(end, stop, inner)
-                merged = state if after is None else join(state, after)
-                if merged == state:
-                    break
-                state = merged
-            return at, self.refined(i + 2, end - 1, state)[1] if word == "while" else state
+            if word == "for" and self._end(i + 2, end - 1) < end - 1:
+                _, first = yield self._statement(i + 2, end - 1, node)
+                node = node if first is None else first
+            head = self._node((node, None))
+            says = lambda holds: (i + 2, end - 1, holds) if word == "while" else None
+            at, last = yield self._after(end, stop, self._node((head, says(True))))
+            if last is not None:
+                self.edges[last].append((head, None))
+            return at, self._node((head, says(False)))
         if word == "try":
             at = self.s.close(i + 1, stop) if self.s._is(i + 1, "(") else i + 1
-            at, after = self._after(at, stop, dict(state))
+            at, last = yield self._after(at, stop, self._node((node, None)))
             while at < stop and self.t[at].text in ("catch", "finally"):
                 at = self.s.close(at + 1, stop) if self.s._is(at + 1, "(") else at + 1
                 at = self.s.close(at, stop) if self.s._is(at, "{") else at + 1
-            return at, state if after is None else join(state, after)
+            return at, self._node((node, None), *[(last, None)] * (last is not None))
         if word in ("do", "switch", "synchronized", "else", "catch", "finally"):  # not followed
             at = i + 1
-            while at < stop and self.t[at].text in "({":
+            while at < stop and self.t[at].text in ("(", "{"):
                 at = self.s.close(at, stop)
-            return max(at, i + 1), state
+            return max(at, i + 1), node
         end = self._end(i, stop)
-        if word in ("return", "throw", "break", "continue"):
-            return end + 1, None if word in ("return", "throw") else state
-        return end + 1, self.simple(i, end, dict(state))
-
-    def value(self, i: int, stop: int, state) -> str:
+        if word in ("return", "throw"):
+            return end + 1, None
+        if word in ("break", "continue"):
+            return end + 1, node
+        return end + 1, self._node((node, None), step=(i, end))
+
+    # States
+
+    def _fixpoint(self) -> list[State | None]:
+        states: list[State | None] = [None] * len(self.steps)
+        states[0] = {}
+        waiting, listed = [0], {0}
+        while waiting:
+            n = heappop(waiting)
+            listed.discard(n)
+            behind = self._behind(n, states[n])
+            for target, condition in self.edges[n]:
+                new, known = self._refined(behind, condition), states[target]
+                # where paths meet, what both know alike stays
+                merged = new if known is None else {k: v for k, v in known.items() if new.get(k) == v}
+                if known is None or len(merged) < len(known):
+                    states[target] = merged
+                    if target not in listed:
+                        listed.add(target)
+                        heappush(waiting, target)
+        return states
+
+    def _value(self, i: int, stop: int, state: State) -> str:
         if stop - i == 1:
             token = self.t[i]
             if token.text == "null":
@@ -356,39 +405,59 @@ class NullFlow:
             if token.kind in ("text", "number") or token.text in ("this", "true", "false"):
                 return SET
             return state.get(token.text, MAYBE)
-        return SET if self.t[i].text == "new" else MAYBE
+        return SET if i < stop and self.t[i].text == "new" else MAYBE
 
-    def simple(self, i: int, end: int, state):
-        equals = next((k for k in range(i, end) if self.t[k].text == "="), None)
-        if equals is not None and equals > i and self.t[equals - 1].kind == "word":
-            state[self.t[equals - 1].text] = self.value(equals + 1, end, state)
-            return state
-        # a call that is the statement itself: everything before the last dot is the receiver
+    def _receiver(self, i: int, end: int) -> tuple[int | None, int]:
+        """Of a call that is the statement itself, the last dot of the name before its arguments; and where the name ends."""
         k, dot = i, None
         while k < end and (self.t[k].kind == "word" or self.t[k].text == "."):
             dot = k if self.t[k].text == "." else dot
             k += 1
-        if dot is not None and dot > i and self.s._is(k, "("):
-            receiver = "".join(t.text for t in self.t[i:dot])
-            if receiver not in ("this", "super"):
-                known = state.get(receiver, MAYBE)
-                if known != SET:
-                    key = (self.t[i].at, receiver)
-                    self.found[key] = known if self.found.get(key, known) == known else MAYBE
-        elif k == i + 1 and k < end and self.t[k].kind == "word":
-            state[self.t[k].text] = MAYBE
-        elif end - i == 2 and self.t[i + 1].kind == "word":
-            state[self.t[i + 1].text] = MAYBE
-        return state
+        return dot, k
 
-    def refined(self, i: int, stop: int, state):
-        """States where a condition holds and where it doesn't."""
-        yes, no = dict(state), dict(state)
+    def _assigned(self, i: int, end: int) -> int | None:
+        """The ``=`` of an assignment to a name."""
+        equals = next((k for k in range(i, end) if self.t[k].text == "="), None)
+        return equals if equals is not None and equals > i and self.t[equals - 1].kind == "word" else None
+
+    def _behind(self, n: int, state: State) -> State:
+        """The state behind a node."""
+        if self.steps[n] is None:
+            return state
+        i, end = self.steps[n]
+        name, value = None, MAYBE
+        if (equals := self._assigned(i, end)) is not None:
+            name, value = self.t[equals - 1].text, self._value(equals + 1, end, state)
+        else:
+            dot, k = self._receiver(i, end)
+            if dot is not None and dot > i and self.s._is(k, "("):
+                pass
+            elif k == i + 1 and k < end and self.t[k].kind == "word":
+                name = self.t[k].text
+            elif end - i == 2 and self.t[i + 1].kind == "word":
+                name = self.t[i + 1].text
+        if name is None or state.get(name, MAYBE) == value:
+            return state
+        state = {k: v for k, v in state.items() if k != name}
+        return state if value == MAYBE else state | {name: value}
+
+    def _dereferenced(self, i: int, end: int, state: State) -> Iterator[tuple[tuple[int, str], str]]:
+        if self._assigned(i, end) is None:
+            dot, k = self._receiver(i, end)
+            if dot is not None and dot > i and self.s._is(k, "("):
+                receiver = "".join(t.text for t in self.t[i:dot])
+                if receiver not in ("this", "super") and (known := state.get(receiver, MAYBE)) != SET:
+                    yield (self.t[i].at, receiver), known
+
+    def _refined(self, state: State, condition: Condition | None) -> State:
+        """The state where a condition holds or doesn't."""
+        if condition is None:
+            return state
+        i, stop, holds = condition
         if stop - i == 3 and self.t[i + 1].text in ("==", "!=") and "null" in (self.t[i].text, self.t[i + 2].text):
             name = self.t[i].text if self.t[i + 2].text == "null" else self.t[i + 2].text
-            equal = self.t[i + 1].text == "=="
-            (yes if equal else no)[name], (no if equal else yes)[name] = NULL, SET
-        return yes, no
+            return state | {name: NULL if (self.t[i + 1].text == "==") == holds else SET}
+        return state
 
 
 @rule("Bug:S2259")
@@ -396,9 +465,7 @@ def null_dereferences(source):
     scanner = scan(source)
     for d in scanner.found:
         if d.kind in ("method", "constructor") and d.body != (0, 0):
-            flow = NullFlow(scanner)
-            flow.block(*d.body, {})
-            for (at, name), known in flow.found.items():
+            for (at, name), known in NullFlow(scanner, *d.body).found.items():
                 line, column = place(source, at)
                 sure = known == NULL
-                yield Finding(line, column, message=f"'{name}' {'is' if sure else 'may be'} null here.", snippet=split_lines(source.text)[line - 1].strip(), severity="blocker" if sure else "major")
+                yield Finding(line, column, message=f"'{name}' {'is' if sure else 'may be'} null here.", snippet=source.lines[line - 1].strip(), severity="blocker" if sure else "major")
