@@ -5,33 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.functions.folders import checkpointed
 
-#: Lines of a report that one task goes through in order.
+#: Lines of a numbered report that one task goes through in order.
 BLOCK_LINES = 1 << 16
 
 
-def _owned(text: DataFrame, opened: Column) -> DataFrame:
-    """``text(source, at, value)`` with the ``file`` whose record a line is in, and ``record``, where that began.
+def _last_records(rows: DataFrame) -> DataFrame:
+    """``(file, line, hits)`` of each file's last record in its report; a file without lines has a row of nulls.
 
-    ``opened`` is the file that a line opens, empty where it closes one, null for other lines.  Lines are gone through in
-    blocks; what is open at a block's start comes from the last mark of the blocks before, of which there is a row each, so
-    a long report isn't one task's.
+    ``rows(source, block, at, opened, line, hits)`` are the lines of a report that open or close a file (``opened`` is its
+    name, or empty) or count a line of code, and no others.  ``at`` orders a block's lines and is unique in the report, and
+    ``block`` orders the blocks.  Each block is gone through by itself; what is open where it starts, and what the next one
+    starts with, come from a table with a row a block, so a long report isn't one task's.  The last record of a file is found
+    among the lines that open one, and lines of earlier ones go in the join with these.
     """
-    block = (F.col("at") / BLOCK_LINES).cast("long")
-    marked = text.select("source", "at", F.trim("value").alias("value"), block.alias("block")).withColumn("mark", F.when(opened.isNotNull(), F.struct(opened.alias("file"), F.col("at").alias("record"))))
-    blocks = marked.groupBy("source", "block").agg(F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("at"))).alias("end"))
-    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select("source", "block", F.last("end", True).over(before).alias("carried"))
+    counts = F.col("line").isNotNull()
+    rows = rows.withColumn("mark", F.when(F.col("opened") == "", F.lit(-1)).when(F.col("opened").isNotNull(), F.col("at")))
+    blocks = rows.groupBy("source", "block").agg(F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("at"))).alias("end"), F.min_by(counts, "at").alias("starts"))
+    along = Window.partitionBy("source").orderBy("block")
+    edges = blocks.select("source", "block", F.last("end", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"), F.lead("starts").over(along).alias("follows"))
     within = Window.partitionBy("source", "block").orderBy("at")
-    open_ = F.coalesce(F.last("mark", True).over(within), "carried")
-    return marked.join(carried, ["source", "block"]).withColumn("open", open_).select("source", "at", "value", "open.file", "open.record", F.col("mark").isNotNull().alias("opens"))
+    record = F.coalesce(F.last("mark", True).over(within), "carried").alias("record")
+    lined = F.coalesce(F.lead(counts).over(within), "follows", F.lit(False)).alias("lined")
+    placed = rows.join(edges, ["source", "block"]).select("source", "opened", "line", "hits", record, lined)
+    heads = rows.where("opened <> ''").groupBy("source", F.col("opened").alias("file")).agg(F.max(F.struct("block", "at"))["at"].alias("record"))
+    return placed.where("line is not null or opened <> '' and not lined").join(heads, ["source", "record"]).select("file", "line", "hits")
 
 
-def _last_records(within: DataFrame, hits: DataFrame) -> DataFrame:
-    """``(file, line, hits)`` of each file's last record in its report; a file without lines has a row of nulls."""
-    heads = within.where("opens and file <> ''").groupBy("source", "file").agg(F.max("record").alias("record"))
-    rows = hits.select("source", "file", "record", "line", "hits")
-    return heads.join(rows, ["source", "file", "record"], "left").select("file", "line", "hits")
+def _relevant(text: DataFrame, opened: Column, counts: Column, line: Column, hits: Column) -> DataFrame:
+    """The rows for :func:`_last_records` of ``text(source, at, value)``, or of ``text(source, block, at, value)``."""
+    block = F.col("block") if "block" in text.columns else (F.col("at") / BLOCK_LINES).cast("long").alias("block")
+    rows = text.select("source", block, "at", opened.alias("opened"), F.when(counts, line).alias("line"), F.when(counts, hits).alias("hits"))
+    return rows.where("opened is not null or line is not null")
+
+
+def _lcov_rows(text: DataFrame) -> DataFrame:
+    value = F.trim("value")
+    opened = F.when(value.startswith("SF:"), F.substring(value, F.lit(4), F.length(value))).when(value == "end_of_record", F.lit(""))
+    parts = F.split(F.substring(value, F.lit(4), F.length(value)), ",")
+    many = F.least(parts[1].try_cast("decimal(38,0)").cast("double"), F.lit(2.0**62)).cast("long")
+    return _relevant(text, opened, value.rlike(r"^DA:\+?[0-9]+,\+?[0-9]+(,|$)"), parts[0].try_cast("long"), many)
 
 
 def lcov_lines(text: DataFrame) -> DataFrame:
@@ -41,11 +55,14 @@ def lcov_lines(text: DataFrame) -> DataFrame:
     numbers aren't whole and positive.  Of a file that occurs twice in a trace the last record counts, with its lines only;
     one without lines has a row of nulls.
     """
+    return _last_records(_lcov_rows(text))
+
+
+def _jacoco_rows(text: DataFrame) -> DataFrame:
     value = F.trim("value")
-    within = _owned(text, F.when(value.startswith("SF:"), F.substring(value, F.lit(4), F.length(value))).when(value == "end_of_record", F.lit("")))
-    hits = within.where(F.col("value").rlike(r"^DA:\+?[0-9]+,\+?[0-9]+(,|$)") & (F.col("file") != ""))
-    parts = F.split(F.substring("value", F.lit(4), F.length("value")), ",")
-    return _last_records(within, hits.select("*", parts[0].try_cast("long").alias("line"), parts[1].try_cast("decimal(38,0)").cast("double").alias("n")).select("*", F.least(F.col("n"), F.lit(2.0**62)).cast("long").alias("hits")).where("line is not null"))
+    opened = F.when(value.contains("<sourcefile") & value.rlike(r'name="[^"]*"'), F.regexp_extract(value, r'name="([^"]*)"', 1))
+    number = lambda c: F.coalesce(F.regexp_extract(value, rf'{c}="\+?([0-9]+)"', 1).try_cast("long"), F.lit(0))
+    return _relevant(text, opened, value.contains("<line") & value.contains("nr=") & (number("nr") > 0), number("nr"), number("ci"))
 
 
 def jacoco_lines(text: DataFrame) -> DataFrame:
@@ -54,31 +71,35 @@ def jacoco_lines(text: DataFrame) -> DataFrame:
     A file's lines are those up to the next ``sourcefile``; a line without a number above 0 is skipped, and one without
     instructions counts as not covered.  Files that repeat or have no lines are as in :func:`lcov_lines`.
     """
-    value = F.col("value")
-    name = F.when(value.contains("<sourcefile"), F.regexp_extract(value, r'name="([^"]*)"', 1))
-    within = _owned(text, F.when(value.rlike(r'name="[^"]*"'), name))
-    number = lambda c: F.coalesce(F.regexp_extract("value", rf'{c}="\+?([0-9]+)"', 1).try_cast("long"), F.lit(0))
-    hits = within.where(F.col("value").contains("<line") & F.col("value").contains("nr=") & (F.col("file") != ""))
-    return _last_records(within, hits.select("*", number("nr").alias("line"), number("ci").alias("hits")).where("line > 0"))
+    return _last_records(_jacoco_rows(text))
+
+
+def report_lines(spark, path: str) -> DataFrame:
+    """``(source, block, at, value)`` of the lines of a report, which is read in splits.
+
+    A block is what one split holds of one file, by its place in it; the lines of a block are in order of ``at``.  The
+    numbers aren't the same in every pass over the file, since splits follow the cores that there are, so what is made of
+    them has to be written once.
+    """
+    text = spark.read.text(path)
+    return text.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
 
 
 def read_coverage(spark, path: str) -> DataFrame:
     """Coverage of one report; its form is told by the path's ending, or else by what it holds.
 
-    A report is read as one row and cut into numbered lines in the task that reads it; these are then dealt out in blocks.
+    The report is read in splits, however long it is.  The lines that say something are kept as numbers in the shared folder.
     """
-    whole = spark.read.text(path, wholetext=True)
-    text = whole.select(F.lit(path).alias("source"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+    text = report_lines(spark, path)
     low = path.lower()
-    if low.endswith(".xml"):
-        return jacoco_lines(text)
-    if low.endswith((".info", ".lcov")):
-        return lcov_lines(text)
-    xml = F.ltrim("value").startswith("<?xml") | F.col("value").contains("<report")
-    form = whole.select(F.when(xml, "xml").when(F.col("value").contains("SF:"), "trace")).first()
-    if form is None or form[0] is None:
-        raise ValueError(f"{path}: neither a trace nor an XML report")
-    return jacoco_lines(text) if form[0] == "xml" else lcov_lines(text)
+    xml = low.endswith(".xml")
+    if not low.endswith((".xml", ".info", ".lcov")):
+        tag = F.col("value").contains("<report") | (F.ltrim("value").startswith("<?xml") & (F.col("at") == 0))
+        form = text.agg(F.bool_or(tag).alias("xml"), F.bool_or(F.col("value").contains("SF:")).alias("trace")).first()
+        xml = bool(form.xml)
+        if not xml and not form.trace:
+            raise ValueError(f"{path}: neither a trace nor an XML report")
+    return _last_records(checkpointed(_jacoco_rows(text) if xml else _lcov_rows(text)))
 
 
 def file_coverage(covered: DataFrame) -> DataFrame:
