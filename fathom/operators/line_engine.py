@@ -12,8 +12,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.functions.predicates import SparkDialect, node_pieces
+from fathom.functions.predicates import SparkDialect, needed_pieces, node_pieces
 from fathom.functions.text import lines, trim
+from fathom.operators.counted_rules import ON_FILES, ON_LINES, Counted
 from fathom.operators.file_pass import EDIT, FINDING
 from fathom.operators.suppression import mark_ids
 from fathom.sources.catalog import Rule, load
@@ -52,7 +53,7 @@ def _around(at: Column) -> Column:
 
 
 def headed_lines(files: DataFrame, keep: list[str], found: str | None, names: str | None, context: bool = False) -> DataFrame:
-    """The lines of every file that could be read behind a row for the file itself, which has no text and is line 0.
+    """The lines of every file of ``files(path, cut)`` behind a row for the file itself, which has no text and is line 0.
 
     That row alone has ``found``, the file's own findings, ``names``, those of predicates on it, and ``first``, the text of
     its first line; so what belongs to a file isn't copied to its lines.  With ``context``, ``around`` is the hash of the lines
@@ -64,8 +65,7 @@ def headed_lines(files: DataFrame, keep: list[str], found: str | None, names: st
     around = lambda at: (_around(at) if context else none("decimal(20,0)")).alias("around")
     line = lambda t, at: F.struct(*_facets(t), none(own).alias("found"), none("string").alias("names"), none("string").alias("first"), around(at))
     head = F.struct(*[none("string").alias(c) for c in ("text", "lowered", "trimmed")], F.lit(False).alias("wide"), of_file(found, own).alias("found"), of_file(names, "string").alias("names"), F.get("cut", F.lit(0)).alias("first"), around(F.lit(0)))
-    cut = files.where("src is not null").withColumn("cut", lines(F.col("src")))
-    rows = cut.select("path", *keep, F.posexplode(F.concat(F.array(head), F.transform("cut", line))).alias("line", "of"))
+    rows = files.select("path", *keep, F.posexplode(F.concat(F.array(head), F.transform("cut", line))).alias("line", "of"))
     return rows.select("path", "line", "of.text", "of.lowered", "of.trimmed", "of.wide", *[f"of.{c}" for c in last], *keep)
 
 
@@ -99,7 +99,14 @@ def shared_pieces(pieces: dict[int, tuple[str, bool]]) -> list[tuple[str, bool,
     return out
 
 
-def _line_names(rules: list[Rule], dialect: SparkDialect) -> str:
+def _repeated(ordinal: int, rule: Counted) -> str:
+    """SQL: the ordinal as often as a counted rule has findings, joined; null if it has none."""
+    if rule.count == "1":
+        return f"if({rule.where}, '{ordinal}', null)"
+    return f"if({rule.where}, array_join(array_repeat('{ordinal}', {rule.count}), ','), null)"
+
+
+def _line_names(rules: list[Rule], dialect: SparkDialect, counted: list[Rule] = ()) -> str:
     """SQL: the ordinals of the rules that hold on a line.
 
     Rules whose every match needs a piece of text are tried where a part of it is found, which several rules share, so most
@@ -107,14 +114,16 @@ def _line_names(rules: list[Rule], dialect: SparkDialect) -> str:
     """
     held = {r.ordinal: f"if({dialect.render(r.predicate())}, '{r.ordinal}', null)" for r in rules}
     needed = {r.ordinal: node_pieces(r.predicate()) for r in rules}
+    held |= {r.ordinal: _repeated(r.ordinal, ON_LINES[r.key]) for r in counted}
+    needed |= {r.ordinal: needed_pieces(ON_LINES[r.key].needed) for r in counted if ON_LINES[r.key].needed}
     gates = shared_pieces({n: (pieces[0], ignore) for n, (pieces, ignore) in needed.items() if len(pieces) == 1})
     parts = [f"if(wide or contains({'lowered' if ignore else 'text'}, {dialect.text(text)}), {_joined([held.pop(n) for n in mine])}, null)" for text, ignore, mine in gates]
     parts += held.values()
     return _joined([_joined(parts[at : at + CHUNK]) for at in range(0, len(parts), CHUNK)]) if parts else "''"
 
 
-def all_hits(files: DataFrame, rules: list[Rule], on_files: list[Rule] = (), found: Column | None = None, marks: bool = False, keep: list[str] = (), context: bool = False) -> DataFrame:
-    """The hits of predicates on lines and on files, and the findings in ``found``, of one pass over ``files(path, src)``.
+def all_hits(files: DataFrame, rules: list[Rule], on_files: list[Rule] = (), found: Column | None = None, marks: bool = False, keep: list[str] = (), context: bool = False, counted: list[Rule] = ()) -> DataFrame:
+    """The hits of predicates on lines and on files, of the rules in ``counted``, and the findings in ``found``, of one pass over ``files(path, src)``.
 
     Rows are ``path``, the columns in ``keep`` of the file, and those of a finding.  Predicates on files are hits on line 1
     without a text.
@@ -122,15 +131,17 @@ def all_hits(files: DataFrame, rules: list[Rule], on_files: list[Rule] = (), fou
     couldn't be read has no hits.
     """
     dialect = SparkDialect(facts=[])
-    names = _line_names(rules, dialect)
+    names = _line_names(rules, dialect, [r for r in counted if r.key in ON_LINES])
     plain, on_files, keep = SparkDialect(), list(on_files), list(keep)
-    if dialect.facts or on_files:
+    of_files = [(r.ordinal, plain.render(r.predicate())) for r in on_files] + [(r.ordinal, ON_FILES[r.key]) for r in counted if r.key in ON_FILES]
+    files = files.where("src is not null").withColumn("cut", lines(F.col("src")))
+    if dialect.facts or of_files:
         files = files.withColumn("src_wide", F.col("src").rlike(r"[^\x00-\x7f]"))
     facts = [F.expr(plain.render(node)).alias(f"fact_{n}") for n, node in enumerate(dialect.facts)]
-    of_file = [F.expr(_names([(r.ordinal, plain.render(r.predicate())) for r in on_files])).alias("file_names")] if on_files else []
+    of_file = [F.expr(_names(of_files)).alias("file_names")] if of_files else []
     of_file += [found.alias("file_found")] if found is not None else []
     fact_names = [f"fact_{n}" for n in range(len(facts))]
-    cut = headed_lines(files.select("path", "src", *keep, *facts, *of_file), [*keep, *fact_names], "file_found" if found is not None else None, "file_names" if on_files else None, context)
+    cut = headed_lines(files.select("path", "cut", *keep, *facts, *of_file), [*keep, *fact_names], "file_found" if found is not None else None, "file_names" if of_files else None, context)
     ids = mark_ids(F.coalesce("text", "first")) if marks else F.lit(None).cast("array<string>")
     # a function that isn't compiled takes this projection out of whole-stage compilation, whose one method would be too long
     path = F.expr("element_at(transform(array(path), p -> p), 1)").alias("path")

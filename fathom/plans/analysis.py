@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.operators.counted_rules import KEYS
 from fathom.operators.file_pass import findings, with_fix
 from fathom.operators.line_engine import all_hits, file_predicates, line_rules
 from fathom.operators.modules import with_module
@@ -64,8 +65,8 @@ def described(hits: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 def issues_of_rules(files: DataFrame, rules: list[Rule], limits: Limits = Limits(), custom: tuple[CustomRule, ...] = (), suppress: bool = True, modules: DataFrame | None = None, context: bool = False) -> DataFrame:
     """Issues of these rules in ``files(path, src)``, without the suppressed ones, from one pass over the files.
 
-    The rules that aren't predicates, and custom ones, find their places as a column of the file; then its lines are cut out,
-    judged by the predicates, and the hits of both kinds are one list.  A mark stands on the issue's own line, so it is read
+    The rules that keep a state, and custom ones, find their places as a column of the file; then its lines are cut out, judged
+    by the predicates and by the rules that compare captures or count, and the hits of all kinds are one list.  A mark stands on the issue's own line, so it is read
     with the line.  Given ``modules(name, path)``, each issue has the module of its file.  With ``context``, a further column
     ``context_hash`` is of the lines around an issue.  Nothing is shuffled, unless there are too many modules to look up.  The
     custom rules' places in the catalogue come after those of the built-in ones.
@@ -75,7 +76,8 @@ def issues_of_rules(files: DataFrame, rules: list[Rule], limits: Limits = Limits
     known = catalog(spark)
     known = known.unionByName(custom_catalog(spark, custom, first), allowMissingColumns=True) if custom else known
     files, placed = (files, None) if modules is None else with_module(files, modules)
-    hits = all_hits(files, line_rules(rules), file_predicates(rules), findings(rules, limits, suppress, own, context), suppress, ["module"] if modules is not None and placed is None else [], context)
+    counted, rest = [r for r in rules if r.key in KEYS], [r for r in rules if r.key not in KEYS]
+    hits = all_hits(files, line_rules(rules), file_predicates(rules), findings(rest, limits, suppress, own, context), suppress, ["module"] if modules is not None and placed is None else [], context, counted)
     if suppress:
         names = F.broadcast(known.select("rule_ord", "rule_id"))  # one row a rule
         hits = hits.join(names, "rule_ord").where(~held(F.col("ids"), F.col("rule_id"))).drop("rule_id")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from fathom.operators import baseline, coverage, declarations, duplication, metrics, modules, reviews
 from fathom.operators.file_pass import custom_hits, source_hits
-from fathom.operators.line_engine import file_hits, file_lines, file_predicates, line_hits, line_rules
+from fathom.operators.counted_rules import KEYS
+from fathom.operators.line_engine import all_hits, file_hits, file_lines, file_predicates, line_hits, line_rules
 from fathom.operators.suppression import suppressions, unsuppressed
 from fathom.plans import oracles
 from fathom.plans.analysis import Config, active_rules, all_issues, described, issues_of_rules
@@ -102,6 +103,16 @@ def rules_on_sources_in_sql(spark, sf_dir):
     return found.join(F.broadcast(catalog(spark).select("rule_ord", "rule_key")), "rule_ord").select("path", "line", "column", "rule_key")
 
 
+_COUNTED = {k: sql for k, sql in _SQL_RULES.items() if k in KEYS}
+
+
+@query("counted_rules", f"WITH {oracles.corpus_cte(*PART)} " + " UNION ALL ".join(f"SELECT path, line::INT AS line, '{k}' AS rule_key FROM ({sql})" for k, sql in _COUNTED.items()))
+def counted_rules(spark, sf_dir):
+    """Rules by captures and counts, as the pass in the JVM finds them."""
+    found = all_hits(corpus(spark, sf_dir, *PART), [], counted=[r for r in load() if r.key in _COUNTED])
+    return found.join(F.broadcast(catalog(spark).select("rule_ord", "rule_key")), "rule_ord").select("path", "line", "rule_key")
+
+
 @query("long_repetition_rules")
 def long_repetition_rules(spark, sf_dir):
     return line_hits(corpus(spark, sf_dir, *PART), [r for r in line_rules() if r.key in oracles.NOT_COMPILED]).select("path", "line", "rule_ord")
