@@ -24,8 +24,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Key tables of the corpora: one for the rules and what is counted over issues, a smaller one for custom rules and joins.
-PART, SUPPLIER = ("part", "p_partkey"), ("supplier", "s_suppkey")
+#: The table that the corpus of sources is made from, and its key.
+PART = ("part", "p_partkey")
 
 
 def query(name: str, sql: str | None = None):
@@ -127,31 +127,42 @@ def analyse(spark, sf_dir):
 _CUSTOM = [(0, r"\w+\(\)", "a call without arguments", r"^\s*//"), (1, r"[0-9]{2,}", "a number", None)]
 
 
-@query("custom_rules", f"""WITH {oracles.corpus_cte(*SUPPLIER)}, found AS (
+@query("custom_rules", f"""WITH {oracles.corpus_cte(*PART)}, found AS (
 SELECT path, line, unnest(regexp_extract_all(text, '\\w+\\(\\)')) AS m, 0 AS rule_ord FROM lines WHERE NOT regexp_matches(text, '^\\s*//')
 UNION ALL SELECT path, line, unnest(regexp_extract_all(text, '[0-9]{{2,}}')), 1 FROM lines)
 SELECT path, line::INT AS line, rule_ord, count(*) AS n, sum(length(m))::BIGINT AS width FROM found GROUP BY ALL""")
 def custom_rules(spark, sf_dir):
-    found = custom_hits(corpus(spark, sf_dir, *SUPPLIER), _CUSTOM)
+    found = custom_hits(corpus(spark, sf_dir, *PART), _CUSTOM)
     return found.groupBy("path", "line", "rule_ord").agg(F.count("*").alias("n"), F.sum(F.col("end_column") - F.col("column")).alias("width"))
 
 
-@query("catalog", f"WITH {oracles.catalog_cte()} SELECT category, severity, count(*) AS n, count(DISTINCT rule_id) AS ids, sum(debt_minutes)::BIGINT AS minutes FROM catalog GROUP BY ALL")
-def catalog_counts(spark, sf_dir):
-    return catalog(spark).groupBy("category", "severity").agg(F.count("*").alias("n"), F.countDistinct("rule_id").alias("ids"), F.sum("debt_minutes").alias("minutes"))
+# The catalogue, with what the corpus has of each rule
 
+_EVERY = oracles.catalog_cte().replace("catalog(", "every(", 1) + ", hit AS (SELECT rule_ord, count(*) AS n_issues FROM issues GROUP BY rule_ord), told AS (SELECT every.*, coalesce(n_issues, 0) AS n_issues FROM every LEFT JOIN hit USING (rule_ord))"
+_ACTIVE = Config(min_severity="critical", disabled_rules=("S2068", "S5542"))
 
-@query("catalog_by_category", f"WITH {oracles.catalog_cte()} SELECT rule_key, rule_id, title, severity FROM catalog WHERE contains(lower(category), 'secur')")
-def catalog_by_category(spark, sf_dir):
-    return catalog(spark, "secur").select("rule_key", "rule_id", "title", "severity")
 
+def _told(spark: SparkSession, sf_dir: str, rules: DataFrame) -> DataFrame:
+    """Rules with the number of their issues in the corpus."""
+    hit = issues(spark, sf_dir).groupBy("rule_ord").agg(F.count("*").alias("n_issues"))
+    return rules.join(hit, "rule_ord", "left").withColumn("n_issues", F.coalesce("n_issues", F.lit(0)))
+
+
+@query("catalog", over_issues("SELECT category, severity, count(*) AS n, count(DISTINCT rule_id) AS ids, sum(debt_minutes)::BIGINT AS minutes, sum(n_issues)::BIGINT AS n_issues, count(*) FILTER (n_issues > 0) AS broken FROM told GROUP BY ALL", _EVERY))
+def catalog_counts(spark, sf_dir):
+    rules = _told(spark, sf_dir, catalog(spark))
+    return rules.groupBy("category", "severity").agg(F.count("*").alias("n"), F.countDistinct("rule_id").alias("ids"), F.sum("debt_minutes").alias("minutes"), F.sum("n_issues").alias("n_issues"), F.count_if(F.col("n_issues") > 0).alias("broken"))
 
-_ACTIVE = Config(min_severity="critical", disabled_rules=("S2068", "S5542"))
 
+@query("catalog_by_category", over_issues("SELECT rule_key, rule_id, title, severity, n_issues FROM told WHERE contains(lower(category), 'secur')", _EVERY))
+def catalog_by_category(spark, sf_dir):
+    return _told(spark, sf_dir, catalog(spark, "secur")).select("rule_key", "rule_id", "title", "severity", "n_issues")
 
-@query("rule_selection", f"WITH {oracles.catalog_cte()} SELECT rule_key FROM catalog WHERE severity_rank >= 3 AND rule_id NOT IN ('S2068', 'S5542')")
+
+@query("rule_selection", over_issues("SELECT rule_key, n_issues FROM told WHERE severity_rank >= 3 AND rule_id NOT IN ('S2068', 'S5542')", _EVERY))
 def rule_selection(spark, sf_dir):
-    return spark.createDataFrame([(r.key,) for r in active_rules(_ACTIVE)], "rule_key string")
+    chosen = spark.createDataFrame([(r.ordinal, r.key) for r in active_rules(_ACTIVE)], "rule_ord int, rule_key string")
+    return _told(spark, sf_dir, chosen).select("rule_key", "n_issues")
 
 
 # Declarations
@@ -199,10 +210,10 @@ def issue_rows(spark, sf_dir):
     return issues(spark, sf_dir).select("file", "line", "column", "rule_key", "severity")
 
 
-@query("unsuppressed", f"WITH {oracles.issues_cte(all_line_rules(), file_predicates(), *SUPPLIER)} SELECT file, line::INT AS line, rule_key FROM issues")
+@query("unsuppressed", f"WITH {oracles.issues_cte(all_line_rules(), file_predicates(), *PART)} SELECT file, line::INT AS line, rule_key FROM issues")
 def unsuppressed_by_join(spark, sf_dir):
     """The join that takes marks out of issues from elsewhere."""
-    files = corpus(spark, sf_dir, *SUPPLIER)
+    files = corpus(spark, sf_dir, *PART)
     return unsuppressed(issues_of_rules(files, shared_rules(), suppress=False), files).select("file", "line", "rule_key")
 
 
