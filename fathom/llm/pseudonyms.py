@@ -48,7 +48,8 @@ PATTERN = "|".join(p for name, p in PATTERNS.items() if name != "card")
 NAMES = list(PATTERNS)
 #: Areas, groups and serials of social security numbers.
 SSN_AREAS, SSN_GROUPS, SSN_SERIALS = 898, 99, 9999
-#: Steps in which a date with a day from 13 on comes back to such a one; 0.39 of all dates aren't, so more are never needed.
+#: Steps in which a date with a day from 13 on comes back to such a one.  0.39 of all dates aren't, so more are needed with a
+#: probability of about 1e-26; such a date would end on a day below 13.
 WALK = 64
 
 

@@ -104,6 +104,10 @@ def all_cells(unit: np.ndarray) -> np.ndarray:
     return np.stack([cells(unit, t) for t in range(TABLES)], axis=1)
 
 
+#: Between these, the square of a vector's largest component and sums of such are well within doubles.
+SQUARED = 1e-120, 1e120
+
+
 def _matrix(column: pa.Array, size: int, double: bool) -> np.ndarray:
     """Vectors of the same size from their bytes."""
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64 if double else np.float32).astype(np.float64).reshape(-1, size)
@@ -128,9 +132,9 @@ def marked(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
             for label, v in zip(labels.to_pylist(), lists.to_pylist()):
                 ok = label is not None and bool(v) and None not in v
                 x = np.array(v, dtype=np.float64) if ok else None
-                with np.errstate(over="ignore"):
-                    # a norm that is beyond doubles, or that vanishes in them, gives no cosine
-                    ok = ok and bool(np.isfinite(x).all()) and 0 < float((x * x).sum()) < np.inf
+                ok = ok and bool(np.isfinite(x).all()) and bool(x.any())
+                if ok and not SQUARED[0] < (largest := np.abs(x).max()) < SQUARED[1]:
+                    x = x / largest  # squares would vanish in doubles or go beyond them; cosines don't change
                 kept.append((x if double else x.astype(np.float32)).tobytes() if ok else None)
                 digests.append(blake2b(x.tobytes(), digest_size=16, key=str(label).encode()).digest() if ok else None)
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), labels.cast(pa.int64()), pa.array([double] * len(kept)), pa.array(kept, type=pa.binary()), pa.array(digests, type=pa.binary())], schema=to_arrow_schema(schema))
