@@ -50,4 +50,4 @@ def test_stages_take_edge_rows_and_empty_tables(spark, tmp_path):
 
 def test_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "rules", "near_duplicates", "secret_scan", "pack"]
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
