@@ -7,9 +7,11 @@ fingerprints are joined with a budget of ``DIFFER`` bits.  A pair at a similarit
 with a probability of 0.0007 and is over the budget with less, a closer one with less than that.  Every pair that the tries
 leave is verified on the whole shingle sets.
 
-Each group is first compared with its smallest member, so a group of near copies costs one comparison a text.  Groups
-that this leaves in several components are joined, a large one divided into pairs of parts, and pairs that links connect
-already aren't verified; so no group is too large for a task and no pair that meets in a group is left out.
+All links come from self-joins of these tries.  In the first one a large group is divided into parts, with its smallest
+member in each, and of the pairs that a part's trie leaves each text keeps the one with its smallest partner; so a group of
+near copies costs one verification a text.  Groups that this leaves in several components are joined once more, a large one
+divided into pairs of parts, and pairs that links connect already aren't verified; so no group is too large for a task and no
+pair that meets in a group is left out.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from xxhash import xxh64_intdigest
 
 from fathom.llm.batches import map_batches, quoted
 from fathom.llm.graph import DisjointSets, component_least, connected_components, cut_lineage, deal_groups
-from fathom.llm.simhash import SEED, fingerprint_of, join_tries, shingle_hashes
+from fathom.llm.simhash import SEED, TRIE_ROWS, fingerprint_of, join_tries, shingle_hashes
 
 SHINGLE_WORDS = 5
 #: Least Jaccard similarity of a link, as a fraction.
@@ -31,7 +33,7 @@ BANDS, BAND_ROWS = 24, 6
 DIFFER = 26
 #: Texts of a group that one task compares with themselves or with as many others.
 GROUP_ROWS = 256
-#: Texts of a group that one task compares with its smallest member.
+#: Texts that one task verifies as partners of one text.
 STAR_ROWS = 4096
 #: Rows of a few numbers each, up to which a table is sent to every task that joins it with texts or sets, which then stay
 #: where they are; a larger one is joined by a shuffle.
@@ -70,6 +72,52 @@ def sent(numbers: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(numbers) if rows <= SENT_ROWS else numbers
 
 
+def least_partners(groups: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> list[np.ndarray]:
+    """``[u, v]``: of each node ``v`` its smallest partner ``u`` in its group, if that is smaller than itself.
+
+    Partners are the pairs that the self-join of a group's trie leaves; all groups are joined at once.
+    """
+    order = np.lexsort((prints.view(np.uint64), groups))
+    groups, nodes, values = groups[order], nodes[order], prints.view(np.uint64)[order]
+    starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+    stops = np.append(starts[1:], len(groups))
+    least = nodes.copy()
+    for i, j in join_tries(values, 0, np.stack([starts, stops, starts, stops], 1)[stops - starts > 1], DIFFER):
+        np.minimum.at(least, np.where(nodes[i] > nodes[j], i, j), np.minimum(nodes[i], nodes[j]))
+    found = np.flatnonzero(least != nodes)
+    return [least[found], nodes[found]]
+
+
+def _first_pairs(members: DataFrame, group_rows: int) -> DataFrame:
+    """The different pairs of :func:`least_partners` in the groups of ``members(path, node, fp, n, first)``.
+
+    ``n`` is the number of a group's members and ``first`` the smallest of them, which is in each part of a large group.
+    """
+    parts = F.ceil(F.col("n") / group_rows).cast("int")
+    own = F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))
+    dealt = members.select("path", F.explode(F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), parts - 1)).otherwise(own)).alias("part"), "node", "fp")
+    dealt = dealt.repartition("path", "part").sortWithinPartitions("path", "part")
+
+    def joined(data):
+        new = np.concatenate([[True], (data[1:, :2] != data[:-1, :2]).any(axis=1)])
+        return least_partners(np.cumsum(new), data[:, 2], data[:, 3].copy())
+
+    def task(slices):
+        held = np.empty((0, 4), dtype=np.int64)
+        for columns in slices:
+            held = np.concatenate([held, np.array(columns, dtype=np.int64).T])
+            if len(held) >= TRIE_ROWS:  # the last group may go on in the next slice
+                inner = np.flatnonzero((held[1:, :2] != held[:-1, :2]).any(axis=1))
+                stop = int(inner[-1]) + 1 if len(inner) else 0
+                if stop:
+                    yield joined(held[:stop])
+                    held = held[stop:]
+        if len(held):
+            yield joined(held)
+
+    return map_batches(dealt, ["path", "part", "node", "fp"], "u long, v long", task, rows=8192).distinct()
+
+
 def _star_links(edges: DataFrame, sets: DataFrame) -> DataFrame:
     """The links ``(u, v)`` among ``edges(u, v)`` whose sets are similar.
 
@@ -168,8 +216,8 @@ def keep_representatives(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: st
     nodes = cut_lineage(printed.select("row", "node").join(order, "row").groupBy("node").agg(F.min("order").alias("order")))
     # each node is placed once, by the row that stands for it, and only where it isn't alone
     shown = printed.join(nodes.select(F.col("order.row").alias("row")), "row", "left_semi").where("size > 0")
-    grouped = shown.select("node", F.explode("paths").alias("path"))
-    shared = grouped.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1").select("path", "first")
+    grouped = shown.select("node", "fp", F.explode("paths").alias("path"))
+    shared = grouped.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     members = cut_lineage(grouped.join(shared, "path"))
     facts = cut_lineage(shown.select("node", "fp", "row", "size").join(members.select("node").distinct(), "node", "left_semi"))
 
@@ -180,11 +228,10 @@ def keep_representatives(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: st
             yield [keys, [shingle_set(t, words).tobytes() for t in values]]
 
     sets = cut_lineage(map_batches(texts, ["node", "text"], "node long, hashes binary", hashes))
-    edges = members.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
+    edges = _first_pairs(members, group_rows)
     for end in ("u", "v"):
-        edges = edges.join(facts.select(F.col("node").alias(end), F.col("fp").alias(f"{end}_fp"), F.col("size").alias(f"{end}_size")), end)
-    near = f"{OF} * least(u_size, v_size) >= {LEAST} * greatest(u_size, v_size) and bit_count(u_fp ^ v_fp) <= {DIFFER}"
-    edges = cut_lineage(edges.where(near).select("u", "v"))
+        edges = edges.join(facts.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size")), end)
+    edges = cut_lineage(edges.where(f"{OF} * least(u_size, v_size) >= {LEAST} * greatest(u_size, v_size)").select("u", "v"))
     stars = cut_lineage(_star_links(edges, sets))
     roots = connected_components(stars)
     rooted = members.select("path", "node").join(roots, "node", "left").select("path", "node", F.coalesce("root", "node").alias("root"))

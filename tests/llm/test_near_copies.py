@@ -127,3 +127,26 @@ def test_rows_are_numbered_once(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", before)
     assert got == Counter(range(50))
+
+
+def test_first_links_come_from_the_tries(spark):
+    """Each text's smallest partner within the budget, also where that isn't the group's smallest text, and in every part."""
+    rng = np.random.default_rng(5)
+    groups, nodes, prints = [], [], []
+    for path in range(30):
+        base = rng.integers(0, 2**64, size=3, dtype=np.uint64)
+        for _ in range(rng.integers(2, 12)):
+            groups.append(path)
+            nodes.append(int(rng.integers(-(2**62), 2**62)))
+            prints.append(base[rng.integers(3)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, size=18).astype(np.uint64)))
+    prints = np.array(prints, dtype=np.uint64).view(np.int64).tolist()
+    near = [(a, b) for a in range(len(nodes)) for b in range(len(nodes)) if groups[a] == groups[b] and nodes[a] < nodes[b] and ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= near_copies.DIFFER]
+    want = {(min(nodes[a] for a, b in near if b == v), nodes[v]) for v in {b for _, b in near}}
+    firsts = {p: min(n for n, g in zip(nodes, groups) if g == p) for p in groups}
+    assert len(want) > 60 and any(u not in firsts.values() for u, _ in want)
+    rows = [(p, n, f, groups.count(p), firsts[p]) for p, n, f in zip(groups, nodes, prints)]
+    members = spark.createDataFrame(rows, "path long, node long, fp long, n long, first long")
+    assert {tuple(r) for r in near_copies._first_pairs(members, 256).collect()} == want
+    # in parts: what is near the group's smallest text is paired with it all the same
+    got = {tuple(r) for r in near_copies._first_pairs(members, 2).collect()}
+    assert {(u, v) for u, v in want if u in firsts.values()} <= got
