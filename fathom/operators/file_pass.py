@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 import fathom.operators.java_syntax  # noqa: F401  registers its rules
 from fathom.functions.text import split_lines
 from fathom.operators.suppression import line_marks
-from fathom.operators.source_rules import RULES, Limits, SourceFile, byte_column
+from fathom.operators.source_rules import ALONE, NEEDS, RULES, Limits, SomeLines, SourceFile, byte_column, line_bits
 from fathom.sources.catalog import Rule
 
 EDIT = "struct<start_line: int, start_column: int, end_line: int, end_column: int, replacement: string>"
@@ -42,8 +42,14 @@ def finder(rules: list[Rule], limits: Limits = Limits(), suppress: bool = False,
     def find(path, src):
         source = SourceFile(path, src, limits)
         marks = line_marks(source.lines) if suppress and "NOSONAR" in src else {}
+        bits, any_ = list(map(line_bits, source.lines)) if active else [], 0
+        for line in set(bits):
+            any_ |= line
         for ordinal, key, rule_id in active:
-            for f in RULES[key](source):
+            bit = NEEDS[key][1] if key in NEEDS else 0
+            if bit and not any_ & bit:
+                continue
+            for f in RULES[key](SomeLines(source, bits, bit) if key in ALONE else source):
                 if f.line in marks and (not marks[f.line] or rule_id in marks[f.line]):
                     continue
                 edit = dict(zip(("start_line", "start_column", "end_line", "end_column", "replacement"), f.edit)) if f.edit else None

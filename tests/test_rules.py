@@ -328,3 +328,44 @@ def test_names_of_cases():
     assert [naming.to_camel_case(n) for n in ("Do_it", "DoIt", "do_the_thing", "")] == ["doIt", "doIt", "doTheThing", ""]
     assert [naming.to_pascal_case(n) for n in ("do_it", "doIt", "bad_NAME")] == ["DoIt", "DoIt", "BadName"]
     assert [naming.to_upper_snake_case(n) for n in ("maxSize", "APIKey", "a1B", "MAX_SIZE")] == ["MAX_SIZE", "APIKEY", "A1_B", "MAX_SIZE"]
+
+
+def test_rules_on_lines_that_matter_find_the_same():
+    """What a line needs leaves no finding out, on the corpus' lines in many orders."""
+    from fathom.operators.file_pass import finder
+    from fathom.operators.source_rules import NEEDS, RULES, SourceFile
+    from fathom.plans.corpus import lines as corpus_lines
+
+    rng, texts = random.Random(3), corpus_lines()
+    rules = [r for r in load() if r.key in RULES]
+    find = finder(rules)
+    for _ in range(60):
+        src = "\n".join(rng.choice(["", "// ", "  ", "\u2003"]) + t for t in rng.choices(texts[-130:] + ("@Test", "x = y;", "int next() {", "\x1ccase 2:"), k=80))
+        source = SourceFile("a", src)
+        plain = sorted((r.ordinal, f.line, f.column, f.message or "") for r in rules for f in RULES[r.key](source))
+        assert sorted((row[7], row[0], row[1], row[3] or "") for row in find("a", src)) == plain
+    assert len(NEEDS) > 50
+
+
+def test_a_line_is_judged_once(spark):
+    """However many files have it: 200 files of the same lines are judged as one file's lines, for all facts of the files."""
+    from fathom.operators import line_engine
+    from fathom.plans.corpus import lines as corpus_lines
+
+    texts = "\n".join(corpus_lines()[:200])
+    rows = [(f"p{n}", texts + ("\nnormalize setHttpOnly" if n % 2 else "")) for n in range(40)]
+    seen, distinct = [], line_engine.judged_lines
+
+    def counted(texts, *rest):
+        out = distinct(texts, *rest)
+        seen.append(out.select("text").distinct().count())
+        return out
+
+    line_engine.judged_lines = counted
+    try:
+        hits = Counter((r.path, r.line, r.rule_ord) for r in line_hits(spark.createDataFrame(rows, "path string, src string"), line_rules()).collect())
+    finally:
+        line_engine.judged_lines = distinct
+    assert seen[0] <= 201 and max(hits.values()) == 1
+    alone = {n: {(x, o) for p, x, o in hits if p == f"p{n}"} for n in range(40)}
+    assert all(alone[n] == alone[n % 2] for n in alone) and len(alone[0]) > 150
