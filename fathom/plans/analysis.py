@@ -63,12 +63,12 @@ def described(hits: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
 
 def issues_of_rules(files: DataFrame, rules: list[Rule], limits: Limits = Limits(), custom: tuple[CustomRule, ...] = (), suppress: bool = True, modules: DataFrame | None = None, context: bool = False) -> DataFrame:
-    """Issues of these rules in ``files(path, src)``, without the suppressed ones, from one pass over the files.
+    """Issues of these rules in ``files(path, src)``, without the suppressed ones.
 
-    The rules that keep a state, and custom ones, find their places as a column of the file; then its lines are cut out, judged
-    by the predicates and by the rules that compare captures or count, and the hits of all kinds are one list.  A mark stands on the issue's own line, so it is read
-    with the line.  Given ``modules(name, path)``, each issue has the module of its file.  With ``context``, a further column
-    ``context_hash`` is of the lines around an issue.  Nothing is shuffled, unless there are too many modules to look up.  The
+    The rules that keep a state, and custom ones, find their places as a column of the file; the predicates and the rules that
+    compare captures or count judge each different line once, and the files' lines are looked up.  A mark stands on the issue's
+    own line, so it is read with the line.  Given ``modules(name, path)``, each issue has the module of its file.  With ``context``, a further column
+    ``context_hash`` is of the lines around an issue.  The different lines are found when this is called and written once.  The
     custom rules' places in the catalogue come after those of the built-in ones.
     """
     first, spark = len(load()), files.sparkSession
