@@ -369,3 +369,42 @@ def test_a_line_is_judged_once(spark):
     assert seen[0] <= 201 and max(hits.values()) == 1
     alone = {n: {(x, o) for p, x, o in hits if p == f"p{n}"} for n in range(40)}
     assert all(alone[n] == alone[n % 2] for n in alone) and len(alone[0]) > 150
+
+
+def test_rules_of_one_line_run_once_for_a_line(monkeypatch):
+    """However many files have it, and however long it is."""
+    from fathom.operators import source_rules
+    from fathom.operators.file_pass import finder
+
+    plain, calls = RULES["CodeSmell:S109"], []
+    monkeypatch.setitem(source_rules.RULES, "CodeSmell:S109", lambda source: [calls.append(source.lines), *plain(source)][1:])
+    find = finder([r for r in load() if r.key == "CodeSmell:S109"])
+    lines = [f"judged = once + 77{n} ;" for n in range(5)] + ["judged = 7777 ; " + "long " * 400]
+    for k in range(6):
+        got = sorted((row[0], row[1]) for row in find("a", "\n".join(["{"] * k + lines)))
+        assert got == [(k + n + 1, 17 if n < 5 else 10) for n in range(6)]
+    assert len(calls) == 6
+
+
+def test_methods_are_found_from_their_ends():
+    """The heads and bodies are those of a search of the whole text."""
+    from fathom.operators.source_rules import METHOD, METHOD_END, ended
+
+    def body(text, at):
+        depth, start = 0, None
+        for n in range(at, len(text)):
+            if text[n] in "{}":
+                start = n if start is None and text[n] == "{" else start
+                depth += 1 if text[n] == "{" else -1
+                if depth == 0:
+                    return text[start : n + 1]
+
+    rng, seen = random.Random(7), 0
+    parts = ["int f", "public ", "static ", "void\ng ", "(", "(", ")", ")", ") {", ")\n throws A, B {", "{", "}", "}", " ", "\n", ",", ";", "a b", "throws ", "xpublic f("]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 40)))
+        source, heads = SourceFile("a", text), list(METHOD.finditer(text))
+        assert [m.regs for m in ended(text, METHOD, METHOD_END)] == [m.regs for m in heads]
+        assert [source.body_from(at) for at in range(len(text))] == [body(text, at) for at in range(len(text))]
+        seen += len(heads)
+    assert seen > 500
