@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"(?U)^\s+|\s+$"
+#: White space of any kind, ``(?U)\\s``.
+SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, F.lit(SPACE), F.lit(""))
+    return F.trim(text, F.lit(SPACE))
 
 
 def lines(src: Column) -> Column:

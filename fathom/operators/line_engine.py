@@ -52,8 +52,8 @@ def _facets(t: Column) -> list[Column]:
 
 
 def _around(at: Column) -> Column:
-    """:func:`fathom.operators.file_pass.context_hash` of the line at an index of ``cut``."""
-    text = F.concat_ws("\n", *[trim(F.when(at + step >= 0, F.get("cut", at + step))) for step in (-1, 0, 1)])
+    """:func:`fathom.operators.file_pass.context_hash` of the line at an index of ``cut``, by the lines in ``bare``."""
+    text = F.concat_ws("\n", *[F.when(at + step >= 0, F.get("bare", at + step)) for step in (-1, 0, 1)])
     return F.when(at < F.size("cut"), F.conv(F.substring(F.md5(text), 1, 16), 16, 10).cast("decimal(20,0)"))
 
 
@@ -173,6 +173,8 @@ def all_hits(files: DataFrame, rules: list[Rule], on_files: list[Rule] = (), fou
     plain, on_files, keep = SparkDialect(), list(on_files), list(keep)
     of_files = [(r.ordinal, plain.render(r.predicate())) for r in on_files] + [(r.ordinal, ON_FILES[r.key]) for r in counted if r.key in ON_FILES]
     files = files.where("src is not null").withColumn("cut", lines(F.col("src")))
+    if context:
+        files = files.withColumn("bare", F.transform("cut", trim))
     if dialect.facts or of_files:
         files = files.withColumn("src_wide", F.col("src").rlike(r"[^\x00-\x7f]"))
     none = lambda kind: F.lit(None).cast(kind)
@@ -190,7 +192,7 @@ def all_hits(files: DataFrame, rules: list[Rule], on_files: list[Rule] = (), fou
         judged = judged_lines(files.select(F.explode_outer("cut").alias("text")).where("text is not null"), names, marks)
         known = F.array(*[F.expr(plain.render(node)) for node in dialect.facts]).cast("array<boolean>")
         # facts in a projection of their own: beside the explode they would be computed for each line
-        rows = files.select("path", *keep, "cut", known.alias("known")).select("path", *keep, "known", F.posexplode_outer(F.transform("cut", lambda t, at: F.struct(t.alias("text"), around(at).alias("around")))).alias("at", "of"))
+        rows = files.select("path", *keep, "cut", *["bare"] * context, known.alias("known")).select("path", *keep, "known", F.posexplode_outer(F.transform("cut", lambda t, at: F.struct(t.alias("text"), around(at).alias("around")))).alias("at", "of"))
         rows = rows.select("path", *keep, "known", (F.col("at") + 1).alias("at"), "of.text", "of.around").join(judged, "text")
         rows = rows.where("given is null or forall(given, g -> known[g div 2] = (g % 2 = 1))")
         out.append(rows.select("path", *keep, *of_line(F.col("at"), F.col("trimmed"), F.col("rule_ord"), F.col("ids"), F.col("around"))))

@@ -482,16 +482,16 @@ def report_csv(spark, sf_dir):
 @query("report_sarif", over_issues("SELECT rule_id, CASE WHEN severity_rank >= 3 THEN 'error' WHEN severity_rank = 2 THEN 'warning' ELSE 'note' END AS level, title AS text, file AS uri, line::INT AS line FROM issues"))
 def report_sarif(spark, sf_dir):
     rows = reports.sarif_results(issues(spark, sf_dir))
-    at = "$.locations[0].physicalLocation"
-    get = lambda p: F.get_json_object("value", p)
-    return rows.select(get("$.ruleId").alias("rule_id"), get("$.level").alias("level"), get("$.message.text").alias("text"), get(f"{at}.artifactLocation.uri").alias("uri"), get(f"{at}.region.startLine").cast("int").alias("line"))
+    row = F.from_json("value", "ruleId string, level string, message struct<text: string>, locations array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>>>")
+    at = F.get("r.locations", F.lit(0))["physicalLocation"]
+    return rows.select(row.alias("r")).select(F.col("r.ruleId").alias("rule_id"), "r.level", "r.message.text", at["artifactLocation"]["uri"].alias("uri"), at["region"]["startLine"].alias("line"))
 
 
 @query("report_gitlab", over_issues("SELECT rule_id AS check_name, rule_id || ': ' || title AS description, severity, substr(md5(rule_id || chr(1) || file || chr(1) || line || chr(1) || title), 1, 16) AS fingerprint, CASE WHEN starts_with(file, '/') AND contains(substr(file, 2), '/src/') THEN substr(substr(file, 2), instr(substr(file, 2), '/src/') + 1) ELSE file END AS path, line::INT AS line FROM issues"))
 def report_gitlab(spark, sf_dir):
     rows = reports.gitlab_rows(issues(spark, sf_dir))
-    get = lambda p: F.get_json_object("value", p)
-    return rows.select(get("$.check_name").alias("check_name"), get("$.description").alias("description"), get("$.severity").alias("severity"), get("$.fingerprint").alias("fingerprint"), get("$.location.path").alias("path"), get("$.location.lines.begin").cast("int").alias("line"))
+    row = F.from_json("value", "check_name string, description string, severity string, fingerprint string, location struct<path: string, lines: struct<begin: int>>")
+    return rows.select(row.alias("r")).select("r.check_name", "r.description", "r.severity", "r.fingerprint", "r.location.path", F.col("r.location.lines.begin").alias("line"))
 
 
 @query("report_json", over_issues("SELECT rule_id, file, line::INT AS line, severity, category, debt_minutes, owasp, cwe FROM issues"))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from fathom.functions import naming, text
 from fathom.functions.predicates import DuckDialect, NotAPredicate, SparkDialect, needed_pieces, parse
@@ -408,3 +409,14 @@ def test_methods_are_found_from_their_ends():
         assert [source.body_from(at) for at in range(len(text))] == [body(text, at) for at in range(len(text))]
         seen += len(heads)
     assert seen > 500
+
+
+def test_trim_takes_all_white_space(spark):
+    """Each character of the basic plane at both ends, against the pattern; a pattern isn't what does it."""
+    from fathom.functions.text import trim
+
+    texts = spark.range(1, 0x10000).where("id not between 55296 and 57343").selectExpr("decode(encode(char(0), 'utf-8'), 'utf-8') as z", "decode(unhex(lpad(hex(id), 4, '0')), 'utf-16be') as c")
+    texts = texts.selectExpr("c", "concat(c, ' ', c, 'a', c, 'b ', c, c) as t")
+    by_pattern = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    assert texts.where(trim(F.col("t")) != by_pattern).count() == 0 and texts.where(by_pattern == F.concat(F.lit("a"), "c", F.lit("b"))).count() == 25
+    assert "regexp" not in texts.select(trim(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
