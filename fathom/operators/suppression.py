@@ -27,13 +27,11 @@ def held(ids: Column, rule_id: Column) -> Column:
     return F.coalesce((F.size(ids) == 0) | F.array_contains(ids, rule_id), F.lit(False)) & ids.isNotNull()
 
 
-def line_marks(lines: list[str]) -> dict[int, set[str]]:
-    """The marks of a file in Python, by line."""
-    found = {}
-    for n, line in enumerate(lines, 1):
-        if "NOSONAR" in line and (m := re.search(MARK, line)):
-            found[n] = {x for x in re.split(r"[,\s]+", m[1] or "") if x}
-    return found
+def line_mark(line: str) -> set[str] | None:
+    """:func:`mark_ids` in Python."""
+    if "NOSONAR" in line and (m := re.search(MARK, line)):
+        return {x for x in re.split(r"[,\s]+", m[1] or "") if x}
+    return None
 
 
 def suppressions(files: DataFrame) -> DataFrame:

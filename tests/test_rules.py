@@ -420,3 +420,24 @@ def test_trim_takes_all_white_space(spark):
     by_pattern = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
     assert texts.where(trim(F.col("t")) != by_pattern).count() == 0 and texts.where(by_pattern == F.concat(F.lit("a"), "c", F.lit("b"))).count() == 25
     assert "regexp" not in texts.select(trim(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_heads_are_found_once_and_with_two_words_only():
+    from fathom.operators.source_rules import METHOD, METHOD_END, SourceFile, ended
+
+    text = "f(a) {\nif (b) {\n} else if (c) {\nx.y (d) {\nint g(\nint e) throws X {\npublic static void h_1 () { }\n"
+    source = SourceFile("", text)
+    assert [text[close:] for _, close in source.heads] == [text[text.index(end) :] for end in (") {\nx.y", ") throws", ") { }")]
+    assert source.heads is source.heads
+    assert [m[1] for m in ended(text, METHOD, METHOD_END, source.heads)] == [m[1] for m in METHOD.finditer(text)] == ["if", "g", "h_1"]
+
+
+def test_marks_are_looked_at_where_something_is_found(monkeypatch):
+    from fathom.operators import file_pass
+
+    looked = []
+    mark = file_pass.line_mark
+    monkeypatch.setattr(file_pass, "line_mark", lambda line: looked.append(line) or mark(line))
+    rules = [r for r in load() if r.key == "Bug:S1656"]
+    found = file_pass.finder(rules, suppress=True)("p", "a = a; // NOSONAR\nb = b; // NOSONAR S1\nc = d; // NOSONAR\n")
+    assert [row[0] for row in found] == [2] and len(looked) == 2
