@@ -192,8 +192,13 @@ def all_hits(files: DataFrame, rules: list[Rule], on_files: list[Rule] = (), fou
         judged = judged_lines(files.select(F.explode_outer("cut").alias("text")).where("text is not null"), names, marks)
         known = F.array(*[F.expr(plain.render(node)) for node in dialect.facts]).cast("array<boolean>")
         # facts in a projection of their own: beside the explode they would be computed for each line
-        rows = files.select("path", *keep, "cut", *["bare"] * context, known.alias("known")).select("path", *keep, "known", F.posexplode_outer(F.transform("cut", lambda t, at: F.struct(t.alias("text"), around(at).alias("around")))).alias("at", "of"))
-        rows = rows.select("path", *keep, "known", (F.col("at") + 1).alias("at"), "of.text", "of.around").join(judged, "text")
+        rows = files.select("path", *keep, "cut", *["bare"] * context, known.alias("known"))
+        if context:
+            rows = rows.select("path", *keep, "known", F.posexplode_outer(F.transform("cut", lambda t, at: F.struct(t.alias("text"), around(at).alias("around")))).alias("at", "of"))
+            rows = rows.select("path", *keep, "known", (F.col("at") + 1).alias("at"), "of.text", "of.around")
+        else:
+            rows = rows.select("path", *keep, "known", F.posexplode_outer("cut").alias("at", "text")).select("path", *keep, "known", (F.col("at") + 1).alias("at"), "text", around(None).alias("around"))
+        rows = rows.join(judged, "text")
         rows = rows.where("given is null or forall(given, g -> known[g div 2] = (g % 2 = 1))")
         out.append(rows.select("path", *keep, *of_line(F.col("at"), F.col("trimmed"), F.col("rule_ord"), F.col("ids"), F.col("around"))))
     if not out:

@@ -441,3 +441,47 @@ def test_marks_are_looked_at_where_something_is_found(monkeypatch):
     rules = [r for r in load() if r.key == "Bug:S1656"]
     found = file_pass.finder(rules, suppress=True)("p", "a = a; // NOSONAR\nb = b; // NOSONAR S1\nc = d; // NOSONAR\n")
     assert [row[0] for row in found] == [2] and len(looked) == 2
+
+
+def test_methods_and_series_of_lines_that_come_again_are_judged_once(monkeypatch):
+    """In whatever file and at whatever line: a method's head and score, and the lines that matter to a rule."""
+    from fathom.operators import source_rules
+    from fathom.operators.file_pass import finder
+
+    plain, calls, scored = RULES["Bug:S1862"], [], []
+    monkeypatch.setitem(source_rules.RULES, "Bug:S1862", lambda source: [calls.append(source.lines), *plain(source)][1:])
+    score = source_rules._scored
+    monkeypatch.setattr(source_rules, "_scored", lambda line: scored.append(line) or score(line))
+    find = finder([r for r in load() if r.key in ("Bug:S1862", "Complexity:S3776")], source_rules.Limits(complexity=0))
+    method = "public int comesAgain(int n) {\nif (n > 812) {\nreturn 1;\n} else if (n > 812) {\n}\n}"
+    for k in range(6):
+        got = sorted((row[0], row[3]) for row in find("a", f"other{k}();\n" * k + method) if row[3])
+        assert got == [(k + 1, "Cognitive complexity of 'comesAgain' is 1.")]
+        assert sorted(row[0] for row in find("a", f"other{k}();\n" * k + method) if not row[3]) == [k + 4]
+    assert len(calls) == 1 and len(scored) == 8  # six lines of the method, and two of the else branch, which looks like one
+
+
+def test_empty_blocks_are_looked_for_where_they_are():
+    """The matches are those of a search of the whole text."""
+    from fathom.operators.source_rules import EMPTY_BLOCK, around_empty_blocks
+
+    pattern = re.compile(r"(?:if|else|for|while|try|catch|finally|switch)\s*(?:\([^)]*\))?\s*\{\s*\}")
+    rng, seen = random.Random(11), 0
+    for _ in range(4000):
+        text = "".join(rng.choices(["if", "else ", "try", "(", ")", ") {", "{", "}", "{ }", " ", "\n", "a;", "for (x {} y) {}"], k=rng.randint(1, 25)))
+        want = [m.span() for m in pattern.finditer(text)]
+        assert [m.span() for m in pattern.finditer(text, *around_empty_blocks(SourceFile("a", text)))] == want
+        assert not want or EMPTY_BLOCK.search(text)
+        seen += len(want)
+    assert seen > 500
+
+
+def test_the_corpus_is_the_same_in_both_engines(spark, tmp_path):
+    """Of keys with each ending, mark and length, and the text stands once in the Spark plan."""
+    from fathom.plans.corpus import corpus, corpus_sql
+
+    duckdb.sql(f"COPY (SELECT range * 7 AS p_partkey FROM range(1500)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    part = duckdb.read_parquet(f"{tmp_path}/part.parquet")  # noqa: F841  the table that the SQL names
+    want = sorted(duckdb.sql(corpus_sql("duckdb")).fetchall())
+    assert sorted((r.path, r.src) for r in corpus(spark, str(tmp_path)).collect()) == want
+    assert corpus_sql("spark").count("package com.acme.tool.k1") == 1
