@@ -11,58 +11,75 @@ from fathom.functions.folders import checkpointed
 BLOCK_LINES = 1 << 16
 
 
-def _last_records(rows: DataFrame) -> DataFrame:
+def _last_records(text: DataFrame, form: dict[str, Column], numbers: int | None = None, repeated: bool = False) -> DataFrame:
     """``(file, line, hits)`` of each file's last record in its report; a file without lines has a row of nulls.
 
-    ``rows(source, block, at, opened, line, hits)`` are the lines of a report that open or close a file (``opened`` is its
-    name, or empty) or count a line of code, and no others.  ``at`` orders a block's lines and is unique in the report, and
-    ``block`` orders the blocks.  Each block is gone through by itself; what is open where it starts, and what the next one
-    starts with, come from a table with a row a block, so a long report isn't one task's.  The last record of a file is found
-    among the lines that open one, and lines of earlier ones go in the join with these.
+    ``text(source, at, ...)`` are the lines of reports; ``at`` is unique in a report and orders it, in blocks of ``numbers``.
+    With a column ``block`` it only orders a block's lines, and ``block`` orders the blocks.  ``form`` tells what a line is:
+    ``opens`` where it may open a file, ``opened`` the file's name, or empty where it closes one, ``line`` and ``hits`` where
+    it counts a line of code; all other lines are passed over.
+
+    The last record of a file is found among the lines that open one.  What is open where a block starts, and what the next
+    one starts with, come from a table with a row a block, so a long report isn't one task's.  Only the blocks that hold
+    lines of last records are gone through, each by itself; their table is broadcast (at most a row a block), so other
+    lines are read but never sent.  With ``repeated``, rows that are alike in all columns count once; as the tables above
+    are the same with and without copies, they go where the blocks are gone through.
     """
-    counts = F.col("line").isNotNull()
-    rows = rows.withColumn("mark", F.when(F.col("opened") == "", F.lit(-1)).when(F.col("opened").isNotNull(), F.col("at")))
-    blocks = rows.groupBy("source", "block").agg(F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("at"))).alias("end"), F.min_by(counts, "at").alias("starts"))
+    numbered = "block" not in text.columns
+    block = F.expr(f"at div {numbers or BLOCK_LINES}") if numbered else F.col("block")
+    opening = text.where(form["opens"]).select("source", block.alias("block"), "at", form["opened"].alias("file")).where("file <> ''").groupBy("source", "file")
+    heads = (opening.agg(F.max("at").alias("at")) if numbered else opening.agg(F.max(F.struct("block", "at")).alias("last")).select("source", "file", "last.*")).select("source", "file", block.alias("block"), F.col("at").alias("record"))
+    kinds = text.select("source", block.alias("block"), "at", form["opened"].alias("opened"), form["line"].isNotNull().alias("counts"))
+    mark = F.when(F.col("opened").isNotNull(), F.col("at"))
+    blocks = kinds.groupBy("source", "block").agg(F.max(mark).alias("last"), F.max(F.when(F.col("opened") != "", F.col("at"))).alias("named"), F.min(mark).alias("first"), F.min(F.when(F.col("counts"), F.col("at"))).alias("line"))
+    blocks = blocks.where("last is not null or line is not null").select("source", "block", F.expr("if(last = named, last, if(last is null, null, -1))").alias("end"), F.expr("coalesce(line < first, line is not null)").alias("starts"))
     along = Window.partitionBy("source").orderBy("block")
     edges = blocks.select("source", "block", F.last("end", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"), F.lead("starts").over(along).alias("follows"))
+    holding = heads.select("source", "block", F.lit(True).alias("holds")).distinct()
+    going_on = heads.select("source", F.col("record").alias("carried"), F.lit(True).alias("goes_on")).distinct()
+    edges = edges.join(holding, ["source", "block"], "left").join(going_on, ["source", "carried"], "left").where("holds or goes_on").select("source", "block", "carried", "follows")
+    near = text.withColumn("block", block).join(F.broadcast(edges), ["source", "block"])
+    near = near.distinct() if repeated else near
+    # What is told by an exploded column is told after the join, and once for a line
+    said = F.explode(F.array(F.struct(form["opened"].alias("opened"), form["line"].alias("line"), form["hits"].alias("hits"))))
+    rows = near.select("source", "block", "at", "carried", "follows", said.alias("said")).select("*", "said.*").where("opened is not null or line is not null")
     within = Window.partitionBy("source", "block").orderBy("at")
-    record = F.coalesce(F.last("mark", True).over(within), "carried").alias("record")
-    lined = F.coalesce(F.lead(counts).over(within), "follows", F.lit(False)).alias("lined")
-    placed = rows.join(edges, ["source", "block"]).select("source", "opened", "line", "hits", record, lined)
-    heads = rows.where("opened <> ''").groupBy("source", F.col("opened").alias("file")).agg(F.max(F.struct("block", "at"))["at"].alias("record"))
-    return placed.where("line is not null or opened <> '' and not lined").join(heads, ["source", "record"]).select("file", "line", "hits")
-
-
-def _relevant(text: DataFrame, opened: Column, counts: Column, line: Column, hits: Column) -> DataFrame:
-    """The rows for :func:`_last_records` of ``text(source, at, value)``, or of ``text(source, block, at, value)``."""
-    block = F.col("block") if "block" in text.columns else (F.col("at") / BLOCK_LINES).cast("long").alias("block")
-    rows = text.select("source", block, "at", opened.alias("opened"), F.when(counts, line).alias("line"), F.when(counts, hits).alias("hits"))
-    return rows.where("opened is not null or line is not null")
+    mark = F.when(F.col("opened") == "", F.lit(-1)).when(F.col("opened").isNotNull(), F.col("at"))
+    record = F.coalesce(F.last(mark, True).over(within), "carried").alias("record")
+    lined = F.coalesce(F.lead(F.col("line").isNotNull()).over(within), "follows", F.lit(False)).alias("lined")
+    placed = rows.select("source", "opened", "line", "hits", record, lined).where("line is not null or opened <> '' and not lined")
+    return placed.join(heads.select("source", "file", "record"), ["source", "record"]).select("file", "line", "hits")
 
 
-def _lcov_rows(text: DataFrame) -> DataFrame:
+def _lcov() -> dict[str, Column]:
     value = F.trim("value")
-    opened = F.when(value.startswith("SF:"), F.substring(value, F.lit(4), F.length(value))).when(value == "end_of_record", F.lit(""))
-    parts = F.split(F.substring(value, F.lit(4), F.length(value)), ",")
-    many = F.least(parts[1].try_cast("decimal(38,0)").cast("double"), F.lit(2.0**62)).cast("long")
-    return _relevant(text, opened, value.rlike(r"^DA:\+?[0-9]+,\+?[0-9]+(,|$)"), parts[0].try_cast("long"), many)
+    opens = value.startswith("SF:")
+    opened = F.when(opens, F.substring(value, F.lit(4), F.length(value))).when(value == "end_of_record", F.lit(""))
+    counts = value.startswith("DA:") & value.rlike(r"^DA:\+?[0-9]+,\+?[0-9]+(,|$)")
+    numbers = F.substring(value, F.lit(4), F.length(value))
+    hits = F.substring_index(F.substring_index(numbers, ",", 2), ",", -1)
+    many = F.least(hits.try_cast("decimal(38,0)").cast("double"), F.lit(2.0**62)).cast("long")
+    return {"opens": opens, "opened": opened, "line": F.when(counts, F.substring_index(numbers, ",", 1).try_cast("long")), "hits": F.when(counts, many)}
 
 
-def lcov_lines(text: DataFrame) -> DataFrame:
+def lcov_lines(text: DataFrame, numbers: int | None = None, repeated: bool = False) -> DataFrame:
     """``(file, line, hits)`` of ``text(source, at, value)``: the trace's lines with their order.
 
     ``SF:`` opens a file, ``end_of_record`` or the next one closes it, branch records are skipped, and so are lines whose
     numbers aren't whole and positive.  Of a file that occurs twice in a trace the last record counts, with its lines only;
-    one without lines has a row of nulls.
+    one without lines has a row of nulls.  Where lines' numbers have gaps, ``numbers`` is how far a block of them reaches;
+    with ``repeated``, rows that are alike in all columns, these and others, count once.
     """
-    return _last_records(_lcov_rows(text))
+    return _last_records(text, _lcov(), numbers, repeated)
 
 
-def _jacoco_rows(text: DataFrame) -> DataFrame:
+def _jacoco() -> dict[str, Column]:
     value = F.trim("value")
-    opened = F.when(value.contains("<sourcefile") & value.rlike(r'name="[^"]*"'), F.regexp_extract(value, r'name="([^"]*)"', 1))
+    opens = value.contains("<sourcefile")
+    opened = F.when(opens & value.rlike(r'name="[^"]*"'), F.regexp_extract(value, r'name="([^"]*)"', 1))
     number = lambda c: F.coalesce(F.regexp_extract(value, rf'{c}="\+?([0-9]+)"', 1).try_cast("long"), F.lit(0))
-    return _relevant(text, opened, value.contains("<line") & value.contains("nr=") & (number("nr") > 0), number("nr"), number("ci"))
+    counts = value.contains("<line") & value.contains("nr=") & (number("nr") > 0)
+    return {"opens": opens, "opened": opened, "line": F.when(counts, number("nr")), "hits": F.when(counts, number("ci"))}
 
 
 def jacoco_lines(text: DataFrame) -> DataFrame:
@@ -71,7 +88,7 @@ def jacoco_lines(text: DataFrame) -> DataFrame:
     A file's lines are those up to the next ``sourcefile``; a line without a number above 0 is skipped, and one without
     instructions counts as not covered.  Files that repeat or have no lines are as in :func:`lcov_lines`.
     """
-    return _last_records(_jacoco_rows(text))
+    return _last_records(text, _jacoco())
 
 
 def report_lines(spark, path: str) -> DataFrame:
@@ -99,7 +116,10 @@ def read_coverage(spark, path: str) -> DataFrame:
         xml = bool(form.xml)
         if not xml and not form.trace:
             raise ValueError(f"{path}: neither a trace nor an XML report")
-    return _last_records(checkpointed(_jacoco_rows(text) if xml else _lcov_rows(text)))
+    form = _jacoco() if xml else _lcov()
+    told = ("opened", "line", "hits")
+    rows = text.select("source", "block", "at", *(form[c].alias(c) for c in told)).where("opened is not null or line is not null")
+    return _last_records(checkpointed(rows), {c: F.col(c) for c in told} | {"opens": F.col("opened") != ""})
 
 
 def file_coverage(covered: DataFrame) -> DataFrame:
