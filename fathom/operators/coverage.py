@@ -122,11 +122,15 @@ def read_coverage(spark, path: str) -> DataFrame:
     return _last_records(checkpointed(rows), {c: F.col(c) for c in told} | {"opens": F.col("opened") != ""})
 
 
+def _share() -> Column:
+    whole = F.col("covered") + F.col("uncovered")
+    return F.when(whole > 0, F.col("covered") * 100.0 / whole).otherwise(0.0)
+
+
 def file_coverage(covered: DataFrame) -> DataFrame:
     """``(file, covered, uncovered, percentage)``; 0 per cent without lines."""
     counts = covered.groupBy("file").agg(F.count_if(F.col("hits") > 0).alias("covered"), F.count_if(F.col("hits") <= 0).alias("uncovered"))
-    whole = F.col("covered") + F.col("uncovered")
-    return counts.withColumn("percentage", F.when(whole > 0, F.col("covered") * 100.0 / whole).otherwise(0.0))
+    return counts.withColumn("percentage", _share())
 
 
 def below(covered: DataFrame, threshold: float) -> DataFrame:
@@ -137,12 +141,17 @@ def below(covered: DataFrame, threshold: float) -> DataFrame:
 def total_coverage(covered: DataFrame, threshold: float = 0.0) -> DataFrame:
     """One row: lines, share, and whether it reaches the threshold."""
     counts = covered.agg(F.count_if(F.col("hits") > 0).alias("covered"), F.count_if(F.col("hits") <= 0).alias("uncovered"))
-    whole = F.col("covered") + F.col("uncovered")
-    share = F.when(whole > 0, F.col("covered") * 100.0 / whole).otherwise(0.0)
-    return counts.withColumn("percentage", share).withColumn("passed", F.col("percentage") >= threshold)
+    return counts.withColumn("percentage", _share()).withColumn("passed", F.col("percentage") >= threshold)
 
 
 def uncovered(covered: DataFrame, file: str | None = None) -> DataFrame:
     """Lines that nothing ran, of one file or of all."""
     rows = covered.where("hits <= 0").select("file", "line")
     return rows.where(F.col("file") == file) if file else rows
+
+
+def uncovered_below(covered: DataFrame, threshold: float) -> DataFrame:
+    """Lines that nothing ran, of the files strictly below a threshold; ``covered`` is gone through once, a file at a time."""
+    of_file = Window.partitionBy("file")
+    counts = covered.select("file", "line", "hits", F.count_if(F.col("hits") > 0).over(of_file).alias("covered"), F.count_if(F.col("hits") <= 0).over(of_file).alias("uncovered"))
+    return uncovered(counts.where(_share() < threshold))

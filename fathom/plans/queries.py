@@ -408,8 +408,7 @@ def coverage_total(spark, sf_dir):
 
 @query("coverage_gaps", f"WITH {_COVERED} SELECT file, line FROM covered WHERE hits = 0 AND file IN (SELECT file FROM shares WHERE percentage < 50)")
 def coverage_gaps(spark, sf_dir):
-    covered = _trace_lines(spark, sf_dir)
-    return coverage.uncovered(covered).join(coverage.below(covered, 50).select("file"), "file", "left_semi")
+    return coverage.uncovered_below(_trace_lines(spark, sf_dir), 50)
 
 
 @query("coverage_below", f"WITH {_COVERED} SELECT file, percentage FROM shares WHERE percentage < 50")

@@ -31,7 +31,7 @@ def stages(spark):
     return {s.stageId(): (s.inputRecords(), s.shuffleWriteRecords()) for s in map(found.apply, range(found.size()))}
 
 
-@pytest.mark.parametrize("name", ["coverage_below", "coverage_total", "coverage_files"])
+@pytest.mark.parametrize("name", ["coverage_below", "coverage_gaps", "coverage_total", "coverage_files"])
 def test_only_blocks_of_last_records_are_sent(spark, items, name):
     folder, n = items
     before = stages(spark)
@@ -53,3 +53,9 @@ def test_copies_and_gaps(spark, numbers):
     want = brute_trace(lines)
     assert rows(coverage.lcov_lines(text, numbers)) == want
     assert rows(coverage.lcov_lines(text.union(text).repartition(5), numbers, repeated=True)) == want
+
+
+def test_lines_below(spark):
+    covered = [("a", 1, 0), ("a", 2, 0), ("a", 3, 2), ("b", 1, 1), ("b", 2, 0), ("c", None, None), ("d", 9, 0)]
+    covered = spark.createDataFrame(covered, "file string, line long, hits long")
+    assert rows(coverage.uncovered_below(covered, 50)) == Counter([("a", 1), ("a", 2), ("d", 9)])
